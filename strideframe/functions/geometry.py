@@ -176,16 +176,14 @@ def view_angle_deg(a: Column, b: Column) -> Column:
     return F.acos(clamp(dot([a[2], a[6], a[10]], [b[2], b[6], b[10]]), -1.0, 1.0)) * DEGREES
 
 
-def slerp(q1: Sequence[Column], q2: Sequence[Column], weight: Column) -> list[Column]:
-    """Shortest-arc spherical blend of unit quaternions."""
-    raw = dot(q1, q2)
-    near = clamp(F.abs(raw), 0.0, 1.0)
-    theta = F.acos(near)
-    flat = F.sin(theta) < 1e-9
-    wa = F.when(flat, 1 - weight).otherwise(F.sin((1 - weight) * theta) / F.when(~flat, F.sin(theta)))
-    wb = F.when(flat, weight).otherwise(F.sin(weight * theta) / F.when(~flat, F.sin(theta)))
-    sign = F.when(raw < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return unit([wa * a + sign * wb * b for a, b in zip(q1, q2)])
+def slerp_weights(near: Column, weight: Column) -> tuple[Column, Column]:
+    """Weights of the two ends of a shortest-arc blend, from the absolute quaternion product."""
+    theta = F.acos(clamp(near, 0.0, 1.0))
+    size = F.sin(theta)
+    flat = size < 1e-9
+    first = F.when(flat, 1 - weight).otherwise(F.sin((1 - weight) * theta) / F.when(~flat, size))
+    second = F.when(flat, weight).otherwise(F.sin(weight * theta) / F.when(~flat, size))
+    return first, second
 
 
 def cell_of(row: Column, col: Column, height: int, width: int, ny: int = 6, nx: int = 8) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.pin import pinned
 from ..session import checkpointed
 from .ordered import HOUR_NS, carried
 
@@ -60,22 +61,28 @@ def interpolate_poses(
     """
     position, turn = ("x", "y", "z"), ("qx", "qy", "qz", "qw")
     both = bracket(samples, poses, keys, time, [*position, *turn], chunk_ns)
-    t, t0, t1 = F.col(time), F.col(f"prev.{time}"), F.col(f"next.{time}")
+    both = both.select(
+        *samples.columns, *[F.col(f"{end}.{n}").alias(f"_{end}_{n}") for end in ("prev", "next") for n in (time, *position, *turn)]
+    )
+    ends = lambda end, names: g.columns(*[f"_{end}_{n}" for n in names])
+    t, t0, t1 = F.col(time), F.col(f"_prev_{time}"), F.col(f"_next_{time}")
     how = (
         F.when(t - t0 <= same_ns, "before").when(t1 - t <= same_ns, "after")
         .when((t1 - t0) <= max_gap_ns, "between")
     )
-    both = both.withColumn("_how", how).withColumn("_w", (t - t0) / (t1 - t0))
-    turned = g.slerp(
-        [F.col(f"prev.{n}") for n in turn], [F.col(f"next.{n}") for n in turn], F.col("_w")
-    )
-    blends = {n: (1 - F.col("_w")) * F.col(f"prev.{n}") + F.col("_w") * F.col(f"next.{n}") for n in position}
-    blends |= dict(zip(turn, turned))
+    product = g.dot(ends("prev", turn), ends("next", turn))
+    both = pinned(both, {"_how": how, "_w": (t - t0) / (t1 - t0), "_dot": product})
+    first, second = g.slerp_weights(F.abs("_dot"), F.col("_w"))
+    both = pinned(both, {"_first": first, "_second": F.when(F.col("_dot") < 0, -second).otherwise(second)})
+    raw = [F.col("_first") * a + F.col("_second") * b for a, b in zip(ends("prev", turn), ends("next", turn))]
+    both = pinned(both, {f"_raw{i}": c for i, c in enumerate(raw)})
+    blends = [(1 - F.col("_w")) * a + F.col("_w") * b for a, b in zip(ends("prev", position), ends("next", position))]
+    blends += g.unit([F.col(f"_raw{i}") for i in range(4)])
     out = [
-        F.when(F.col("_how") == "before", F.col(f"prev.{n}"))
-        .when(F.col("_how") == "after", F.col(f"next.{n}"))
+        F.when(F.col("_how") == "before", F.col(f"_prev_{n}"))
+        .when(F.col("_how") == "after", F.col(f"_next_{n}"))
         .when(F.col("_how") == "between", blend).alias(f"p_{n}")
-        for n, blend in blends.items()
+        for n, blend in zip((*position, *turn), blends)
     ]
     return both.select(
         *samples.columns, *out,
