@@ -32,7 +32,7 @@ def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def principal(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
     """Three eigenvalues (largest first), then their axes row by row, from one covariance per row."""
     table = np.stack([c.to_numpy(float) for c in (xx, xy, xz, xy, yy, yz, xz, yz, zz)], 1).reshape(-1, 3, 3)
@@ -100,10 +100,11 @@ def dominant_plane(
     tries = sizes.withColumn("hypothesis", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
     pick = lambda j: (mixed(F.col("hypothesis") * 3 + j, seed + 1) % F.col("_n"))
     tries = tries.withColumns({f"i{j}": pick(j) for j in range(3)}).where("i0 <> i1 and i0 <> i2 and i1 <> i2").drop("_n")
+    tries = tries.withColumnRenamed(key, "_key")
     choose, schema = _best_plane(reach, key, "long")
-    best = drawn.groupBy(key).cogroup(tries.groupBy(key)).applyInPandas(choose, schema)
+    best = drawn.groupBy(key).cogroup(tries.groupBy("_key")).applyInPandas(choose, schema)
     height = g.dot(g.minus(g.columns(*AXES), g.columns("px", "py", "pz")), g.columns("nx", "ny", "nz"))
-    marked = points.join(best, key).withColumn("_on", F.abs(height) <= reach)
+    marked = points.select(key, *AXES).join(best, key).withColumn("_on", F.abs(height) <= reach)
     totals = marked.groupBy(key).agg(
         F.count("*").alias("points"), F.count(F.when(F.col("_on"), 1)).alias("inliers"),
         *[F.first(n).alias(n) for n in ("hypothesis", "px", "py", "pz", "nx", "ny", "nz")],

@@ -264,14 +264,15 @@ def inverse_variance(rows: DataFrame, keys: Sequence[str], value: str, sigma: st
 
 
 def fallback_scale(
-    tracked: DataFrame, measured: DataFrame, height: int, width: int, minimum: int = 5, min_cell: int = 20
+    tracked: DataFrame, measured: DataFrame, height: int, width: int, minimum: int = 5, min_cell: int = 20,
+    keys: Sequence[str] = FRAME,
 ) -> DataFrame:
     """Median log size of tracked points in cells the measured depth does not support."""
     cell = g.cell_of(F.col("prow"), F.col("pcol"), height, width, CELLS_Y, CELLS_X)
     filled = measured.groupBy(*FRAME, cell.alias("cell")).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_cell)
     lone = usable(tracked).withColumn("cell", cell).join(filled, [*FRAME, "cell"], "left_anti")
     logs = lone.withColumn("_log", F.log(F.col("target") / F.col("learned")))
-    return exact_quantiles(logs, FRAME, "_log", {"log_scale": 0.5}, count="points").where(F.col("points") >= minimum)
+    return exact_quantiles(logs, keys, "_log", {"log_scale": 0.5}, count="points").where(F.col("points") >= minimum)
 
 
 def far_only(learned: Column, near: Column, far: Column, from_m: float = 2.5) -> Column:
