@@ -125,11 +125,12 @@ def exact_quantiles(
     """Exact linear-interpolated quantiles per key, without gathering a key's values anywhere.
 
     A mergeable sketch brackets each wanted rank; rows below a bracket are counted on the map side
-    and only distinct values inside it (a 4 / accuracy share of the key) are ranked.
+    and only distinct values inside it (an 8 / accuracy share of the key) are ranked. Keys with fewer
+    than `accuracy` values are ranked whole.
     """
     keys, names = list(keys), list(probs)
     rows = df.select(*keys, as_column(value).cast("double").alias("_v")).where("_v is not null")
-    margin = 2.0 / accuracy
+    margin = 4.0 / accuracy
     edges = []
     for p in probs.values():
         edges += [max(0.0, p - margin), min(1.0, p + margin)]
@@ -139,7 +140,9 @@ def exact_quantiles(
     bracketed = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
     marks = []
     for j in range(len(names)):
-        low, high = F.col("_e")[2 * j], F.col("_e")[2 * j + 1]
+        few = F.col("_n") < accuracy
+        low = F.when(few, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * j])
+        high = F.when(few, F.lit(float("inf"))).otherwise(F.col("_e")[2 * j + 1])
         marks.append(
             F.when(F.col("_v") < low, F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("v")))
             .when(F.col("_v") <= high, F.struct(F.lit(j).alias("j"), F.col("_v").alias("v")))

@@ -251,7 +251,9 @@ def trimmed_fit(rows: DataFrame, keys: Sequence[str], drop_fraction: float = 0.1
         "_r", F.abs(F.col("factor") * F.col("learned") + F.col("shift") - F.col("target"))
     )
     limit = exact_quantiles(left, keys, "_r", {"_limit": 1 - drop_fraction})
-    kept = left.join(limit, list(keys)).where(F.col("_r") <= F.col("_limit")).drop("factor", "shift")
+    kept = left.join(limit, list(keys)).where(
+        F.col("_r") <= F.col("_limit") * (1 + 1e-12)  # the limit may be a residual itself
+    ).drop("factor", "shift")
     return line_fit(kept, keys, F.col("learned"), F.col("target"))
 
 

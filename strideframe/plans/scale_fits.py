@@ -68,7 +68,7 @@ def power_fit(t):
     a AS (SELECT recording, frame, regr_slope(t, l) AS fa, regr_intercept(t, l) AS sh FROM p GROUP BY ALL),
     r AS (SELECT recording, frame, abs(fa * l + sh - t) AS r, l, t FROM p JOIN a USING (recording, frame)),
     q AS (SELECT recording, frame, quantile_cont(r, 0.9) AS q FROM r GROUP BY ALL),
-    k AS (SELECT r.* FROM r JOIN q USING (recording, frame) WHERE r.r <= q.q)
+    k AS (SELECT r.* FROM r JOIN q USING (recording, frame) WHERE r.r <= q.q * (1 + 1e-12))
     SELECT recording, frame, 'metric' AS fit, regr_slope(t, l) AS factor, regr_intercept(t, l) AS shift FROM p GROUP BY ALL
     UNION ALL SELECT recording, frame, 'inverse', regr_slope(1 / t, l), regr_intercept(1 / t, l) FROM p GROUP BY ALL
     UNION ALL SELECT recording, frame, 'log', regr_slope(ln(t), l), regr_intercept(ln(t), l) FROM p GROUP BY ALL

@@ -102,7 +102,7 @@ def point_moments(t):
           FROM h JOIN s a ON a.recording = h.recording AND a.draw = i0 JOIN s b ON b.recording = h.recording AND b.draw = i1 JOIN s c ON c.recording = h.recording AND c.draw = i2
           WHERE i0 <> i1 AND i0 <> i2 AND i1 <> i2),
     u AS (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS len FROM c WHERE sqrt(nx*nx + ny*ny + nz*nz) >= 1e-12),
-    k AS (SELECT u.recording, u.h, count(*) FILTER (WHERE abs((p.x-px)*nx + (p.y-py)*ny + (p.z-pz)*nz) / len <= 1e-1) AS inliers, count(*) AS points FROM u JOIN points p ON p.recording = u.recording GROUP BY ALL)
+    k AS (SELECT u.recording, u.h, count(*) FILTER (WHERE abs((p.x-px)*u.nx + (p.y-py)*u.ny + (p.z-pz)*u.nz) / len <= 1e-1) AS inliers, count(*) AS points FROM u JOIN points p ON p.recording = u.recording GROUP BY ALL)
     SELECT recording, arg_min(h, (-inliers, h)) AS hypothesis, max(inliers) AS inliers, max(points) AS points_n, max(inliers) / max(points) AS inlier_share FROM k GROUP BY recording""", doubles="inlier_share")
 def dominant_plane(t):
     """AGG-15: seeded hypotheses on a bounded sample, refitted on every inlier."""
