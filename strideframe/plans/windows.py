@@ -180,7 +180,7 @@ def method_inputs(t):
     WITH s AS (SELECT b.image, b.item, (pcol - 315e-1) * target / 5e1 AS x, (prow - 235e-1) * target / 5e1 AS y, target AS z, b.x1, b.x2, b.y1, b.y2, prow, pcol FROM boxes b JOIN pixel_map m ON m.frame = b.image // 4
         AND pcol + 5e-1 >= x1 / 10 AND pcol + 5e-1 < x2 / 10 AND prow + 5e-1 >= y1 / 10 AND prow + 5e-1 < y2 / 10 WHERE b.half = 'O')
     SELECT image, item, count(*) AS samples, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my, quantile_cont(z, 0.5) AS mz, quantile_cont(z, 0.75) - quantile_cont(z, 0.25) AS iqr_z,
-           min(z) AS near_m, max(z) AS far_m, arg_min(z, ((pcol + 5e-1 - (x1 + x2) / 20)**2 + (prow + 5e-1 - (y1 + y2) / 20)**2, prow, pcol)) AS centre_m FROM s GROUP BY image, item""", doubles="mx my mz iqr_z near_m far_m centre_m")
+           min(z) AS near_m, max(z) AS far_m, arg_min(z, ((pcol + 5e-1 - (x1 / 10 + x2 / 10) / 2)**2 + (prow + 5e-1 - (y1 / 10 + y2 / 10) / 2)**2, prow, pcol)) AS centre_m FROM s GROUP BY image, item""", doubles="mx my mz iqr_z near_m far_m centre_m")
 def box_median(t):
     """AGG-09: coordinate-wise median, spread and centre sample of the surface inside a box."""
     from .scalars import intrinsics
@@ -202,7 +202,8 @@ def box_median(t):
 
 
 @query("centre_depth", """
-    WITH b AS (SELECT image, item, x1 / 10 + (x2 - x1) / 40 AS x1, y1 / 10 + (y2 - y1) / 40 AS y1, x2 / 10 - (x2 - x1) / 40 AS x2, y2 / 10 - (y2 - y1) / 40 AS y2 FROM boxes WHERE half = 'O'),
+    WITH k AS (SELECT image, item, x1 / 10 AS x1, y1 / 10 AS y1, x2 / 10 AS x2, y2 / 10 AS y2 FROM boxes WHERE half = 'O'),
+    b AS (SELECT image, item, x1 + (x2 - x1) / 4 AS x1, y1 + (y2 - y1) / 4 AS y1, x2 - (x2 - x1) / 4 AS x2, y2 - (y2 - y1) / 4 AS y2 FROM k),
     s AS (SELECT b.image, b.item, any_value((x2 - x1) * (y2 - y1)) AS area, count(m.target) AS n, quantile_cont(target, 0.5) AS median_m, quantile_cont(target, 0.25) AS q1, quantile_cont(target, 0.75) AS q3 FROM b LEFT JOIN pixel_map m ON m.frame = b.image // 4
         AND pcol + 5e-1 >= x1 AND pcol + 5e-1 < x2 AND prow + 5e-1 >= y1 AND prow + 5e-1 < y2 GROUP BY b.image, b.item)
     SELECT image, item, n AS valid_pixels, median_m, (q3 - q1) / median_m AS spread, n < 3 OR n / area < 5e-2 AS flag_sparse, coalesce((q3 - q1) / median_m > 5e-1, false) AS flag_spread FROM s""", doubles="median_m spread")
