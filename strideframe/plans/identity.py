@@ -135,11 +135,11 @@ def identity_score(t):
 
 
 @query("view_median", """
-    WITH RECURSIVE f AS (SELECT device AS object, recording * 256 + seq AS at, x * 1e-1 AS cx, z * 4 AS z, y, cents, row_number() OVER (PARTITION BY device ORDER BY recording * 256 + seq) AS i FROM frames),
-    w AS (SELECT object, at, i, [cx] AS held, true AS rep FROM f WHERE i = 1
-        UNION ALL SELECT object, at, i, CASE WHEN r THEN list_append(held, cx) ELSE held END, r FROM (SELECT f.object, f.at, f.i, f.cx, w.held, len(list_filter(w.held, lambda h: abs(h - f.cx) <= 5e-2)) = 0 AS r FROM w JOIN f ON f.object = w.object AND f.i = w.i + 1)),
-    j AS (SELECT w.object, w.at, rep, f.y, f.z FROM w JOIN f ON f.object = w.object AND f.at = w.at)
-    SELECT object, count(*) AS accepted, count(*) FILTER (WHERE rep) AS representatives, quantile_cont(y, 0.5) FILTER (WHERE rep) AS median_y, quantile_cont(z, 0.75) FILTER (WHERE rep) - quantile_cont(z, 0.25) FILTER (WHERE rep) AS iqr_z, arg_max(z, at) AS last_z FROM j GROUP BY object""",
+    WITH RECURSIVE f AS (SELECT device AS object, recording * 256 + seq AS pos, x * 1e-1 AS cx, z * 4 AS z, y, cents, row_number() OVER (PARTITION BY device ORDER BY recording * 256 + seq) AS i FROM frames),
+    w AS (SELECT object, pos, i, [cx] AS held, true AS rep FROM f WHERE i = 1
+        UNION ALL SELECT object, pos, i, CASE WHEN r THEN list_append(held, cx) ELSE held END, r FROM (SELECT f.object, f.pos, f.i, f.cx, w.held, len(list_filter(w.held, lambda h: abs(h - f.cx) <= 5e-2)) = 0 AS r FROM w JOIN f ON f.object = w.object AND f.i = w.i + 1)),
+    j AS (SELECT w.object, w.pos, rep, f.y, f.z FROM w JOIN f ON f.object = w.object AND f.pos = w.pos)
+    SELECT object, count(*) AS accepted, count(*) FILTER (WHERE rep) AS representatives, quantile_cont(y, 0.5) FILTER (WHERE rep) AS median_y, quantile_cont(z, 0.75) FILTER (WHERE rep) - quantile_cont(z, 0.25) FILTER (WHERE rep) AS iqr_z, arg_max(z, pos) AS last_z FROM j GROUP BY object""",
        doubles="median_y iqr_z last_z")
 def view_median(t):
     """AGG-42: an object's location from independent views only."""
