@@ -80,6 +80,16 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame, small_bytes: int = 1 << 30) -> DataFrame:
+        """Rows dealt out over all cores, only where the input is one small file.
+
+        A file of one row group is one task, and everything up to the first shuffle would stay in it.
+        Large inputs already come in many splits and are left as they are.
+        """
+        if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= small_bytes:
+            return df
+        return df.repartition(self.spark.sparkContext.defaultParallelism)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.NAMES:
             return self.read(name)

@@ -49,14 +49,16 @@ MEASURES = "observed_area_m2 plane_area_m2 length_m width_m highest_m lowest_m"
 
 def sized_surface(t):
     """Fused voxels of every recording from learned depth sized per pixel, fuse range 0.1 to 4 m."""
-    sized = scale.grid_scale(t.pixels, HEIGHT, WIDTH, minimum=50, min_cell=6).withColumn("depth_m", F.col("learned") * F.col("scale"))
+    sized = scale.grid_scale(t.spread(t.pixels), HEIGHT, WIDTH, minimum=50, min_cell=6).withColumn("depth_m", F.col("learned") * F.col("scale"))
     near = sized.where((F.col("depth_m") >= 0.1) & (F.col("depth_m") < 4.0))
     views = t.views.select("recording", "frame", view_pose().alias("pose"))
     world = px.world_points(near, views, "depth_m", intrinsics()).select(
         "recording", F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z")
     )
     fused = fusion.voxel_fuse(world, ["recording"], VOXEL_M)
-    return fused.withColumn("point", F.struct("ix", "iy", "iz"))
+        # three 21-bit voxel indices in one key
+    packed = ((F.col("ix") + (1 << 20)) * (1 << 21) + F.col("iy") + (1 << 20)) * (1 << 21) + F.col("iz") + (1 << 20)
+    return fused.withColumn("point", packed)
 
 
 def voted_surface(t, fused):

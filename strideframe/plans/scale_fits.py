@@ -39,7 +39,7 @@ def weighted_median(t):
     FROM q JOIN gl ON gl.recording = q.recording AND gl.frame = q.frame""", doubles="scale")
 def grid_scale(t):
     """AGG-03: per-pixel scale blended between cell medians."""
-    rows = scale.grid_scale(t.pixels, HEIGHT, WIDTH, minimum=50, min_cell=6)
+    rows = scale.grid_scale(t.spread(t.pixels), HEIGHT, WIDTH, minimum=50, min_cell=6)
     return rows.select("recording", "frame", "sample", "scale")
 
 
@@ -59,7 +59,7 @@ def grid_scale(t):
     SELECT recording, frame, inliers, slope, cy - slope * cx AS level, low, high FROM f""", doubles="slope level low high")
 def power_fit(t):
     """AGG-04: robust log-log line per frame."""
-    fits = scale.power_fit(t.pixels, "sample", F.floor(F.col("sample") / 8_000_000_000_000), weight="quantity")
+    fits = scale.power_fit(t.spread(t.pixels), "sample", F.floor(F.col("sample") / 8_000_000_000_000), weight="quantity")
     return fits.drop("targets")
 
 

@@ -243,7 +243,7 @@ def gap_by_lag(t):
     from ..operators.ordered import exact_quantiles
 
     views = t.views.select("recording", "frame", view_pose().alias("pose"))
-    rows = refs.surface_gaps(t.pixels, t.pixel_map, views, "target", intrinsics(), 48, 64, lags=[1, 4]).where("overlap_pixels > 0")
+    rows = refs.surface_gaps(t.spread(t.pixels), t.pixel_map, views, "target", intrinsics(), 48, 64, lags=[1, 4]).where("overlap_pixels > 0")
     keys = ["recording", "lag"]
     return exact_quantiles(rows, keys, "abs_m", {"median_abs_m": 0.5}, count="pairs").join(
         exact_quantiles(rows, keys, "signed_m", {"median_signed_m": 0.5}), keys

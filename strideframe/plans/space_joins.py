@@ -173,7 +173,7 @@ SEEN_SQL = f"""{PIXEL_WORLD_SQL},
 def surface_of(t):
     """Every depth pixel as a world point with an id that is unique in its recording."""
     views = t.views.withColumn("pose", view_pose())
-    world = px.world_points(t.pixels, views, "target", intrinsics())
+    world = px.world_points(t.spread(t.pixels), views, "target", intrinsics())
     return world.select(
         "recording", (F.col("frame") * 1_000_000_000_000_000 + F.col("sample")).alias("point"),
         F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"),

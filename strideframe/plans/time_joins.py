@@ -216,7 +216,7 @@ def grid_nearest_fill(t):
 def zbuffer_gap(t):
     """JOIN-12: nearest later point per pixel against the earlier frame's depth."""
     views = t.views.select("recording", "frame", view_pose().alias("pose"))
-    return refs.surface_gaps(t.pixels, t.pixel_map, views, "target", intrinsics(), 48, 64, lags=[1]).select(
+    return refs.surface_gaps(t.spread(t.pixels), t.pixel_map, views, "target", intrinsics(), 48, 64, lags=[1]).select(
         "recording", "frame", "overlap_pixels", "signed_m", "abs_m", "overlap"
     )
 
