@@ -149,8 +149,9 @@ def _robust_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 slopes.append(0.0)
                 levels.append(np.nan)
                 continue
-            dx, dy = x[:, None] - x[None, :], y[:, None] - y[None, :]
-            slope = float(np.median(dy[dx > 0] / dx[dx > 0]))
+            first, second = np.triu_indices(len(x), 1)  # each pair once; its slope has no direction
+            dx, dy = x[first] - x[second], y[first] - y[second]
+            slope = float(np.median(dy[dx != 0] / dx[dx != 0]))
             slopes.append(slope)
             levels.append(float(np.median(y) - slope * np.median(x)))
         yield batch[["recording", "frame"]].assign(_slope=slopes, _level=levels)
