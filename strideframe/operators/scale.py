@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..session import checkpointed
 from .ordered import carried, exact_quantiles, value_slices
 
 FRAME = ("recording", "frame")
@@ -182,9 +183,9 @@ def power_fit(
     lines = lines.join(flat, list(FRAME)).select(
         *FRAME, "_slope", F.when(F.isnan("_level"), F.col("_flat")).otherwise(F.col("_level")).alias("_level")
     )
-    left = numbered.join(lines, list(FRAME)).withColumn(
-        "_r", F.col("_y") - (F.col("_level") + F.col("_slope") * F.col("_x"))
-    )
+    left = checkpointed(numbered.join(lines, list(FRAME)).select(
+        *FRAME, "_x", "_y", "_w", "targets", (F.col("_y") - (F.col("_level") + F.col("_slope") * F.col("_x"))).alias("_r")
+    ))
     middle = exact_quantiles(left, FRAME, "_r", {"_mid": 0.5})
     left = left.join(middle, list(FRAME)).withColumn("_spread", F.abs(F.col("_r") - F.col("_mid")))
     reach = exact_quantiles(left, FRAME, "_spread", {"_reach": 0.5})

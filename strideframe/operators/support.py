@@ -28,12 +28,19 @@ def support_gap(a: np.ndarray, b: np.ndarray) -> float:
     return float(max(np.median(table.min(1)), np.median(table.min(0))))
 
 
+def ball_of(samples: np.ndarray) -> tuple[np.ndarray, float]:
+    """Mean of the samples and the radius around it that holds them all."""
+    centre = samples.mean(0)
+    return centre, float(np.sqrt(((samples - centre) ** 2).sum(1)).max())
+
+
 class SupportTracks:
     """One class of one origin: the last support of every object."""
 
     def __init__(self, reach: float, margin: float, gap: float):
         self.reach, self.margin, self.gap = reach, margin, gap
         self.supports: dict[int, np.ndarray] = {}
+        self.balls: dict[int, tuple[np.ndarray, float]] = {}
         self.born = 0
 
     def frame(self, rows: list[dict]) -> list[tuple[str, str, int | None]]:
@@ -41,12 +48,19 @@ class SupportTracks:
         parts = [layers_of(r["samples"], self.gap) for r in rows]
         silent = self._duplicates(rows, parts)
         options: dict[int, dict[int, tuple[float, int]]] = {}
+        numbers = list(self.balls)
+        centres = np.array([self.balls[n][0] for n in numbers]).reshape(-1, 3)
+        radii = np.array([self.balls[n][1] for n in numbers])
         for i, layers in enumerate(parts):
-            for n, support in self.supports.items():
-                costs = [(support_gap(layer, support), k) for k, layer in enumerate(layers)]
-                best = min(costs, default=(np.inf, 0))
-                if best[0] <= self.reach:
-                    options.setdefault(i, {})[n] = best
+            for k, layer in enumerate(layers):
+                centre, radius = ball_of(layer)
+                apart = np.sqrt(((centres - centre) ** 2).sum(1)) - radii - radius
+                # enclosing balls farther apart than the reach cannot hold near samples
+                for n in (numbers[c] for c in np.nonzero(apart <= self.reach)[0]):
+                    cost = support_gap(layer, self.supports[n])
+                    if cost <= min(self.reach, options.get(i, {}).get(n, (np.inf, 0))[0]):
+                        options.setdefault(i, {}).setdefault(n, (cost, k))
+                        options[i][n] = min(options[i][n], (cost, k))
         edges = [(i, n, cost) for i, near in options.items() if i not in silent for n, (cost, _) in near.items()]
         decided = with_abstention(edges, self.margin)
         out, moved = [], {}
@@ -70,6 +84,7 @@ class SupportTracks:
                 out.append(("new", "late_or_unmatched_provisional_birth", self.born))
                 self.born += 1
         self.supports |= moved
+        self.balls |= {n: ball_of(part) for n, part in moved.items()}
         return out
 
     @staticmethod
