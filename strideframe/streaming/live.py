@@ -23,7 +23,7 @@ def _schema(**fields) -> T.StructType:
 
 ACKNOWLEDGED = _schema(recording=_L, n=_L, arrival=_L, state=_S, through=_L)
 UPDATES = _schema(recording=_L, seq=_L, received=_L, corrections=_L, keyframe=_L, scale=_D, scale_source=_S)
-COUNTED = _schema(recording=_L, cls=_S, seq=_L, item=_L, outcome=_S, local_id=_L, nearest_m=_D)
+COUNTED = _schema(recording=_L, category=_S, seq=_L, item=_L, outcome=_S, local_id=_L, nearest_m=_D)
 
 
 class Acknowledge(StatefulProcessor):
@@ -125,9 +125,10 @@ class CountObjects(StatefulProcessor):
 
 def count_objects(events: DataFrame) -> DataFrame:
     """Decisions per detection from the event stream the batch form also reads; a frame must not straddle triggers."""
-    return events.groupBy("recording", "cls").transformWithStateInPandas(
+    # a grouping column named cls would clash with an argument of Spark's Row
+    return events.withColumnRenamed("cls", "category").groupBy("recording", "category").transformWithStateInPandas(
         statefulProcessor=CountObjects(), outputStructType=COUNTED, outputMode="append", timeMode="None"
-    )
+    ).withColumnRenamed("category", "cls")
 
 
 class VoxelMerge:

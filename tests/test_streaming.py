@@ -42,7 +42,7 @@ def test_sessions_equal_batch(spark, tmp_path):
 def test_acknowledgement_refuses_gaps_and_resends(spark, tmp_path):
     rows = [(1, 0, "frame"), (1, 1, "imu"), (1, 1, "imu"), (1, 3, "frame"), (1, 2, "frame"), (1, 3, "end"), (1, 4, "frame"), (2, 1, "frame")]
     df = spark.createDataFrame([(r, n, k, i) for i, (r, n, k) in enumerate(rows)], "recording long, n long, kind string, arrival long").withColumn(
-        "at", F.timestamp_seconds(F.col("arrival"))
+        "at", F.timestamp_seconds(F.col("arrival") + 1000)
     )
     got = drained(live.acknowledge(landed(spark, df, tmp_path / "in")), "acks", tmp_path).orderBy("arrival").collect()
     assert [r.state for r in got] == ["stored", "stored", "resend", "gap", "stored", "stored", "gap", "gap"]
