@@ -6,7 +6,7 @@ from ..functions.lcg import mixed_sql
 from ..operators import fusion, mapping
 from ..operators import pieces as pc
 from ..operators import vote  # noqa: F401
-from .registry import query
+from .registry import ORACLES, query
 from .scalars import HEIGHT, K, WIDTH, view_pose
 
 CELL = 0.5
@@ -270,3 +270,26 @@ def trial_score(t):
         F.when(F.abs("z") < 0.5, 1.0).otherwise(3.0).alias("depth"),
     )
     return pc.trial_score(surface, lines, t.points.withColumnRenamed("point", "sample"), floor_y=-0.5, radius=0.2)
+
+
+def _kept_sql(kind: str, source: str) -> str:
+    return f"SELECT recording, '{kind}' AS kind, count(*) FILTER (WHERE kept) AS kept_n FROM ({source}) AS k GROUP BY recording"
+
+
+@query("outliers", " UNION ALL ".join([
+    _kept_sql("radius", ORACLES["radius_outliers"]), _kept_sql("statistical", ORACLES["statistical_outliers"]),
+    _kept_sql("clusters", f"SELECT recording, cluster IS NOT NULL AND count(*) OVER (PARTITION BY recording, cluster) >= 4 AS kept FROM ({ORACLES['density_clusters']}) AS c"),
+]))
+def outliers(t):
+    """AGG-18: how many points each filter keeps."""
+    points = t.points
+    marked = {
+        "radius": pc.radius_keep(points, "recording", "point", 0.5, 4),
+        "statistical": pc.statistical_keep(points, "recording", "point", neighbours=8),
+        "clusters": pc.cluster_keep(pc.density_clusters(points, "recording", "point", eps=0.35, min_points=3), "recording", 4),
+    }
+    out = None
+    for kind, rows in marked.items():
+        counted = rows.groupBy("recording").agg(F.lit(kind).alias("kind"), F.count(F.when(F.col("kept"), 1)).alias("kept_n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
