@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.pin import pinned
 from .ordered import carried, exact_quantiles
-from .pixels import _row_stencil, project_into, world_points
+from .pixels import project_into, world_points
 
 FRAME = ("recording", "frame")
 BLOCK = 512

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import linking, paths, reports
-from ..operators.pixels import angular_speed  # noqa: F401
 from .registry import query
 from .scalars import frame_pose
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions.lcg import mixed_sql
 from ..operators import fusion, mapping
 from ..operators import pieces as pc
-from ..operators import vote  # noqa: F401
 from .registry import ORACLES, query
 from .scalars import HEIGHT, K, WIDTH, view_pose
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import pixels as px
 from ..operators import references as refs
 from ..operators import timejoin as tj
 from ..operators.ordered import HOUR_NS
