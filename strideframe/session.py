@@ -11,6 +11,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,15 +29,25 @@ def build_session(master: str | None = None, **extra) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder, so a lost executor costs no replay.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one named in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a private one is made only
-    where that setting is absent, as in tests.
+    A private one is made only where that is unset and the session runs on one machine; elsewhere
+    each executor would write to its own disk, so that is refused.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    current = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if current.isEmpty():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the cluster's shared checkpoint folder, so a lost executor costs no replay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
