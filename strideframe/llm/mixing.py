@@ -128,28 +128,25 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
 def dealt(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """(shard, source_id, k): the quotas(source_id, k) split among 2 ** depth shards."""
     parts = F.sort_array(F.collect_list(F.struct("source_id", "k")))
-    tree = quotas.agg(parts.alias("parts")).select(F.lit(0).cast("long").alias("node"), "parts")
-    for level in range(depth):
-        sum_ = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["k"])
-
-        def draw(state, part):
-            u = uniform(F.lit(seed), F.lit(level), F.col("node"), part["source_id"])
-            x = hypergeometric(state["total"], part["k"], state["drawn"], u)
-            own = F.struct(part["source_id"].alias("source_id"), x.alias("k"))
-            return F.struct(
-                (state["total"] - part["k"]).alias("total"), (state["drawn"] - x).alias("drawn"), F.concat(state["out"], F.array(own)).alias("out"),
-            )
-
-        half = F.struct(
-            sum_.alias("total"), F.floor(sum_ / 2).alias("drawn"), F.slice("parts", 1, 0).alias("out"),
+    tree = quotas.agg(parts.alias("parts")).select(F.lit(1).cast("long").alias("node"), "parts")
+    sum_ = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["k"])
+
+    def draw(state, part):
+        u = uniform(F.lit(seed), F.col("node"), part["source_id"])  # nodes are numbered as in a heap
+        x = hypergeometric(state["total"], part["k"], state["drawn"], u)
+        own = F.struct(part["source_id"].alias("source_id"), x.alias("k"))
+        return F.struct(
+            (state["total"] - part["k"]).alias("total"), (state["drawn"] - x).alias("drawn"), F.concat(state["out"], F.array(own)).alias("out"),
         )
-        tree = tree.withColumn("left", F.aggregate("parts", half, draw)["out"])
-        right = F.zip_with("parts", "left", lambda p, q: F.struct(p["source_id"].alias("source_id"), (p["k"] - q["k"]).alias("k")))
-        children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("parts")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("parts")))
-        tree = tree.select(F.explode(children).alias("c")).select("c.node", "c.parts")
+
+    half = F.struct(sum_.alias("total"), F.floor(sum_ / 2).alias("drawn"), F.slice("parts", 1, 0).alias("out"))
+    right = F.zip_with("parts", "left", lambda p, q: F.struct(p["source_id"].alias("source_id"), (p["k"] - q["k"]).alias("k")))
+    children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("parts")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("parts")))
+    for level in range(depth):  # every level has the same small plan, and is written before the next is laid out
+        tree = checkpointed(tree.withColumn("left", F.aggregate("parts", half, draw)["out"]).select(F.explode(children).alias("c")).select("c.node", "c.parts"))
         if level % TREE_STEPS == TREE_STEPS - 1:
             tree = tree.repartition("node")
-    return tree.select(F.col("node").alias("shard"), F.explode("parts").alias("p")).select("shard", "p.source_id", "p.k")
+    return tree.select((F.col("node") - (1 << depth)).alias("shard"), F.explode("parts").alias("p")).select("shard", "p.source_id", "p.k")
 
 
 def mix(docs: DataFrame, seed: int = 7, block_words: int = 1 << 15, blocks_per_shard: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -188,8 +185,8 @@ def mix(docs: DataFrame, seed: int = 7, block_words: int = 1 << 15, blocks_per_s
         ends = ends.withColumn("fits", fits).withColumn("new", F.col("fits") & (F.sum("size").over(order) <= F.col("left_words")))
         spent = F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).over(Window.partitionBy("source_id"))
         ends = ends.withColumn("left_words", F.col("left_words") - spent).withColumn("tail", F.col("tail") | F.col("new")).drop("fits", "new")
-    rows = rows.where(~edge).withColumn("tail", F.lit(False)).unionByName(ends)
-    return rows.drop("blocks", "reach", "left_words"), draws
+    rows = rows.where(~edge).withColumn("tail", F.lit(False)).unionByName(checkpointed(ends))
+    return rows.drop("blocks", "reach", "left_words"), checkpointed(draws)
 
 
 def taken(rows: DataFrame, draws: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licenses, line_dedup, mixing, quality, secrets, toxicity
+from . import decontaminate, jaccard_join, licenses, line_dedup, mixing, neighbours, quality, secrets, suffix_dedup, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings cover in every document, and a digest of what stays."""
+    return suffix_dedup.deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found for every fiftieth vector, against all vectors."""
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items per document."""
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -80,5 +90,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_decontaminate, op5_license_scan, op6_jaccard_join, op7_mix, op8_secrets, op9_line_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_nn_descent, op4_decontaminate, op5_license_scan, op6_jaccard_join, op7_mix, op8_secrets, op9_line_dedup, op10_toxicity)}
 ORACLES = {"op9_line_dedup": line_dedup.ORACLE}
