@@ -1,17 +1,19 @@
-"""Exact Jaccard self-join of word-shingle sets, by prefix lists with skipping and answers derived from leaders.
+"""Exact Jaccard self-join of word-shingle sets: skipping by blocks, prefix lists, answers derived from leaders.
 
 1. Texts with equal sets form a class; only one set per class goes on.
-2. Tokens are ordered rarest first: by hash, with the `HEAVY` most frequent tokens last, by count. Two sets
-   that reach the threshold share a token among the first n - ceil(n * threshold) + 1 of each, so inverted
-   lists of these prefixes find every link. Lists with one member are dropped.
-3. Answers of similar sets. In each list the member that enters earliest leads; every member is compared
+2. Block skipping. The global token order is cut into blocks by position, more than two linked sets of that
+   size can differ in tokens; so they agree in at least one whole block. An index list per (block, content)
+   holds the sets that agree there, and sets that agree with no other in any block are skipped for good.
+3. Prefix lists. Among what is left tokens are ordered rarest first, by exact counts. Linked sets share a
+   token among the first n - ceil(n * threshold) + 1 of each, and lists of these prefixes find every link.
+4. Answers of similar sets. In each list the member that enters earliest leads; every member is compared
    with it. That links most of a group of near copies, and leaves each set with a known distance to a leader.
-4. What is left are pairs of a list that are not in one component yet. A list's entries form blocks by
+5. What is left are pairs of a list that are not in one component yet. A list's entries form blocks by
    component, position and size; block pairs whose positions cannot leave enough overlap are skipped, the
    rest is expanded. A pair counts at its first common token only. If both sets know their distance to one
    leader, the triangle inequality answers it when it can, by accepting or refusing; else the sets are read.
 
-Nothing is capped: the heavy tokens only change the order, and leaders only save comparisons.
+Nothing is capped; leaders and blocks only save comparisons.
 
 Defined cases: null, empty and blank texts have an empty set and stay alone; a text of fewer words than a
 shingle is one shingle; rows that repeat a doc_id share one component. Hashes have 63 bits.
@@ -27,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import checkpointed
 from . import textbytes as tb
+from .phases import settled
 
-HEAVY = 50_000
-NOTED = 3
+BAND = 1.5
 HALF = np.uint64(1)
-LAST = np.uint64(1 << 63)
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,58 +57,74 @@ def shingle_sets(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return row[fresh], token[fresh]
 
 
-def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """Some HEAVY of the most frequent tokens, rarest first; counts come from tasks that saw a token NOTED times."""
+def bands(n: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The one or two size bands in which a set of n tokens looks for partners: its own, and the next if sets
+    of that band may be as near as the threshold."""
+    own = np.floor(np.log(np.maximum(n, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
+    above = np.ceil(BAND ** (own + 1) - 1e-6)
+    return own, n * 100 >= above * threshold
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, body, offsets in tb.slices(batch, "text", 8 << 20):
-                own, n = np.unique(shingle_sets(body, offsets, size)[1], return_counts=True)
-                keys, counts = np.concatenate([keys, own[n > 1]]), np.concatenate([counts, n[n > 1]])
-            if len(keys) > 1 << 21:  # rare ones go first; they only lose their place in the order
-                keys, counts = summed(keys, counts)
-                some = np.argsort(-counts, kind="stable")[: 1 << 20]
-                keys, counts = keys[some], counts[some]
-        keys, counts = summed(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= NOTED].view(np.int64)), pa.array(counts[counts >= NOTED])], ["t", "n"])
-
-    found = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "t").limit(HEAVY).toPandas()  # at most HEAVY pairs of numbers
-    return top["t"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
 
+def blocks_in(band: np.ndarray, threshold: int) -> np.ndarray:
+    """One more block than the tokens in which linked sets of the band (and of the next, by the threshold) can differ."""
+    most = np.ceil(BAND ** (band + 1))
+    return (2 * most * (100 - threshold) // (100 + threshold)).astype(np.int64) + 1
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, place = np.unique(keys, return_inverse=True)
-    return own, np.bincount(place, counts, len(own)).astype(np.int64)
 
-
-def ranked(docs: DataFrame, heavy: np.ndarray, size: int, threshold: int, whole: bool) -> DataFrame:
-    """Per row: doc_id, n, two digests of the set, and its tokens in global order: all, or the prefix only."""
-    order = np.argsort(heavy)
-    known, rank = heavy[order], order.astype(np.uint64)
+def signed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Per row: doc_id, n, two digests of the set, and a key for every block of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, body, offsets in tb.slices(batch, "text"):
                 row, token = shingle_sets(body, offsets, size)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-                    token = np.where(known[at] == token, LAST | rank[at], token)
-                    token = token[np.lexsort((token, row))]
                 cuts = np.searchsorted(row, np.arange(len(part) + 1))
                 n = np.diff(cuts)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(tb.mix(token ^ salt), dtype=np.uint64)]) for salt in (tb.BASE, tb.BASE_INVERSE)]
+                mixed = [tb.mix(token ^ salt) for salt in (tb.BASE, tb.BASE_INVERSE)]
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(m, dtype=np.uint64)]) for m in mixed]
                 digests = [(s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums]
-                keep = n if whole else n - (n * threshold + 99) // 100 + (n > 0)
-                place = np.arange(len(token)) - cuts[row]
-                kept = token[place < keep[row]].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(kept))
+                own, next_ = bands(n, threshold)
+                rows, keys, gaps = [], [], []
+                for band, chosen in ((own, n > 0), (own + 1, (n > 0) & next_)):
+                    m = blocks_in(band, threshold)
+                    use = np.flatnonzero(chosen[row])
+                    # tokens are hashes in order, so equal ranges of them are blocks by position
+                    place = ((token[use] >> np.uint64(31)) * m[row[use]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[use][1:] != row[use][:-1])])) if len(use) else use
+                    if len(first):
+                        content = np.add.reduceat(mixed[0][use], first)
+                        rows.append(row[use][first])
+                        keys.append(tb.mix(content + place[first].astype(np.uint64) * tb.BASE + band[rows[-1]].astype(np.uint64)))
+                        # sets may also agree in a block that is empty in both
+                        held = np.bincount(rows[-1], minlength=len(part))
+                        for r in np.flatnonzero(chosen & (held < m)):
+                            a, b = np.searchsorted(rows[-1], [r, r + 1])
+                            empty = np.setdiff1d(np.arange(m[r]), place[first][a:b]).astype(np.uint64)
+                            gaps.append((np.full(len(empty), r), tb.mix(empty * tb.BASE + np.uint64(band[r]))))
+                rows, keys = rows + [g[0] for g in gaps], keys + [g[1] for g in gaps]
+                rows, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, keys))
+                order = np.argsort(rows, kind="stable")
+                ends = np.searchsorted(rows[order], np.arange(len(part) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), *map(pa.array, digests),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))], ["doc_id", "n", "a", "b", "keys"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, a long, b long, keys array<long>")
+
+
+def whole_sets(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, body, offsets in tb.slices(batch, "text"):
+                row, token = shingle_sets(body, offsets, size)
+                cuts = np.searchsorted(row, np.arange(len(part) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), *map(pa.array, digests), lists], ["doc_id", "n", "a", "b", "tokens"],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(cuts).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(token.view(np.int64)))], ["c", "n", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, a long, b long, tokens array<long>")
+    return docs.mapInArrow(run, "c long, n int, tokens array<long>")
 
 
 def needed(n: str, m: str, threshold: int):
@@ -127,41 +143,46 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def joined(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links of `threshold` percent) per row."""
-    heavy = frequent_tokens(docs, size)
-    profiles = checkpointed(ranked(docs, heavy, size, threshold, False))
+    profiles = settled(signed(docs, size, threshold))
     filled = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("c"), F.first("tokens").alias("tokens"))
-    postings = classes.select("c", "n", F.posexplode("tokens").alias("pos", "t"))
-    shared = postings.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
+    classes = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("c"), F.first("keys").alias("keys"))
+    indexed = classes.select("c", F.explode("keys").alias("key"))
+    agreeing = indexed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("key")
+    wanted = settled(indexed.join(agreeing, "key").select(F.col("c").alias("doc_id")).distinct())
+    sets = settled(whole_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), size))
+    tokens = sets.select("c", "n", F.explode("tokens").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("k")).where("k > 1")
+    # rarest first: tokens of one set come before all others, then by count
+    entries = tokens.join(shared, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    prefix = (F.col("n") - F.ceil(F.col("n") * threshold / 100 - 1e-9) + 1).cast("int")
+    entries = entries.select("c", "n", alone.alias("alone"), F.slice("own", F.lit(1), F.greatest(prefix - alone, F.lit(0))).alias("own"))
     # what stands before an entry in its prefix tells a pair's first common token from later ones
-    entries = postings.join(shared, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("own"))
-    lists = checkpointed(entries.select("c", "n", "own", F.posexplode("own").alias("k", "e")).select(
-        "c", "n", "e.t", "e.pos", F.transform(F.slice("own", F.lit(1), F.col("k")), lambda o: o["t"]).alias("before"),
+    lists = settled(entries.select("c", "n", "alone", "own", F.posexplode("own").alias("k", "e")).select(
+        "c", "n", "e.t", (F.col("alone") + F.col("k")).alias("pos"), F.transform(F.slice("own", F.lit(1), F.col("k")), lambda o: o["t"]).alias("before"),
     ))
-    wanted = lists.select(F.col("c").alias("doc_id")).distinct()
-    sets = checkpointed(ranked(docs.select("doc_id", "text").join(wanted, "doc_id"), heavy, size, threshold, True).select(F.col("doc_id").alias("c"), "n", "tokens").dropDuplicates(["c"]))
 
     leaders = lists.groupBy("t").agg(F.min(F.struct("pos", "n", "c")).alias("l"))
     reach = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
     led = lists.join(leaders, "t").select(F.col("l.c").alias("x"), F.col("c").alias("y"), F.col("l.n").alias("m"), "n").where("x <> y").where(reach)
-    first = checkpointed(compared(led.select("x", "y").distinct(), sets, threshold))
+    first = settled(compared(led.select("x", "y").distinct(), sets, threshold))
     links = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     nodes = wanted.select(F.col("doc_id").alias("id"))
-    parts = checkpointed(components(nodes, links)).withColumnRenamed("id", "c")
+    parts = settled(components(nodes, links)).withColumnRenamed("id", "c")
 
     home = first.groupBy(F.col("y").alias("c")).agg(F.min(F.struct("apart", "x")).alias("h")).select("c", F.col("h.x").alias("leader"), F.col("h.apart").alias("far"))
     rows = lists.join(parts, "c").join(home, "c", "left")
     rows = rows.withColumn("block", F.struct("component", F.floor(F.log2(F.col("pos") + 1)), F.floor(F.log("n") / F.log(F.lit(1.05)))))
     blocks = rows.groupBy("t", "component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     split = blocks.groupBy("t").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("t")
-    blocks = checkpointed(blocks.join(split, "t"))
+    blocks = settled(blocks.join(split, "t"))
     side = lambda df, s, names: df.select("t", *[F.col(c).alias(f"{c}_{s}") for c in names])
     names = ["component", "block", "low", "high", "rest"]
     open_ = side(blocks, "x", names).join(side(blocks, "y", names), "t").where(
         (F.col("component_x") < F.col("component_y")) & (F.col("high_x") * 100 >= F.col("low_y") * threshold) & (F.col("high_y") * 100 >= F.col("low_x") * threshold)
         & (F.least("rest_x", "rest_y") >= needed("low_x", "low_y", threshold)),
     ).select("t", "block_x", "block_y")
-    rows = checkpointed(rows.join(split, "t"))
+    rows = settled(rows.join(split, "t"))
     names = ["c", "n", "pos", "before", "block", "leader", "far"]
     pairs = open_.join(side(rows, "x", names), ["t", "block_x"]).join(side(rows, "y", names), ["t", "block_y"]).where(
         (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed("n_x", "n_y", threshold))
@@ -173,9 +194,9 @@ def joined(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
         F.col("c_x").alias("x"), F.col("c_y").alias("y"), F.coalesce(same & (F.col("far_x") + F.col("far_y") <= allowed), F.lit(False)).alias("near"),
         F.coalesce(same & (F.abs(F.col("far_x") - F.col("far_y")) > allowed), F.lit(False)).alias("off"),
     ).where("NOT off")
-    pairs = checkpointed(pairs)
+    pairs = settled(pairs)
     late = compared(pairs.where("NOT near").select("x", "y"), sets, threshold).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    late = checkpointed(late.unionByName(pairs.where("near").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    late = settled(late.unionByName(pairs.where("near").select(F.col("x").alias("a"), F.col("y").alias("b"))))
     if not late.isEmpty():
         # only components are joined now, and there are fewer of them than sets
         lift = lambda side: parts.select(F.col("c").alias(side), F.col("component").alias(f"{side}_part"))

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
 from . import textbytes as tb
+from .phases import settled
 
 LENGTH, CONTEXT, WIDTH = 200, 64, 16
 REACH = LENGTH - CONTEXT
@@ -173,13 +173,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     contexts = phrase_table(rows, False).groupBy("context").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
     contexts = contexts.where("n > 1").select("context", (F.col("low") == F.col("high")).alias("settled"))
-    seen = checkpointed(phrase_table(rows, True).join(contexts, "context"))
+    seen = settled(phrase_table(rows, True).join(contexts, "context"))
     whole = seen.where("settled").select("id", "h", "a", "b")
     # one text stands for all occurrences of an entry
     open_ = seen.where("NOT settled").groupBy("context", "name").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "a", "b")).alias("e"))
     entries = open_.groupBy("e.id", "e.h").agg(F.collect_list(F.struct("e.a", "e.b", "context", "k")).alias("entries"))
     once = rows.select("id", "h", "text").join(entries, ["id", "h"]).dropDuplicates(["id", "h"])
-    suffixes = checkpointed(suffix_table(once))
+    suffixes = settled(suffix_table(once))
     repeated = suffixes.groupBy("context", "s").agg(F.sum("k").alias("n")).where("n > 1").select("context", "s")
     single = suffixes.where("k = 1").join(repeated, ["context", "s"]).select("id", "h", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
     several = seen.where("NOT settled").join(open_.where("k > 1").select("context", "name"), ["context", "name"]).select("id", "h", "a", "b")
