@@ -4,8 +4,8 @@
 2. Block skipping. The global token order is cut into blocks by position, more than two linked sets of that
    size can differ in tokens; so they agree in at least one whole block. An index list per (block, content)
    holds the sets that agree there, and sets that agree with no other in any block are skipped for good.
-3. Prefix lists. Among what is left tokens are ordered rarest first, by exact counts. Linked sets share a
-   token among the first n - ceil(n * threshold) + 1 of each, and lists of these prefixes find every link.
+3. Prefix lists. Among what is left tokens are ordered by hash, with the HEAVY most frequent ones last, by
+   count. Linked sets share a token among the first n - ceil(n * threshold) + 1 of each, and lists of these prefixes find every link.
 4. Answers of similar sets. In each list the member that enters earliest leads; every member is compared
    with it. That links most of a group of near copies, and leaves each set with a known distance to a leader.
 5. What is left are pairs of a list that are not in one component yet. A list's entries form blocks by
@@ -33,6 +33,7 @@ from . import textbytes as tb
 from .phases import settled
 
 BAND = 1.5
+HEAVY, NOTED = 50_000, 3
 HALF = np.uint64(1)
 
 
@@ -113,9 +114,9 @@ def signed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, a long, b long, keys array<long>")
 
 
-def whole_sets(docs: DataFrame, size: int) -> DataFrame:
+def whole_sets(packed: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.restored(batches):
             for part, body, offsets in tb.slices(batch, "text"):
                 row, token = shingle_sets(body, offsets, size)
                 cuts = np.searchsorted(row, np.arange(len(part) + 1))
@@ -124,7 +125,56 @@ def whole_sets(docs: DataFrame, size: int) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(token.view(np.int64)))], ["c", "n", "tokens"],
                 )
 
-    return docs.mapInArrow(run, "c long, n int, tokens array<long>")
+    return packed.mapInArrow(run, "c long, n int, tokens array<long>")
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, place = np.unique(keys, return_inverse=True)
+    return own, np.bincount(place, counts, len(own)).astype(np.int64)
+
+
+def frequent_tokens(sets: DataFrame) -> np.ndarray:
+    """At most HEAVY of the most frequent tokens, rarest first; counts come from tasks that saw a token NOTED times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            flat = batch.column("tokens").flatten().to_numpy()
+            keys, counts = summed(np.concatenate([keys, flat]), np.concatenate([counts, np.ones(len(flat), np.int64)]))
+            if len(keys) > 1 << 20:  # rare ones go first; they only lose their place in the order
+                some = np.argsort(-counts, kind="stable")[: 1 << 19]
+                keys, counts = keys[some], counts[some]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= NOTED]), pa.array(counts[counts >= NOTED])], ["t", "n"])
+
+    found = sets.select("tokens").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "t").limit(HEAVY).toPandas()  # at most HEAVY pairs of numbers
+    return top["t"].to_numpy(np.int64)[::-1].copy()
+
+
+def prefixes(sets: DataFrame, heavy: np.ndarray, threshold: int) -> DataFrame:
+    """c, n, pos and t of each set's first tokens: by hash, the frequent ones after all others, by count."""
+    order = np.argsort(heavy)
+    known, rank = heavy[order], order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            token, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            n = np.diff(ends)
+            row = np.repeat(np.arange(len(n)), n)
+            late = np.zeros(len(token), np.int64)
+            if len(known) and len(token):
+                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                late = np.where(known[at] == token, rank[at] + 1, 0)
+            token = token[np.lexsort((token, late, row))]
+            pos = np.arange(len(token)) - ends[:-1][row]
+            keep = pos < (n - (n * threshold + 99) // 100 + 1)[row]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c").take(pa.array(row[keep])), pa.array(n[row[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(token[keep])],
+                ["c", "n", "pos", "t"],
+            )
+
+    return sets.select("c", "tokens").mapInArrow(run, "c long, n int, pos int, t long")
 
 
 def needed(n: str, m: str, threshold: int):
@@ -149,17 +199,13 @@ def joined(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
     indexed = classes.select("c", F.explode("keys").alias("key"))
     agreeing = indexed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("key")
     wanted = settled(indexed.join(agreeing, "key").select(F.col("c").alias("doc_id")).distinct())
-    sets = settled(whole_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), size))
-    tokens = sets.select("c", "n", F.explode("tokens").alias("t"))
-    shared = tokens.groupBy("t").agg(F.count("*").alias("k")).where("k > 1")
-    # rarest first: tokens of one set come before all others, then by count
-    entries = tokens.join(shared, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("own"))
-    alone = F.col("n") - F.size("own")
-    prefix = (F.col("n") - F.ceil(F.col("n") * threshold / 100 - 1e-9) + 1).cast("int")
-    entries = entries.select("c", "n", alone.alias("alone"), F.slice("own", F.lit(1), F.greatest(prefix - alone, F.lit(0))).alias("own"))
+    sets = settled(whole_sets(tb.packed(docs, "doc_id").join(wanted, "doc_id"), size))
+    postings = prefixes(sets, frequent_tokens(sets), threshold)
+    shared = postings.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
+    entries = postings.join(shared, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("own"))
     # what stands before an entry in its prefix tells a pair's first common token from later ones
-    lists = settled(entries.select("c", "n", "alone", "own", F.posexplode("own").alias("k", "e")).select(
-        "c", "n", "e.t", (F.col("alone") + F.col("k")).alias("pos"), F.transform(F.slice("own", F.lit(1), F.col("k")), lambda o: o["t"]).alias("before"),
+    lists = settled(entries.select("c", "n", "own", F.posexplode("own").alias("k", "e")).select(
+        "c", "n", "e.t", "e.pos", F.transform(F.slice("own", F.lit(1), F.col("k")), lambda o: o["t"]).alias("before"),
     ))
 
     leaders = lists.groupBy("t").agg(F.min(F.struct("pos", "n", "c")).alias("l"))

@@ -111,7 +111,7 @@ def suffix_table(texts: DataFrame) -> DataFrame:
     """Order class of every suffix of the entries in `entries` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.restored(batches):
             for part, body, offsets in tb.slices(batch, "text"):
                 whole = rolling(body)[2]
                 entries = part.column("entries")
@@ -145,7 +145,7 @@ def cut(texts: DataFrame) -> DataFrame:
     """Per text, what goes and a digest of what stays; `kept` holds the remaining bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.restored(batches):
             for part, body, offsets in tb.slices(batch, "text"):
                 removed, spans, kept = [], [], []
                 for k, found in enumerate(part.column("ranges")):
@@ -175,13 +175,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     contexts = contexts.where("n > 1").select("context", (F.col("low") == F.col("high")).alias("settled"))
     seen = settled(phrase_table(rows, True).join(contexts, "context"))
     whole = seen.where("settled").select("id", "h", "a", "b")
-    # one text stands for all occurrences of an entry
+    # one text stands for all occurrences of an entry; contexts all of whose entries occur twice are settled too
     open_ = seen.where("NOT settled").groupBy("context", "name").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "a", "b")).alias("e"))
-    entries = open_.groupBy("e.id", "e.h").agg(F.collect_list(F.struct("e.a", "e.b", "context", "k")).alias("entries"))
-    once = rows.select("id", "h", "text").join(entries, ["id", "h"]).dropDuplicates(["id", "h"])
+    single_in = open_.groupBy("context").agg(F.min("k").alias("least")).where("least = 1").select("context")
+    entries = open_.join(single_in, "context").groupBy("e.id", "e.h").agg(F.collect_list(F.struct("e.a", "e.b", "context", "k")).alias("entries"))
+    # entries of a row that is there twice have k > 1, so that it is read twice changes no count that matters
+    once = tb.packed(rows, "id", "h").join(entries, ["id", "h"])
     suffixes = settled(suffix_table(once))
     repeated = suffixes.groupBy("context", "s").agg(F.sum("k").alias("n")).where("n > 1").select("context", "s")
     single = suffixes.where("k = 1").join(repeated, ["context", "s"]).select("id", "h", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
     several = seen.where("NOT settled").join(open_.where("k > 1").select("context", "name"), ["context", "name"]).select("id", "h", "a", "b")
     ranges = whole.unionByName(several).unionByName(single).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    return cut(rows.join(ranges, ["id", "h"], "left").select("doc_id", "text", "ranges"))
+    return cut(tb.packed(rows, "doc_id", "id", "h").join(ranges, ["id", "h"], "left").select("doc_id", "z", "ranges"))

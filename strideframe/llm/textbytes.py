@@ -114,3 +114,31 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """The row of every item, from each row's first item and one past the last."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def packed(docs, *names: str):
+    """docs(text, *names) with the text compressed as `z`, for shuffles that carry whole texts."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            z = pa.array([None if t is None else press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([z, *[batch.column(n) for n in names]], ["z", *names])
+
+    return docs.select("text", *names).mapInArrow(run, f"z binary, {kinds}")
+
+
+def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with `text` again in place of `z`, a few hundred rows at a time."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for at in range(0, len(whole), 256):
+            batch = whole.slice(at, 256)
+            text = pa.array([None if z is None else press.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.string())
+            names = [n for n in batch.schema.names if n != "z"]
+            yield pa.RecordBatch.from_arrays([text, *[batch.column(n) for n in names]], ["text", *names])
