@@ -195,10 +195,13 @@ def joined(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links of `threshold` percent) per row."""
     profiles = settled(signed(docs, size, threshold))
     filled = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("c"), F.first("keys").alias("keys"))
-    indexed = classes.select("c", F.explode("keys").alias("key"))
-    agreeing = indexed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("key")
-    wanted = settled(indexed.join(agreeing, "key").select(F.col("c").alias("doc_id")).distinct())
+    indexed = filled.select("a", F.explode("keys").alias("key"))
+    agreeing = indexed.groupBy("key").agg(F.min("a").alias("p"), F.max("a").alias("q")).where("p <> q").select("key")
+    agreed = indexed.join(agreeing, "key").select("a").distinct()
+    sizes = settled(profiles.select("doc_id", "n", "a", "b"))
+    classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("c"))
+    wanted = settled(classes.join(agreed, "a").select(F.col("c").alias("doc_id")).distinct())
+    del profiles, filled, indexed, agreeing, agreed
     sets = settled(whole_sets(tb.packed(docs, "doc_id").join(wanted, "doc_id"), size))
     postings = prefixes(sets, frequent_tokens(sets), threshold)
     shared = postings.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
@@ -210,8 +213,10 @@ def joined(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
 
     leaders = lists.groupBy("t").agg(F.min(F.struct("pos", "n", "c")).alias("l"))
     reach = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
-    led = lists.join(leaders, "t").select(F.col("l.c").alias("x"), F.col("c").alias("y"), F.col("l.n").alias("m"), "n").where("x <> y").where(reach)
-    first = settled(compared(led.select("x", "y").distinct(), sets, threshold))
+    led = lists.join(leaders, "t").select(F.col("l.c").alias("x"), F.col("c").alias("y"), F.col("l.n").alias("m"), "n", "pos", F.col("l.pos").alias("at")).where("x <> y").where(reach)
+    led = led.groupBy("x", "y", "m", "n").agg(F.min("pos").alias("pos"), F.min("at").alias("at"))  # their first common token
+    led = led.where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= needed("n", "m", threshold))
+    first = settled(compared(led.select("x", "y"), sets, threshold))
     links = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     nodes = wanted.select(F.col("doc_id").alias("id"))
     parts = settled(components(nodes, links)).withColumnRenamed("id", "c")
@@ -251,7 +256,7 @@ def joined(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
         parts = parts.join(roots, "component").select("c", F.col("root").alias("component"))
 
     lowest = classes.select("n", "a", "b", "c").join(parts, "c", "left").select("n", "a", "b", F.coalesce("component", "c").alias("component"))
-    out = profiles.select("doc_id", "n", "a", "b").join(lowest, ["n", "a", "b"], "left")
+    out = sizes.join(lowest, ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -22,6 +22,7 @@ count; rows that repeat a doc_id are told apart by their texts, and repeated row
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -184,6 +185,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     suffixes = settled(suffix_table(once))
     repeated = suffixes.groupBy("context", "s").agg(F.sum("k").alias("n")).where("n > 1").select("context", "s")
     single = suffixes.where("k = 1").join(repeated, ["context", "s"]).select("id", "h", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
+    single = settled(single.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("r")))
+    del suffixes, repeated
     several = seen.where("NOT settled").join(open_.where("k > 1").select("context", "name"), ["context", "name"]).select("id", "h", "a", "b")
-    ranges = whole.unionByName(several).unionByName(single).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = whole.unionByName(several).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("r")).unionByName(single)
+    ranges = settled(ranges.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges")))
+    del seen, whole, open_, several, single, single_in, entries, once
+    gc.collect()
     return cut(tb.packed(rows, "doc_id", "id", "h").join(ranges, ["id", "h"], "left").select("doc_id", "z", "ranges"))
