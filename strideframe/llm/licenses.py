@@ -53,8 +53,10 @@ def shingles(tokens: Column, size: int) -> Column:
 
 def bands(window: Column) -> Column:
     """The band hashes of a set of shingles."""
-    minima = lambda b: [F.array_min(F.transform(window, lambda h, k=b * ROWS + r: F.xxhash64(h, F.lit(k)))) for r in range(ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *minima(b)) for b in range(BANDS)])
+    def minimum(k: int) -> Column:
+        return F.array_min(F.transform(window, lambda h: F.xxhash64(h, F.lit(k))))
+
+    return F.array(*[F.xxhash64(F.lit(b), *[minimum(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
 
 
 def builtin_templates(spark: SparkSession) -> DataFrame:
