@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame
 
 from ..session import checkpointed
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder. Spark deletes the shuffle files of finished phases when
-    their plans are collected as garbage; asking for that here keeps disk to about one phase at a time."""
-    out = checkpointed(df)
-    del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
-    return out
+    """`df` written to the shared checkpoint folder; Spark drops the shuffle files of this execution when it ends,
+    so a job's disk is about that of one phase. The session's own setting is put back."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set(CLEANUP, before)
