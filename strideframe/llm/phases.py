@@ -1,21 +1,25 @@
-"""Writing a phase's result, and letting go of what made it."""
+"""Writing a phase's result to the shared folder, and letting go of what made it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
-from ..session import checkpointed
+from ..session import shared_folder
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder; Spark drops the shuffle files of this execution when it ends,
-    so a job's disk is about that of one phase. The session's own setting is put back."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    """`df` as a compressed table in the folder that all executors share. Spark drops the shuffle files of this
+    execution when it ends; the session's own setting is put back."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    path = f"{shared_folder(spark)}/phase-{uuid.uuid4().hex}"
+    spark.conf.set(CLEANUP, "true")
     try:
-        return checkpointed(df)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
