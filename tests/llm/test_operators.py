@@ -163,7 +163,7 @@ def test_licences(spark, docs, nothing):
 
 
 def test_learned_models_on_held_out_rows(spark, nothing):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     teach = labels.where(toxicity.learning(F.col("doc_id")))
     model = quality.fit(docs, quality.grades_of(teach))
     assert (np.diff(model.thresholds) > 0).all()
