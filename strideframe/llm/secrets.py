@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .phases import settled
+
 #: The three formats, in the order in which their kinds are listed, and their least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -199,6 +201,7 @@ def learn(docs: DataFrame, examples: int = 400) -> Models:
     """
     seen = docs.select("doc_id", F.explode(spans(F.col("text"), None)).alias("s")).select("doc_id", "s.kind", "s.value", "s.start")
     seen = seen.where("kind <> 'ordinary' OR NOT value RLIKE '[0-9]'")
+    seen = settled(seen)  # texts are searched once, not once per kind
     order = [F.xxhash64("doc_id", "start"), "doc_id", "start"]
     chosen = None
     for kind in (*KINDS, "ordinary"):
