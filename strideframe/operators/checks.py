@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from math import ceil, log2
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import boxes as b
 from ..session import checkpointed
@@ -53,15 +55,35 @@ def sequence_summary(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFram
     )
 
 
-def acknowledged(rows: DataFrame, keys: Sequence[str], n: str, arrival: str, chunk: int = 4096) -> DataFrame:
-    """Each message as stored, resend or gap; stored ones form the unbroken run from 0."""
-    first = rows.groupBy(*keys, n).agg(F.min(arrival).alias("_first"))
-    placed = carried(first, keys, [n], F.floor(F.col(n) / chunk), running={"_rank": F.lit(1).cast("long")})
-    placed = placed.withColumn("_unbroken", F.col(n) == F.col("_rank") - 1)
-    return rows.join(placed, [*keys, n]).withColumn(
-        "state",
-        F.when(~F.col("_unbroken"), "gap").when(F.col(arrival) > F.col("_first"), "resend").otherwise("stored"),
-    ).drop("_first", "_rank", "_unbroken")
+def acknowledged(rows: DataFrame, keys: Sequence[str], n: str, arrival: str, ends: Column | None = None) -> DataFrame:
+    """Each message as stored, resend or gap by what was stored when it came; nothing new is stored after one that `ends`.
+
+    Whether a number is stored depends on every arrival before it, so a recording's messages stream through one
+    task in that order; it holds the last stored number only. A message without a number is a gap.
+    """
+    keys = list(keys)
+    columns = rows.columns
+    marked = rows.withColumn("_ends", F.lit(False) if ends is None else F.coalesce(ends, F.lit(False)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recording, through, ended = None, -1, False
+        for batch in batches:
+            owners = zip(*[batch.column(k).to_pylist() for k in keys])
+            states = []
+            for owner, number, last in zip(owners, batch.column(n).to_pylist(), batch.column("_ends").to_pylist()):
+                if owner != recording:
+                    recording, through, ended = owner, -1, False
+                if number is not None and number <= through:
+                    states.append("resend")
+                elif number == through + 1 and not ended:
+                    through, ended = number, last
+                    states.append("stored")
+                else:
+                    states.append("gap")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(states, pa.string())], [*columns, "state"])
+
+    ordered = marked.repartition(*keys).sortWithinPartitions(*keys, arrival, n)
+    return ordered.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("state", T.StringType())]))
 
 
 def time_reversals(

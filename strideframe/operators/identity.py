@@ -265,18 +265,12 @@ class PolicyTracks:
                 self.tracks[name] = {"anchor": rows[i]["position"], "last": None, "views": [], "gallery": []}
                 self._accept(self.tracks[name], rows[i])
             return [out[i] for i in range(len(rows))]
-        options = []
+        options, tried = [], []
         for i in open_rows:
             edges = [(n, self._edge(rows[i], t)) for n, t in sorted(self.tracks.items())]
-            options.append([(n, c) for n, c in edges if c is not None])
-        best, others = near_equal(options, AMBIGUITY_GAP + 1e-12)
-        unclear = set()
-        for row, name in best.items():
-            rivals = [m for m, _ in others if m.get(row) != name]
-            if rivals:
-                unclear.add(row)
-                for rival in rivals:
-                    unclear |= {r for r in {*rival, *best} if rival.get(r) != best.get(r)}
+            options += [(len(tried), n, c) for n, c in edges if c is not None]
+            tried.append(i)
+        best, unclear = near_equal(options, AMBIGUITY_GAP + 1e-12)
         chosen = []
         for k, i in enumerate(open_rows):
             if k in unclear:

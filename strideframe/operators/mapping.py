@@ -15,7 +15,6 @@ from ..functions.lcg import mixed
 
 AXES = ("x", "y", "z")
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
-MAX_GRID_CELLS = 16_000_000
 
 
 def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,7 +124,6 @@ def _in_plane(normal: Sequence[Column]) -> tuple[list[Column], list[Column]]:
 
 def footprint(
     points: DataFrame, planes: DataFrame, key: str, cell: float = 0.05, band: float = 0.02, min_points: int = 1000,
-    max_cells: int = MAX_GRID_CELLS,
 ) -> DataFrame:
     """Area, extents and heights of each origin on its plane, or the reason they are missing.
 
@@ -168,19 +166,16 @@ def footprint(
         key, "lo_s", "lo_t", (F.floor((F.col("hi_s") - F.col("lo_s")) / cell) + 1).alias("grid_rows"),
         (F.floor((F.col("hi_t") - F.col("lo_t")) / cell) + 1).alias("grid_columns"),
     )
-    wide = F.col("grid_rows") * F.col("grid_columns") > max_cells
-    cells = spots.join(spans.where(~wide), key).groupBy(
+    cells = spots.join(spans, key).groupBy(
         key, F.floor((F.col("_s") - F.col("lo_s")) / cell).alias("_i"), F.floor((F.col("_t") - F.col("lo_t")) / cell).alias("_j")
     ).agg(F.max("_h").alias("_top"), F.max((F.abs("_h") <= band).cast("int")).alias("_on"))
     area = cells.groupBy(key).agg(
         F.count("*").alias("observed_cells"), F.sum("_on").alias("plane_cells"), F.max("_top").alias("highest_m"), F.min("_top").alias("lowest_m")
     )
-    out = axes.select(key, "points", "reason").join(spans.withColumn("_wide", wide), key, "left").join(area, key, "left")
+    out = axes.select(key, "points", "reason").join(spans, key, "left").join(area, key, "left")
     square = cell * cell
     return out.select(
-        key, "points",
-        F.coalesce("reason", F.when(F.col("_wide"), F.lit("grid too large"))).alias("reason"),
-        (F.col("observed_cells") * square).alias("observed_area_m2"), (F.col("plane_cells") * square).alias("plane_area_m2"),
+        key, "points", "reason", (F.col("observed_cells") * square).alias("observed_area_m2"), (F.col("plane_cells") * square).alias("plane_area_m2"),
         (F.col("grid_rows") * cell).alias("length_m"), (F.col("grid_columns") * cell).alias("width_m"),
         ((F.col("grid_rows") * F.col("grid_columns") - F.col("observed_cells")) * square).alias("unknown_area_m2"),
         "highest_m", "lowest_m",

@@ -192,20 +192,17 @@ def frame_windows(rows: DataFrame, keys: Sequence[str], order: str, size: int, s
     each frame is kept by the first window that holds it."""
     keys = list(keys)
     placed = numbered(rows, keys, order)
-    block = size * stride
     n, p = F.col("total"), F.col("position")
-    whole = n >= block
-    blocks = F.floor(n / block)
-    moved = n - block
-    in_main = F.when(~whole, F.lit(True)).otherwise(p < blocks * block)
-    start = F.when(~whole, F.lit(0)).otherwise(F.floor(p / block) * block)
-    tail = whole & (blocks * block < n) & (p >= moved)
-    single = F.lit(1) if stride == 1 else F.when(whole, F.lit(stride)).otherwise(F.lit(1))
-    small = F.floor(p / size) * size  # stride does not apply to runs shorter than one block
-    if stride > 1:
-        start = F.when(whole, start).otherwise(F.when((F.floor(p / size) + 1) * size <= n, small).otherwise(small))
-    first = F.struct((start + (p - start) % single).cast("long").alias("window"), F.lit(True).alias("kept"))
-    second = F.struct((moved + (p - moved) % single).cast("long").alias("window"), (p >= blocks * block).alias("kept"))
+    spread = n >= size * stride  # shorter runs are cut without a stride
+    block, step = F.when(spread, size * stride).otherwise(size), F.when(spread, stride).otherwise(1)
+    covered = F.floor(n / block) * block
+    start, moved = F.floor(p / block) * block, n - block
+    in_main = (n < block) | (p < covered)
+    first = F.struct((start + (p - start) % step).cast("long").alias("window"), F.lit(True).alias("kept"))
+    second = F.struct((moved + (p - moved) % step).cast("long").alias("window"), (p >= covered).alias("kept"))
+    # a moved window that holds no frame of its own is left out
+    fresh = F.pmod(p - covered, step) < n - covered
+    tail = (n > block) & (p >= moved) & fresh
     members = F.array_compact(F.array(F.when(in_main, first), F.when(tail, second)))
     return placed.withColumn("_m", F.explode(members)).select(*keys, order, "position", "_m.window", "_m.kept")
 

@@ -143,9 +143,11 @@ def frame_windows(t):
 
 @query("strided_windows", """
     WITH f AS (SELECT recording, seq, row_number() OVER (PARTITION BY recording ORDER BY seq) - 1 AS p, count(*) OVER (PARTITION BY recording) AS n FROM frames WHERE status = 'F'),
-    m AS (SELECT *, p // 12 * 12 + (p - p // 12 * 12) % 3 AS w, true AS kept FROM f WHERE p < n // 12 * 12
-          UNION ALL SELECT *, n - 12 + (p - (n - 12)) % 3, p >= n // 12 * 12 FROM f WHERE n // 12 * 12 < n AND p >= n - 12)
-    SELECT recording, seq, w AS "window", kept FROM m""")
+    b AS (SELECT *, CASE WHEN n >= 12 THEN 12 ELSE 4 END AS b, CASE WHEN n >= 12 THEN 3 ELSE 1 END AS s FROM f),
+    m AS (SELECT *, p // b * b + (p - p // b * b) % s AS w, true AS kept, 0 AS part FROM b WHERE n < b OR p < n // b * b
+          UNION ALL SELECT *, n - b + (p - (n - b)) % s, p >= n // b * b, 1 FROM b WHERE n >= b AND n // b * b < n AND p >= n - b),
+    k AS (SELECT *, bool_or(kept) OVER (PARTITION BY recording, part, w) AS holds FROM m)
+    SELECT recording, seq, w AS "window", kept FROM k WHERE holds""")
 def strided_windows(t):
     """WIN-09: windows whose members are a stride apart."""
     rows = sq.frame_windows(t.frames.where("status = 'F'").select("recording", "seq"), ["recording"], "seq", 4, stride=3)

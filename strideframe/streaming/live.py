@@ -62,12 +62,12 @@ class LiveUpdate(StatefulProcessor):
     """One update per trigger from the newest frame; scale, keyframe and known anchors are kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("live", _schema(scale=_D, keyframe=_L, received=_L))
+        self.state = handle.getValueState("live", _schema(scale=_D, keyframe=_L, received=_L, corrections=_L))
         self.anchors = handle.getMapState("anchors", _schema(anchor=_L), _schema(seq=_L))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        scale, keyframe, received = self.state.get() if self.state.exists() else (None, None, 0)
-        best, corrections = None, 0
+        scale, keyframe, received, corrections = self.state.get() if self.state.exists() else (None, None, 0, 0)
+        best = None
         for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
             received += 1
             if not pd.isna(row.created):
@@ -83,7 +83,8 @@ class LiveUpdate(StatefulProcessor):
             source = "fitted" if fitted is not None else "previous" if scale is not None else "none"
             scale = fitted if fitted is not None else scale
             yield pd.DataFrame([(key[0], best[1], received, corrections, best[2], scale, source)], columns=UPDATES.names)
-        self.state.update((scale, keyframe, received))
+            corrections = 0  # they count until an update is taken
+        self.state.update((scale, keyframe, received, corrections))
 
     def close(self) -> None:
         pass

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.functions.assignment import best_pairs, cheapest, with_abstention
+from strideframe.functions.assignment import best_pairs, near_equal, with_abstention
 from strideframe.functions import geometry as g
-from strideframe.operators import identity, mapping, paths, pieces, scale, spatial, timejoin, vote
+from strideframe.operators import checks, identity, mapping, paths, pieces, scale, sequences, spatial, timejoin, vote
 from strideframe.operators.references import mutual_matches
 from strideframe.operators.sequences import anchor_every, scale_jumps
 from strideframe.sources import readers, writers
@@ -85,11 +85,23 @@ def test_nearest_and_counts_equal_brute_force(spark):
 
 def test_assignment_equals_every_permutation():
     rng = np.random.default_rng(2)
-    for _ in range(40):
-        cost = rng.uniform(0, 1, (3, 5))
-        got = cheapest(cost)
-        want = min(sum(cost[i, p] for i, p in enumerate(cols)) for cols in itertools.permutations(range(5), 3))
-        assert sum(cost[i, c] for i, c in enumerate(got)) == pytest.approx(want)
+    for _ in range(150):
+        cost = rng.uniform(-1, 1, (4, 4))
+        held = rng.random((4, 4)) < 0.6
+        edges = [(i, j, float(cost[i, j])) for i, j in np.argwhere(held).tolist()]
+        every = {}
+        for cols in itertools.product(range(-1, 4), repeat=4):
+            used = [(i, c) for i, c in enumerate(cols) if c >= 0]
+            if len({c for _, c in used}) == len(used) and all(held[p] for p in used):
+                every[cols] = (-len(used), sum(cost[p] for p in used))
+        first = min(every, key=every.get)
+        size, least = every[first]
+        pairs, total = best_pairs(edges)
+        assert pairs == {i: c for i, c in enumerate(first) if c >= 0} and total == pytest.approx(least)
+        close = [cols for cols, (k, price) in every.items() if k == size and price - least <= 0.2 * max(1, -size)]
+        assert near_equal(edges, 0.2)[1] == {i for i in range(4) if any(cols[i] != first[i] for cols in close)}
+        near = [cols for cols, (k, price) in every.items() if k == size and price - least < 0.3]
+        assert with_abstention(edges, 0.3) == {i: None if any(cols[i] != c for cols in near) else c for i, c in pairs.items()}
     assert best_pairs([(0, 0, 0.1), (0, 1, 0.2), (1, 0, 0.15)])[0] == {0: 1, 1: 0}
     assert with_abstention([(0, 0, 0.1), (0, 1, 0.12)], 0.05) == {0: None}
     assert with_abstention([(0, 0, 0.1), (0, 1, 0.2)], 0.05) == {0: 0}
@@ -229,3 +241,35 @@ def test_frames_and_surfaces_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         writers.write_surface(surface, str(tmp_path / "out"))
+
+
+def test_messages_are_stored_in_order_of_arrival(spark):
+    sent = [(1, 0, False), (1, 2, False), (1, 1, False), (1, 3, False), (1, 2, False), (1, 1, False), (1, 3, True), (1, 4, False), (1, 3, False), (2, 1, False), (2, None, False)]
+    df = spark.createDataFrame([(r, n, e, at) for at, (r, n, e) in enumerate(sent)], "recording long, n long, e boolean, arrival long")
+    got = checks.acknowledged(df, ["recording"], "n", "arrival", ends=F.col("e")).orderBy("arrival").collect()
+    assert [r.state for r in got] == ["stored", "gap", "stored", "gap", "stored", "resend", "stored", "gap", "resend", "gap", "gap"]
+
+
+def test_windows_shorter_than_a_strided_block(spark):
+    for n, stride in ((3, 3), (10, 3), (12, 3), (14, 3), (25, 3), (10, 1), (0, 1)):
+        df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("seq"))
+        got = sequences.frame_windows(df, ["k"], "seq", 4, stride).collect()
+        span = 4 * stride if n >= 4 * stride else 4
+        step = span // 4
+        starts = [] if n == 0 else [0] if n <= span else [*range(0, n - span + 1, span), *([n - span] if n % span else [])]
+        want, seen = set(), set()
+        for start in starts:
+            for o in range(step):
+                members = [m for m in range(start + o, min(start + span, n), step)]
+                if set(members) - seen:
+                    want |= {(start + o, m, m not in seen) for m in members}
+                    seen |= set(members)
+        assert {(r.window, r.seq, r.kept) for r in got} == want and len(got) == len(want)
+
+
+def test_a_stray_point_leaves_the_footprint_known(spark):
+    points = [(1, x / 10, 0.0, y / 10) for x in range(40) for y in range(40)] + [(1, 1e6, 0.0, 1e6)]
+    df = spark.createDataFrame(points, "k long, x double, y double, z double")
+    plane = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)], "k long, px double, py double, pz double, nx double, ny double, nz double")
+    row = mapping.footprint(df, plane, "k", cell=0.05, min_points=100).first()
+    assert row.reason is None and row.observed_area_m2 > 1.0 and row.length_m * row.width_m > 16_000_000 * 0.05 * 0.05
