@@ -1,5 +1,8 @@
 """Every streaming operator run to the end of its input equals its batch form."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,20 @@ def test_live_update_takes_the_newest_frame_with_depth(spark, tmp_path):
     assert (row.seq, row.received, row.corrections, row.keyframe, row.scale_source) == (1, 3, 1, 5, "none")
 
 
+def test_corrections_count_until_an_update_is_taken():
+    held, anchors = {}, {}
+    update = live.LiveUpdate()
+    update.state = SimpleNamespace(exists=lambda: "now" in held, get=lambda: held["now"], update=lambda row: held.update(now=row))
+    update.anchors = SimpleNamespace(updateValue=anchors.__setitem__, containsKey=anchors.__contains__)
+    names = ["seq", "created", "updated", "posed", "has_depth", "fitted"]
+    triggers = [
+        [(0, 5, None, True, True, 1.5)], [(1, None, 5, False, True, None), (2, None, 5, False, True, None)],
+        [(3, None, 5, True, True, None)], [(4, None, None, True, True, None)],
+    ]
+    got = [list(update.handleInputRows((1,), iter([pd.DataFrame(rows, columns=names)]), None)) for rows in triggers]
+    assert [[int(r.corrections.iloc[0]) for r in out] for out in got] == [[0], [], [3], [0]]
+
+
 def test_streamed_objects_equal_batch(spark, tmp_path):
     tables = Tables(spark, SMALL)
     detections, anchors = object_detections(tables), object_anchors(tables)
