@@ -10,9 +10,13 @@ share a class of that order at depth LENGTH. Sorting every suffix of the corpus
 2. Dictionary. Phrases are named by a digest of all their suffixes; equal names are one entry, and every
    suffix of an entry that occurs twice is repeated. On repetitive text this settles nearly everything.
 3. Parse. A suffix continues with its trigger's CONTEXT bytes, so only entries with the same context can
-   share a suffix. Where a context has several entries, their suffixes are put into their order classes, once
-   per entry and not once per occurrence; classes with two members are repeated.
-4. The bytes that repeated strings cover are cut out of the texts.
+   share a suffix. Where a context has several entries, they are compared once per entry and not once per
+   occurrence, in windows of WINDOW starts counted back from the trigger. The bytes of all starts of a window
+   are its full name: windows of one full name are repeated. The bytes that all its starts have in common are
+   its core: windows with a core of their own share no suffix.
+4. Suffixes. Where a core has several full names, one of them new, the suffixes of one window per name are put
+   into their order classes; classes with two members are repeated.
+5. The bytes that repeated strings cover are cut out of the texts.
 
 Classes are told by digests of the bytes, not by their rank: only equality at depth LENGTH is used.
 
@@ -36,6 +40,7 @@ from .phases import settled
 
 LENGTH, CONTEXT, WIDTH = 200, 64, 16
 REACH = LENGTH - CONTEXT
+WINDOW = 17
 PLACE_BITS = np.uint64(28)
 
 
@@ -51,12 +56,19 @@ def ahead(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def rolling(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the WIDTH, CONTEXT and LENGTH bytes from every place on, by doubling."""
+def rolling(body: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size, hashes of so many bytes from every place on, by doubling."""
     by = {1: tb.mix(tb.LETTERS[body])}
     for n in (1, 2, 4, 8, 16, 32, 64):
         by[2 * n] = joined_hash(by[n], ahead(by[n], n))
-    return by[WIDTH], by[CONTEXT], joined_hash(joined_hash(by[128], ahead(by[64], 128)), ahead(by[8], 192))
+    out = []
+    for size in sizes:
+        powers = [n for n in sorted(by, reverse=True) if size & n]
+        hashed, done = by[powers[0]], powers[0]
+        for n in powers[1:]:
+            hashed, done = joined_hash(hashed, ahead(by[n], done)), done + n
+        out.append(hashed)
+    return out
 
 
 def valid_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +85,7 @@ def phrases(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    narrow, context, whole = rolling(body)
+    narrow, context, whole = rolling(body, WIDTH, CONTEXT, LENGTH)
     # the place in the low bits: the least hash, and the first place of equals
     least = (narrow >> PLACE_BITS << PLACE_BITS) | np.arange(len(body), dtype=np.uint64)
     for n in (1, 2, 4, 8, 16, 32, 64):
@@ -108,26 +120,66 @@ def phrase_table(docs: DataFrame, located: bool) -> DataFrame:
     return docs.mapInArrow(run, "context long, name long" + (", id long, h long, a int, b int" if located else ""))
 
 
+def listed(part: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, from, to, context, k) of the ranges in `entries`; from and to count in the slice."""
+    entries = part.column("entries")
+    row = np.repeat(np.arange(len(part)), np.diff(entries.offsets.to_numpy()))
+    a, b, context, k = (entries.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "context", "k"))
+    start = offsets[:-1][row]
+    return row, a + start, b + start, context, np.minimum(k, 2).astype(np.int32)
+
+
+def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owner of each of count[i] items of i, and its number among them."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def window_table(texts: DataFrame) -> DataFrame:
+    """Full name and core of every window of the entries in `entries` of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.restored(batches):
+            for part, body, offsets in tb.slices(batch, "text"):
+                contexts, whole, core = rolling(body, CONTEXT, LENGTH, LENGTH - WINDOW + 1)
+                row, a, b, context, k = listed(part, offsets)
+                # an earlier place with the trigger's context would have been the trigger
+                trigger = b - 1
+                for step in range(REACH, -1, -1):
+                    here = np.minimum(b - 1 + step, len(body) - 1)
+                    trigger = np.where(contexts[here].view(np.int64) == context, here, trigger)
+                near, far = trigger - b + 1, trigger - a
+                entry, n = spread(far // WINDOW - near // WINDOW + 1)
+                n = n + near[entry] // WINDOW
+                near, far = np.maximum(near[entry], n * WINDOW), np.minimum(far[entry], n * WINDOW + WINDOW - 1)
+                trigger = trigger[entry]
+                first, last = trigger - far, trigger - near
+                name = tb.mix(joined_hash(whole[first], whole[last]) ^ (near * LENGTH + far).astype(np.uint64))
+                middle = tb.mix(core[trigger - n * WINDOW] + n.astype(np.uint64))
+                rows, start = pa.array(row[entry]), offsets[:-1][row[entry]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[entry]), pa.array(middle.view(np.int64)), pa.array(name.view(np.int64)), part.column("id").take(rows), part.column("h").take(rows),
+                     pa.array((first - start).astype(np.int32)), pa.array((last + 1 - start).astype(np.int32)), pa.array(k[entry])],
+                    ["context", "core", "name", "id", "h", "a", "b", "k"],
+                )
+
+    return texts.mapInArrow(run, "context long, core long, name long, id long, h long, a int, b int, k int")
+
+
 def suffix_table(texts: DataFrame) -> DataFrame:
-    """Order class of every suffix of the entries in `entries` of each text."""
+    """Order class of every suffix of the ranges in `entries` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.restored(batches):
             for part, body, offsets in tb.slices(batch, "text"):
-                whole = rolling(body)[2]
-                entries = part.column("entries")
-                count = np.diff(entries.offsets.to_numpy())
-                flat = entries.flatten()
-                a, b, context, k = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "context", "k"))
-                row = np.repeat(np.arange(len(part)), count)
-                size = (b - a).astype(np.int64)
-                entry = np.repeat(np.arange(len(a)), size)
-                first = np.concatenate([[0], np.cumsum(size)])[:-1]
-                at = a[entry] + np.arange(len(entry)) - first[entry]
+                (whole,) = rolling(body, LENGTH)
+                row, a, b, context, k = listed(part, offsets)
+                entry, step = spread(b - a)
+                at = a[entry] + step
                 rows = pa.array(row[entry])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[entry]), pa.array(whole[offsets[:-1][row[entry]] + at].view(np.int64)), part.column("id").take(rows),
-                     part.column("h").take(rows), pa.array(at.astype(np.int32)), pa.array(np.minimum(k[entry], 2).astype(np.int32))],
+                    [pa.array(context[entry]), pa.array(whole[at].view(np.int64)), part.column("id").take(rows),
+                     part.column("h").take(rows), pa.array((at - offsets[:-1][row[entry]]).astype(np.int32)), pa.array(k[entry])],
                     ["context", "s", "id", "h", "at", "k"],
                 )
 
@@ -182,11 +234,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     entries = open_.join(single_in, "context").groupBy("e.id", "e.h").agg(F.collect_list(F.struct("e.a", "e.b", "context", "k")).alias("entries"))
     # entries of a row that is there twice have k > 1, so that it is read twice changes no count that matters
     once = tb.packed(rows, "id", "h").join(entries, ["id", "h"])
-    suffixes = settled(suffix_table(once))
+    windows = settled(window_table(once))
+    classes = settled(windows.groupBy("context", "core", "name").agg(F.sum("k").alias("k"), F.min(F.struct("id", "h", "a", "b")).alias("e")))
+    same = windows.where("k = 1").join(classes.where("k > 1").select("context", "core", "name"), ["context", "core", "name"]).select("id", "h", "a", "b")
+    mixed = classes.groupBy("context", "core").agg(F.count("*").alias("n"), F.min("k").alias("least")).where("n > 1 AND least = 1").select("context", "core")
+    parts = classes.join(mixed, ["context", "core"]).groupBy("e.id", "e.h").agg(F.collect_list(F.struct("e.a", "e.b", "context", "k")).alias("entries"))
+    suffixes = settled(suffix_table(tb.packed(rows, "id", "h").join(parts, ["id", "h"])))
     repeated = suffixes.groupBy("context", "s").agg(F.sum("k").alias("n")).where("n > 1").select("context", "s")
     single = suffixes.where("k = 1").join(repeated, ["context", "s"]).select("id", "h", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    single = settled(single.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("r")))
-    del suffixes, repeated
+    single = settled(single.unionByName(same).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("r")))
+    del windows, classes, same, mixed, parts, suffixes, repeated
     several = seen.where("NOT settled").join(open_.where("k > 1").select("context", "name"), ["context", "name"]).select("id", "h", "a", "b")
     ranges = whole.unionByName(several).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("r")).unionByName(single)
     ranges = settled(ranges.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges")))
