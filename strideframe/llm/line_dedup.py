@@ -45,23 +45,26 @@ def with_chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id and `gone`, the numbers of the chunks that repeat an earlier one, for documents that have any."""
+    """doc_id, `gone`, the numbers of the chunks that repeat an earlier one, and `all`, how many chunks there are, for documents that have any."""
     own = docs.select("doc_id", "text")
     light = with_chunks(own).select("doc_id", F.posexplode(F.transform("_chunks", lambda c: F.struct(c["lines"], c["h"]))).alias("i", "c"))
     light = light.where(F.col("c.lines") >= LEAST_LINES).select("doc_id", "i", F.col("c.h").alias("h"))
     twice = light.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("a"), F.max(F.struct("doc_id", "i")).alias("b"))
     twice = twice.where("n > 1 AND NOT (a <=> b)").select("h")
     nominated = light.join(twice, "h").groupBy("doc_id").agg(F.collect_set("i").alias("some"))
-    texts = with_chunks(own.join(nominated, "doc_id")).select("doc_id", F.explode(F.transform("some", lambda i: F.struct(i.alias("i"), F.element_at("_chunks", i + 1).alias("c")))).alias("x"))
-    texts = texts.select("doc_id", "x.i", "x.c.h", "x.c.body")
+    texts = with_chunks(own.join(nominated, "doc_id")).select("doc_id", F.size("_chunks").alias("all"), F.explode(F.transform("some", lambda i: F.struct(i.alias("i"), F.element_at("_chunks", i + 1).alias("c")))).alias("x"))
+    texts = texts.select("doc_id", "all", "x.i", "x.c.h", "x.c.body")
     first = texts.groupBy("h", "body").agg(F.min(F.struct("doc_id", "i")).alias("keep"))
     again = texts.join(first, ["h", "body"]).where(F.struct("doc_id", "i") > F.col("keep"))
-    return again.groupBy("doc_id").agg(F.collect_set("i").alias("gone"))
+    return again.groupBy("doc_id").agg(F.collect_set("i").alias("gone"), F.max("all").alias("all"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks taken out of `text`, `_removed_lines`, `_removed_chunks` and `_n_chunks`."""
-    gone = repeated(docs).withColumnRenamed("gone", "_gone")
+    """docs with the repeated chunks taken out of `text`, `_removed_lines`, `_removed_chunks`, `_n_chunks` and `_emptied`.
+
+    `_emptied` (every chunk is removed) comes from counts alone, so a filter on it does not cut texts again.
+    """
+    gone = repeated(docs).select("doc_id", F.col("gone").alias("_gone"), F.coalesce(F.size("gone") >= F.col("all"), F.lit(False)).alias("_emptied"))
     out = with_chunks(docs.join(gone, "doc_id", "left"))
     out = out.withColumn("_tagged", F.transform("_chunks", lambda c, k: F.struct(c["body"].alias("body"), c["lines"].alias("lines"), F.coalesce(F.array_contains("_gone", k), F.lit(False)).alias("out"))))
     kept = F.array_join(F.transform(F.filter("_tagged", lambda c: ~c["out"]), lambda c: c["body"]), "\n")
@@ -69,7 +72,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return (
         out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).withColumn("_removed_lines", lines.cast("long"))
         .withColumn("_removed_chunks", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("_n_chunks", F.size("_chunks").cast("long")).drop("_chunks", "_tagged", "_gone")
+        .withColumn("_n_chunks", F.size("_chunks").cast("long")).withColumn("_emptied", F.coalesce("_emptied", F.lit(False))).drop("_chunks", "_tagged", "_gone")
     )
 
 
