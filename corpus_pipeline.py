@@ -18,8 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines taken out; documents of which nothing is left go."""
-    out = line_dedup.deduplicated(docs)
-    return out.where("NOT _emptied").select(*docs.columns)
+    return line_dedup.without_runs(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,16 @@ A chunk of two lines or more that occurs again, in any document or further on in
 its first occurrence by (doc_id, chunk) stays. Hashes only nominate: a chunk goes when its bytes equal
 those of the occurrence that stays.
 
+`without_runs` takes more: every repeated run of lines with `LEAST_WORDS` words or more, single lines too,
+wherever the cuts fall. The shortest runs of that many words that begin or end at each line cover every longer
+run from its first line to its last; each that occurred before goes. Blank lines do not count, and go only
+inside a run. Runs are told apart by SHA-256 of their lines. What goes has an equal line further ahead, so the
+first of all equal lines stays. Rows that repeat a doc_id with different texts are different documents there.
+
 DataFrame functions only. Line hashes are digits of md5, which other engines have too.
 
-Defined cases: a null text stays null and an empty one empty; single lines are never removed, however
-common; rows that repeat a doc_id count as one document and get the same result.
+Defined cases: a null text stays null and an empty one empty; `deduplicated` never removes single
+lines, however common; rows that repeat a doc_id count as one document and get the same result.
 """
 
 from __future__ import annotations
@@ -17,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .phases import settled
+
 WINDOW, EVERY, LEAST_LINES = 2, 3, 2
+LEAST_WORDS = 50
 
 
 def line_hash(line: Column) -> Column:
@@ -76,6 +85,66 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
 
 
+def run_ends(places: Column) -> Column:
+    """How many of the solid lines `places`, from the first on, make up LEAST_WORDS words; null if all do not."""
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    more = lambda a, s: F.when(a["words"] >= LEAST_WORDS, a).otherwise(F.struct((a["words"] + s["w"]).alias("words"), (a["n"] + 1).alias("n")))
+    return F.aggregate(places, start, more, lambda a: F.when(a["words"] >= LEAST_WORDS, a["n"]))
+
+
+def shortest_runs(own: DataFrame) -> DataFrame:
+    """doc_id, `first` and `last` line and `digest` of the shortest runs of LEAST_WORDS words that begin or end at a line.
+
+    A solid line holds a word or more, so LEAST_WORDS of them are enough to look at.
+    """
+    solid = F.filter(
+        F.transform("_lines", lambda line, i: F.struct(i.alias("i"), F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).alias("w"))), lambda s: s["w"] > 0,
+    )
+    places = F.when(F.size("_solid") > 0, F.sequence(F.lit(1), F.size("_solid"))).otherwise(F.array().cast("array<int>"))
+
+    def ahead(k: Column) -> Column:
+        return F.struct(k.alias("a"), (k + run_ends(F.slice("_solid", k, F.lit(LEAST_WORDS))) - 1).alias("b"))
+
+    def back(k: Column) -> Column:
+        low = F.greatest(k - (LEAST_WORDS - 1), F.lit(1))
+        return F.struct((k - run_ends(F.reverse(F.slice("_solid", low, k - low + 1))) + 1).alias("a"), k.alias("b"))
+
+    runs = F.array_distinct(F.filter(F.concat(F.transform("_places", ahead), F.transform("_places", back)), lambda r: r["a"].isNotNull() & r["b"].isNotNull()))
+    rows = own.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("_solid", solid).withColumn("_places", places)
+    rows = rows.select("doc_id", "_lines", "_solid", F.explode(runs).alias("r"))
+    body = F.array_join(F.transform(F.slice("_solid", F.col("r.a"), F.col("r.b") - F.col("r.a") + 1), lambda s: F.get("_lines", s["i"])), "\n")
+    return rows.select(
+        "doc_id", F.element_at("_solid", F.col("r.a"))["i"].alias("first"), F.element_at("_solid", F.col("r.b"))["i"].alias("last"), F.unhex(F.sha2(body, 256)).alias("digest"),
+    )
+
+
+def repeated_lines(own: DataFrame) -> DataFrame:
+    """doc_id and `lines`, the numbers of the lines in chunks or runs that occurred before."""
+    gone = settled(repeated(own).select("doc_id", "gone"))
+    flags = F.flatten(F.transform("_chunks", lambda c, k: F.array_repeat(F.array_contains("gone", k), c["lines"])))
+    cut = with_chunks(own.join(gone, "doc_id")).withColumn("_flags", flags)
+    cut = settled(cut.select("doc_id", F.filter(F.transform("_flags", lambda f, i: F.when(f, i)), lambda i: i.isNotNull()).alias("lines")))
+    runs = shortest_runs(own)
+    place = F.struct("doc_id", "first", "last")
+    kept = runs.groupBy("digest").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("keep <> other").select("digest", "keep")
+    again = runs.join(kept, "digest").where(place > F.col("keep"))
+    again = settled(again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("lines")))
+    return settled(cut.unionByName(again).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")))
+
+
+def without_runs(docs: DataFrame) -> DataFrame:
+    """docs without the lines of repeated chunks and runs; documents of which no solid line is left go."""
+    version = F.xxhash64("text")
+    gone = repeated_lines(docs.select(F.struct("doc_id", version.alias("v")).alias("doc_id"), "text"))
+    gone = gone.select(F.col("doc_id").alias("_key"), F.col("lines").alias("_gone"))
+    out = docs.withColumn("_key", F.struct("doc_id", version.alias("v"))).join(gone, "_key", "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
+    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
+    out = out.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+
+
 ORACLE = f"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

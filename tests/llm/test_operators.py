@@ -122,6 +122,39 @@ def test_line_dedup_equals_its_sql(spark, docs, nothing):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_repeated_runs_of_lines(spark):
+    """Passages of 1 to 10 lines, 54 words in all, in unlike contexts, against a brute-force run over all pairs of places."""
+    texts, planted = {}, {}
+    for n in range(1, 11):
+        words = passage(54, 100 + n).split()
+        cuts = [k * 54 // n for k in range(n + 1)]
+        planted[n] = [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+        for copy in range(3):
+            around = [passage(7 + copy, 1000 * n + 10 * copy + k) for k in range(6)]
+            inside = planted[n] if copy < 2 else [x for p in planted[n] for x in (p, " ")]
+            texts[10 * n + copy] = "\n".join([*around[: 1 + copy], *inside, *around[1 + copy:]])
+    texts |= {200: passage(49, 7), 201: passage(3, 8) + "\n" + passage(49, 7), 202: "a\n\nb", 203: None, 204: "", 205: planted[4][0]}
+    texts[206] = "\n".join(planted[3])
+    frame = spark.createDataFrame([*texts.items(), (202, "other\n" + planted[1][0]), (206, texts[206])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.without_runs(frame).collect() if r["doc_id"] != 202)
+    solid = {k: [x for x in (t or "").split("\n") if x.strip()] for k, t in texts.items()}
+    want, seen = [], []
+    for k in sorted(texts):
+        gone, own = set(), solid[k]
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                part = own[a:b]
+                if len(" ".join(part).split()) >= 50 and any(part == old[i: i + len(part)] for old in seen for i in range(len(old))):
+                    gone |= set(range(a, b))
+        want.append((k, [x for i, x in enumerate(own) if i not in gone]))
+        seen.append(own)
+    assert [(k, [x for x in (t or "").split("\n") if x.strip()]) for k, t in got] == [(k, w) for k, w in want if k != 202 and (w or not solid[k])]
+    assert all(not set(planted[n]) & set(dict(got)[10 * n + 1].split("\n")) for n in planted) and 206 not in dict(got)
+    assert dict(got)[203] is None and dict(got)[204] == "" and dict(got)[205] == planted[4][0]
+    assert sorted(r["text"] for r in line_dedup.without_runs(frame).where("doc_id = 202").collect()) == ["a\n\nb", "other"]
+    assert line_dedup.without_runs(frame.limit(0)).count() == 0
+
+
 def test_mixing(docs, nothing):
     plan, draws = mixing.mix(docs, block_words=200, blocks_per_shard=2)
     got = mixing.taken(plan, draws).collect()
