@@ -22,8 +22,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return jaccard_join.representatives(docs)
+    """One document of each component of near copies: five-word shingles, Jaccard of 0.8 or more."""
+    return jaccard_join.representatives(docs, size=5, threshold=80)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

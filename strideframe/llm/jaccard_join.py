@@ -260,7 +260,7 @@ def joined(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
     """The documents, as they are, that have the least doc_id of their component; rows without a doc_id stay."""
-    gone = joined(docs.where("doc_id IS NOT NULL")).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = joined(docs.where("doc_id IS NOT NULL"), size, threshold).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

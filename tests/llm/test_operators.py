@@ -122,6 +122,27 @@ def test_line_dedup_equals_its_sql(spark, docs, nothing):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """Pairs on either side of both rules, against a brute-force run."""
+    import corpus_pipeline
+
+    base = {k: passage(100, 300 + k).split() for k in range(4)}
+    changed = lambda k, at: " ".join("new" if i in at else w for i, w in enumerate(base[k]))
+    texts = {10 * k: " ".join(w) for k, w in base.items()}
+    # within 5 words and 0.8 but not 3 words and 0.9; outside both; within both; equal sets
+    texts |= {1: changed(0, {50, 53}), 11: changed(1, {20, 50, 80}), 21: changed(2, {0}), 31: texts[30].upper()}
+
+    def jaccard(a, b, n):
+        s, t = ({tuple(x.lower().split()[i: i + n]) for i in range(len(x.split()) - n + 1)} for x in (a, b))
+        return len(s & t) / len(s | t)
+
+    assert jaccard(texts[0], texts[1], 5) >= 0.8 and jaccard(texts[0], texts[1], 3) < 0.9 and jaccard(texts[10], texts[11], 5) < 0.8
+    want = [k for k, t in texts.items() if not any(j < k and jaccard(t, u, 5) >= 0.8 for j, u in texts.items())]
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, frame, SMALL).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want) == [0, 10, 11, 20, 30]
+
+
 def test_repeated_runs_of_lines(spark):
     """Passages of 1 to 10 lines, 54 words in all, in unlike contexts, against a brute-force run over all pairs of places."""
     texts, planted = {}, {}
