@@ -58,6 +58,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbour_graph_settles(spark):
+    """From few and poor first links four rounds are not enough; rounds go on until links have settled."""
+    x = np.random.default_rng(5).standard_normal((3000, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c long, embedding array<double>")
+    sketches = neighbours.settled(neighbours.sketched(frame, 2))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    similar = unit @ unit.T
+    np.fill_diagonal(similar, -2)
+    best = np.argsort(-similar, axis=1)[:, :5]
+
+    def recall(**given):
+        links = {r["c"]: {e["id"] for e in r["links"]} for r in neighbours.neighbour_graph(sketches, 8, 2, **given).collect()}
+        return np.mean([len(links.get(i, set()) & set(b.tolist())) / 5 for i, b in enumerate(best)])
+
+    four, settled = recall(rounds=4), recall()
+    assert settled > four + 0.02
+    assert neighbours.grown(10_000) == (40, 4) and neighbours.grown(40_000) == (56, 6)
+
+
 def test_decontamination(spark, docs, nothing):
     items = [(1, passage(30)), (2, "one two"), (3, passage(9, 5)), (4, None), (5, "zz yy"), (6, "!!"), (11, passage(30)), (12, passage(40, 4))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
