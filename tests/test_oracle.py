@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import SMALL
+from paths import SMALL
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from paths import SMALL
 from strideframe.operators.fusion import voxel_fuse
 from strideframe.operators.identity import count_objects as count_batch
 from strideframe.plans.bindings import Tables
