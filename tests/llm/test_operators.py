@@ -9,11 +9,9 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from text_rows import passage, rows
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
-from conftest import passage, rows  # noqa: E402
-from strideframe.llm import (  # noqa: E402
+from strideframe.llm import (
     decontaminate, jaccard_join, licenses, line_dedup, mixing, neighbours, quality, secrets, suffix_dedup, toxicity,
 )
 
