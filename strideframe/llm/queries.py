@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licenses, line_dedup, mixing, neighbours, quality, secrets, suffix_dedup, toxicity
+from . import (
+    alignment, decontaminate, fingerprints, jaccard_join, licenses, line_dedup, mixing, neighbours, quality, ranked_search, secrets, suffix_dedup,
+    toxicity,
+)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +93,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_nn_descent, op4_decontaminate, op5_license_scan, op6_jaccard_join, op7_mix, op8_secrets, op9_line_dedup, op10_toxicity)}
-ORACLES = {"op9_line_dedup": line_dedup.ORACLE}
+def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.ranked(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.compared_to_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers per document, and how often the linked ids meet in the corpus."""
+    return alignment.aligned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_quality, op2_suffix_dedup, op3_nn_descent, op4_decontaminate, op5_license_scan, op6_jaccard_join, op7_mix, op8_secrets, op9_line_dedup,
+        op10_toxicity, op11_nra_search, op12_minhash, op13_tokenizer_alignment,
+    )
+}
+ORACLES = {"op9_line_dedup": line_dedup.ORACLE, "op11_nra_search": ranked_search.ORACLE}
