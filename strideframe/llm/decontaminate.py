@@ -225,4 +225,5 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = 10, name: str =
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, as they are, in which no window of any item occurs."""
-    return scanned(docs, benchmark, window).where(F.size("_found.items") == 0).drop("_found")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return scanned(row, benchmark, window, "found").where(F.size("found.items") == 0).select("row.*")

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import textbytes as tb
-from .jaccard_join import compared, shingle_sets, whole_sets
-from .phases import settled
+from .jaccard_join import compared, shingle_sets
+from .phases import released, settled
 
 WORDS, THRESHOLD = 5, 80
 PERMUTATIONS, BANDS = 128, 32
@@ -172,7 +172,7 @@ def compared_to_edits(docs: DataFrame) -> DataFrame:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """Per row doc_id, size and two digests of its set, and a key per band of its fingerprint."""
+    """Per row doc_id, h, size and two digests of its set, and a key per band of its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,38 +191,43 @@ def banded(docs: DataFrame) -> DataFrame:
                     keys = tb.mix(keys * tb.BASE + least[:, k::wide])
                 keys = tb.mix(keys + np.arange(BANDS, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(cuts).astype(np.int32)), *[pa.array((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64)) for s in sums],
+                    [part.column("doc_id"), part.column("h"), pa.array(np.diff(cuts).astype(np.int32)), *[pa.array((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64)) for s in sums],
                      pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))],
-                    ["doc_id", "n", "a", "b", "keys"],
+                    ["doc_id", "h", "n", "a", "b", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n int, a long, b long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, n int, a long, b long, keys array<long>")
 
 
 def near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, component_id (least doc_id reachable by links of `threshold` percent) and n_links of its class, per row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     profiles = settled(banded(rows))
     filled = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    classes = settled(filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("c"), F.first("keys").alias("keys")))
-    members = classes.select("c", F.explode("keys").alias("key"))
+    classes = settled(
+        filled.groupBy("n", "a", "b").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("keys").alias("keys"))
+        .select("n", "a", "b", F.col("a").alias("c"), "r.doc_id", "r.h", "keys"),
+    )
+    members = classes.select("c", "doc_id", "h", F.explode("keys").alias("key"))
     groups = members.groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).where("leader <> last").select("key", "leader")
     members = settled(members.join(groups, "key"))
-    # a doc_id with several texts has several sets; the one of the class is told by its size and digest
-    sets = settled(whole_sets(tb.packed(rows, "doc_id").join(members.select(F.col("c").alias("doc_id")).distinct(), "doc_id"), WORDS)).distinct()
-    first = settled(compared(members.where("c <> leader").select(F.col("leader").alias("x"), F.col("c").alias("y")).distinct(), sets, threshold))
-    link = lambda df: df.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    nodes = classes.select(F.col("c").alias("id")).distinct()
-    parts = settled(components(nodes, link(first))).withColumnRenamed("id", "c")
+    wanted = members.select("c", "doc_id", "h").distinct()
+    texts = settled(tb.packed(rows, "doc_id", "h").join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("c", "z"))
+    first = settled(compared(members.where("c <> leader").select(F.col("leader").alias("x"), F.col("c").alias("y")).distinct(), texts, WORDS, threshold))
+    link = lambda df: df.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    parts = settled(components(texts.select(F.col("c").alias("id")), link(first))).withColumnRenamed("id", "c")
     placed = members.join(parts, "c").select("key", "c", "component")
     open_ = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
     placed = settled(placed.join(open_, "key"))
     left, right = (placed.select("key", F.col("c").alias(s), F.col("component").alias(f"{s}_part")) for s in ("x", "y"))
     rest = left.join(right, "key").where("x_part < y_part").select("x", "y").distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
-    links = settled(link(first).unionByName(link(compared(rest, sets, threshold))).distinct())
-    parts = settled(components(nodes, links)).withColumnRenamed("id", "c")
+    links = settled(link(first).unionByName(link(compared(rest, texts, WORDS, threshold))).distinct())
+    parts = components(texts.select(F.col("c").alias("id")), links).withColumnRenamed("id", "c")
     count = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    known = classes.select("n", "a", "b", "c").join(parts, "c").join(count, "c", "left")
-    return profiles.drop("keys").join(known, ["n", "a", "b"], "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    known = classes.drop("keys").join(parts, "c", "left").join(count, "c", "left").withColumn("piece", F.coalesce("component", "c"))
+    least = known.groupBy("piece").agg(F.min("doc_id").alias("component_id"))
+    known = settled(known.join(least, "piece").select("n", "a", "b", "component_id", "n_links"))
+    released(members, first, placed, links, texts)
+    return profiles.drop("keys", "h").join(known, ["n", "a", "b"], "left").select(
+        "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )

@@ -10,12 +10,13 @@ those of the occurrence that stays.
 wherever the cuts fall. The shortest runs of that many words that begin or end at each line cover every longer
 run from its first line to its last; each that occurred before goes. Blank lines do not count, and go only
 inside a run. Runs are told apart by SHA-256 of their lines. What goes has an equal line further ahead, so the
-first of all equal lines stays. Rows that repeat a doc_id with different texts are different documents there.
+first of all equal lines stays.
 
 DataFrame functions only. Line hashes are digits of md5, which other engines have too.
 
 Defined cases: a null text stays null and an empty one empty; `deduplicated` never removes single
-lines, however common; rows that repeat a doc_id count as one document and get the same result.
+lines, however common; rows that repeat a doc_id with other texts are documents of their own, and rows that
+repeat both count as one document and get the same result.
 """
 
 from __future__ import annotations
@@ -71,18 +72,25 @@ def repeated(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the repeated chunks taken out of `text`, `_removed_lines`, `_removed_chunks`, `_n_chunks` and `_emptied`.
 
-    `_emptied` (every chunk is removed) comes from counts alone, so a filter on it does not cut texts again.
+    `_emptied` (every chunk is removed) comes from counts alone, so a filter on it does not cut texts again. Columns
+    of these four names are replaced.
     """
-    gone = repeated(docs).select("doc_id", F.col("gone").alias("_gone"), F.coalesce(F.size("gone") >= F.col("all"), F.lit(False)).alias("_emptied"))
-    out = with_chunks(docs.join(gone, "doc_id", "left"))
+    key = F.struct("doc_id", F.xxhash64("text").alias("v"))
+    gone = repeated(docs.select(key.alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("key"), F.col("gone").alias("_gone"), F.coalesce(F.size("gone") >= F.col("all"), F.lit(False)).alias("emptied"),
+    )
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    out = with_chunks(own.join(gone, "key", "left").withColumn("text", F.col("row.text")))
     out = out.withColumn("_tagged", F.transform("_chunks", lambda c, k: F.struct(c["body"].alias("body"), c["lines"].alias("lines"), F.coalesce(F.array_contains("_gone", k), F.lit(False)).alias("out"))))
     kept = F.array_join(F.transform(F.filter("_tagged", lambda c: ~c["out"]), lambda c: c["body"]), "\n")
     lines = F.aggregate("_tagged", F.lit(0), lambda a, c: a + F.when(c["out"], c["lines"]).otherwise(0))
-    return (
-        out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).withColumn("_removed_lines", lines.cast("long"))
-        .withColumn("_removed_chunks", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("_n_chunks", F.size("_chunks").cast("long")).withColumn("_emptied", F.coalesce("_emptied", F.lit(False))).drop("_chunks", "_tagged", "_gone")
-    )
+    made = {
+        "_removed_lines": lines.cast("long"), "_removed_chunks": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
+        "_n_chunks": F.size("_chunks").cast("long"), "_emptied": F.coalesce("emptied", F.lit(False)),
+    }
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    given = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return out.select(*given, *[column.alias(name) for name, column in made.items()])
 
 
 def run_ends(places: Column) -> Column:
@@ -134,15 +142,15 @@ def repeated_lines(own: DataFrame) -> DataFrame:
 
 def without_runs(docs: DataFrame) -> DataFrame:
     """docs without the lines of repeated chunks and runs; documents of which no solid line is left go."""
-    version = F.xxhash64("text")
-    gone = repeated_lines(docs.select(F.struct("doc_id", version.alias("v")).alias("doc_id"), "text"))
-    gone = gone.select(F.col("doc_id").alias("_key"), F.col("lines").alias("_gone"))
-    out = docs.withColumn("_key", F.struct("doc_id", version.alias("v"))).join(gone, "_key", "left")
+    key = F.struct("doc_id", F.xxhash64("text").alias("v"))
+    gone = repeated_lines(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("lines").alias("gone"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key")).join(gone, "key", "left")
+    out = out.withColumn("text", F.col("row.text"))
     lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
-    out = out.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
+    out = out.withColumn("kept", F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")))
+    out = out.where(F.col("kept").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.coalesce("kept", "text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

@@ -27,6 +27,7 @@ MOST_PASSES = 3
 CHUNK = 64
 TREE_STEPS = 6
 FITTING = 4
+SWAPS = 40
 
 
 def uniform(*parts) -> Column:
@@ -34,9 +35,25 @@ def uniform(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
+def permuted(place: Column, n: Column, *key: Column) -> Column:
+    """Where a permutation of 0 .. n - 1, told by `key`, sends `place`: in every round a place and its mirror image
+    about a hashed point change places or not, as a hash of the greater of the two says."""
+
+    def swapped(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(r, *key), n) - x, n)
+        return F.when(F.pmod(F.xxhash64(r, *key, F.greatest(x, mirror)), F.lit(2)) == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SWAPS)), place.cast("long"), swapped)
+
+
+def sized_column(name: str) -> Column:
+    """doc_id and source as they are; size is the number of words."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") if name == "size" else F.col(name)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size (words) of every row."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    return docs.select(*[sized_column(c).alias(c) for c in ("doc_id", "source", "size")])
 
 
 def targets(rows: DataFrame, block_words: int) -> DataFrame:
@@ -168,8 +185,8 @@ def mix(docs: DataFrame, seed: int = 7, block_words: int = 1 << 15, blocks_per_s
     draws = shares.select("shard", "source_id", F.explode(F.sequence("first", F.col("first") + F.col("k") - 1)).alias("at"))
     draws = draws.join(plan.select("source_id", "blocks", "passes", "reach", "left_words"), "source_id")
     turn = F.floor(F.col("at") / F.col("blocks"))
-    shift = F.pmod(F.xxhash64(F.lit(seed), "source_id", "pass"), F.col("blocks"))
-    within = F.when(F.col("pass") < F.col("passes"), F.pmod(F.col("at") + shift, F.col("blocks"))).otherwise(F.col("at") - F.col("passes") * F.col("blocks"))
+    within = F.when(F.col("pass") < F.col("passes"), permuted(F.pmod("at", F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("source_id"), F.col("pass")))
+    within = within.otherwise(F.col("at") - F.col("passes") * F.col("blocks"))
     draws = draws.withColumn("pass", turn).withColumn("pass", F.least("pass", "passes")).withColumn("block", within)
     draws = draws.select(
         "shard", "source_id", "block", "pass", ((F.col("pass") == F.col("passes")) & (F.col("block") == F.col("reach") - 1)).alias("partial"),
@@ -197,9 +214,17 @@ def taken(rows: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' columns, once per time taken, in shards `_shard` with shuffled order `_place`."""
+    """The mix itself: docs' columns, once per time taken, in shards `_shard` with shuffled order `_place`.
+
+    Rows are told by doc_id, source and size; if rows agree in all three and only some of them fit into the last
+    pass, all are taken. Columns named `_shard` or `_place` are replaced.
+    """
     rows, draws = mix(docs, **options)
-    picks = rows.select("doc_id", "source_id", "block", "tail").distinct().join(draws, ["source_id", "block"]).where("NOT partial OR tail")
-    return docs.join(
-        picks.select("doc_id", F.col("shard").alias("_shard"), F.struct("place", F.xxhash64("doc_id", "shard")).alias("_place")), "doc_id",
-    ).repartition("_shard").sortWithinPartitions("_shard", "_place")
+    same = ["doc_id", "source", "size"]
+    picks = rows.groupBy(*same, "source_id", "block").agg(F.max("tail").alias("tail")).join(draws, ["source_id", "block"]).where("NOT partial OR tail")
+    picks = picks.select(*[F.col(c).alias(f"p_{c}") for c in same], "shard", F.struct("place", F.xxhash64("doc_id", "shard")).alias("place"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, *[sized_column(c).alias(c) for c in same])
+    out = keyed.join(picks, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in same])
+    given = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("_shard", "_place")]
+    return out.select(*given, F.col("shard").alias("_shard"), F.col("place").alias("_place")).repartition("_shard").sortWithinPartitions("_shard", "_place")

@@ -1,4 +1,7 @@
-"""Writing a phase's result to the shared folder, and letting go of what made it."""
+"""Writing a phase's result to the shared folder, and letting go of what made it.
+
+A job that fails half-way leaves its tables in the shared folder; whoever clears that folder clears them.
+"""
 
 from __future__ import annotations
 
@@ -22,4 +25,14 @@ def settled(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete settled tables that no result is still to read."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._settled_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -18,7 +18,8 @@ share a class of that order at depth LENGTH. Sorting every suffix of the corpus
    into their order classes; classes with two members are repeated.
 5. The bytes that repeated strings cover are cut out of the texts.
 
-Classes are told by digests of the bytes, not by their rank: only equality at depth LENGTH is used.
+No suffix array of the dictionary or of the parse is built: classes are told by digests of the bytes and not by their
+rank, since only equality at depth LENGTH is asked for and ranks would need two more global sorts.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep everything; overlapping occurrences
 count; rows that repeat a doc_id are told apart by their texts, and repeated rows are copies of each other.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .phases import settled
+from .phases import released, settled
 
 LENGTH, CONTEXT, WIDTH = 200, 64, 16
 REACH = LENGTH - CONTEXT
@@ -107,17 +108,18 @@ def phrases(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], at[first] - start, at[stop - 1] + 1 - start, context[trigger[first]], name
 
 
-def phrase_table(docs: DataFrame, located: bool) -> DataFrame:
+def phrase_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, body, offsets in tb.slices(batch, "text"):
                 row, a, b, context, name = phrases(body, offsets)
-                columns = [pa.array(context.view(np.int64)), pa.array(name.view(np.int64))]
-                if located:
-                    columns += [part.column("id").take(pa.array(row)), part.column("h").take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["context", "name", "id", "h", "a", "b"][: len(columns)])
+                owner = [part.column(n).take(pa.array(row)) for n in ("id", "h")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context.view(np.int64)), pa.array(name.view(np.int64)), *owner, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
+                    ["context", "name", "id", "h", "a", "b"],
+                )
 
-    return docs.mapInArrow(run, "context long, name long" + (", id long, h long, a int, b int" if located else ""))
+    return docs.mapInArrow(run, "context long, name long, id long, h long, a int, b int")
 
 
 def listed(part: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -224,9 +226,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    contexts = phrase_table(rows, False).groupBy("context").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
-    contexts = contexts.where("n > 1").select("context", (F.col("low") == F.col("high")).alias("settled"))
-    seen = settled(phrase_table(rows, True).join(contexts, "context"))
+    located = settled(phrase_table(rows))
+    # entries first: a context of a frequent passage is counted by its few entries, and its occurrences meet a written table
+    contexts = located.groupBy("context", "name").agg(F.count("*").alias("k")).groupBy("context").agg(
+        F.sum("k").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"),
+    )
+    contexts = settled(contexts.where("n > 1").select("context", (F.col("low") == F.col("high")).alias("settled")))
+    seen = settled(located.join(contexts, "context"))
+    released(located, contexts)
     whole = seen.where("settled").select("id", "h", "a", "b")
     # one text stands for all occurrences of an entry; contexts all of whose entries occur twice are settled too
     open_ = seen.where("NOT settled").groupBy("context", "name").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "a", "b")).alias("e"))
@@ -243,10 +250,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeated = suffixes.groupBy("context", "s").agg(F.sum("k").alias("n")).where("n > 1").select("context", "s")
     single = suffixes.where("k = 1").join(repeated, ["context", "s"]).select("id", "h", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
     single = settled(single.unionByName(same).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("r")))
+    released(windows, classes, suffixes)
     del windows, classes, same, mixed, parts, suffixes, repeated
     several = seen.where("NOT settled").join(open_.where("k > 1").select("context", "name"), ["context", "name"]).select("id", "h", "a", "b")
     ranges = whole.unionByName(several).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("r")).unionByName(single)
     ranges = settled(ranges.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges")))
+    released(seen, single)
     del seen, whole, open_, several, single, single_in, entries, once
     gc.collect()
     return cut(tb.packed(rows, "doc_id", "id", "h").join(ranges, ["id", "h"], "left").select("doc_id", "z", "ranges"))

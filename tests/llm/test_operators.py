@@ -206,6 +206,49 @@ def test_mixing(docs, nothing):
     assert mixing.taken(*mixing.mix(nothing)).count() == 0
 
 
+def test_rows_with_one_doc_id_and_clashing_columns(spark):
+    """Repeated doc_ids with unlike texts, and columns named like the operators' own, lose and break nothing."""
+    lines = [f"line {k} of a passage" for k in range(12)]
+    a, b = "\n".join(lines), "\n".join([*lines, "one more"])
+    frame = spark.createDataFrame(
+        [(1, a, 1, "k", 5, True), (2, a, 2, "k", 5, True), (2, "unlike " + passage(80), 3, "k", 5, None), (2, "unlike " + passage(80), 3, "k", 5, None), (3, b, 4, None, 5, None)],
+        "doc_id long, text string, _found int, _key string, _gone int, row boolean",
+    )
+    out = line_dedup.deduplicated(frame)
+    assert out.columns[:6] == frame.columns and out.count() == 5
+    assert {r["_found"] for r in line_dedup.without_runs(frame).collect()} >= {1, 3}
+    assert line_dedup.without_runs(frame).columns == frame.columns
+    kept = jaccard_join.representatives(frame, 5, 80)
+    assert kept.columns == frame.columns and sorted((r["doc_id"], r["_found"]) for r in kept.collect()) == [(1, 1), (2, 3)]
+    clean = decontaminate.decontaminated(frame, spark.createDataFrame([(9, passage(80))], "item_id long, text string"))
+    assert clean.columns == frame.columns and sorted(r["_found"] for r in clean.collect()) == [1, 2, 4]
+
+
+def test_the_mix_itself(spark, docs):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    texts = [(k, " ".join(["w"] * (5 + k % 40)), "abc"[k % 7 % 3], "x") for k in range(3000)] + [(1, "w w w", "c", "x"), (1, "w w", "a", "x")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string, _shard string")
+    plan, draws = mixing.mix(frame, block_words=300, blocks_per_shard=4)
+    rows_ = mixing.taken(plan, draws).join(frame.select("doc_id", "source"), "doc_id").collect()
+    by_id = {r[0]: r[2] for r in texts[:3000]}
+    taken, target = Counter(), {}
+    for r in mixing.taken(plan, draws).collect():
+        target[r["source_size"]] = r["target"]
+        taken[r["source_size"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 0.02 * t for s, t in target.items()) and len(rows_) >= 3002 and by_id[0] == "a"
+    out = mixing.mixed(frame, block_words=300, blocks_per_shard=4)
+    assert out.columns == ["doc_id", "text", "source", "_shard", "_place"]
+    got = out.collect()
+    assert sum(size(r["text"]) for r in got) == sum(taken.values())
+    shards = {r["_shard"]: [] for r in got}
+    for r in got:
+        shards[r["_shard"]].append(r["source"])
+    assert len(shards) > 4 and sum(len(set(s)) > 1 for s in shards.values()) > len(shards) / 2
+    places = spark.range(97).select(mixing.permuted(F.col("id"), F.lit(97), F.lit(3)).alias("p")).collect()
+    order = [r["p"] for r in places]
+    assert sorted(order) == list(range(97)) and len({(y - x) % 97 for x, y in zip(order, order[1:])}) > 30
+
+
 def test_hypergeometric_draws(spark):
     frame = spark.range(4000).select(mixing.hypergeometric(F.lit(50), F.lit(20), F.lit(10), mixing.uniform("id")).alias("x"))
     x = np.array([r["x"] for r in frame.collect()])
