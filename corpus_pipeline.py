@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
-from strideframe.session import shared_folder
+from strideframe.llm.phases import released, settled
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +30,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words taken of every document that is left."""
-    return mixing.taken(*mixing.mix(docs))
+    """The mix: every row that is left as often as it is taken, in shards `_shard` with shuffled order `_place`."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -45,10 +43,11 @@ ORACLE_SQL = None  # a learned model and hashed draws have no SQL; tests/llm com
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what stages write is in a folder of its own under the shared one."""
+    """All stages over documents; what a stage writes is deleted when the next one has written its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    before = []
+    for _, stage in STAGES:
+        docs = settled(stage(spark, docs, sf_dir))
+        released(*before)
+        before = [docs]
     return docs
