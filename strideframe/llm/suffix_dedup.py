@@ -43,6 +43,7 @@ LENGTH, CONTEXT, WIDTH = 200, 64, 16
 REACH = LENGTH - CONTEXT
 WINDOW = 17
 PLACE_BITS = np.uint64(28)
+PIECE = 1 << 16  # bytes of text at once; the arrays of so many stay in a core's cache
 
 
 def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -108,18 +109,17 @@ def phrases(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], at[first] - start, at[stop - 1] + 1 - start, context[trigger[first]], name
 
 
-def phrase_table(docs: DataFrame) -> DataFrame:
+def phrase_table(docs: DataFrame, located: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, body, offsets in tb.slices(batch, "text"):
+            for part, body, offsets in tb.slices(batch, "text", PIECE):
                 row, a, b, context, name = phrases(body, offsets)
-                owner = [part.column(n).take(pa.array(row)) for n in ("id", "h")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context.view(np.int64)), pa.array(name.view(np.int64)), *owner, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
-                    ["context", "name", "id", "h", "a", "b"],
-                )
+                columns = [pa.array(context.view(np.int64)), pa.array(name.view(np.int64))]
+                if located:
+                    columns += [part.column(n).take(pa.array(row)) for n in ("id", "h")] + [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["context", "name", "id", "h", "a", "b"][: len(columns)])
 
-    return docs.mapInArrow(run, "context long, name long, id long, h long, a int, b int")
+    return docs.mapInArrow(run, "context long, name long" + (", id long, h long, a int, b int" if located else ""))
 
 
 def listed(part: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -142,7 +142,7 @@ def window_table(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.restored(batches):
-            for part, body, offsets in tb.slices(batch, "text"):
+            for part, body, offsets in tb.slices(batch, "text", PIECE):
                 contexts, whole, core = rolling(body, CONTEXT, LENGTH, LENGTH - WINDOW + 1)
                 row, a, b, context, k = listed(part, offsets)
                 # an earlier place with the trigger's context would have been the trigger
@@ -173,7 +173,7 @@ def suffix_table(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.restored(batches):
-            for part, body, offsets in tb.slices(batch, "text"):
+            for part, body, offsets in tb.slices(batch, "text", PIECE):
                 (whole,) = rolling(body, LENGTH)
                 row, a, b, context, k = listed(part, offsets)
                 entry, step = spread(b - a)
@@ -226,14 +226,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    located = settled(phrase_table(rows))
-    # entries first: a context of a frequent passage is counted by its few entries, and its occurrences meet a written table
-    contexts = located.groupBy("context", "name").agg(F.count("*").alias("k")).groupBy("context").agg(
-        F.sum("k").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"),
-    )
+    contexts = phrase_table(rows, False).groupBy("context").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
+    # written, so that the join deals both sides itself and can split the phrases of a frequent context
     contexts = settled(contexts.where("n > 1").select("context", (F.col("low") == F.col("high")).alias("settled")))
-    seen = settled(located.join(contexts, "context"))
-    released(located, contexts)
+    seen = settled(phrase_table(rows, True).join(contexts, "context"))
+    released(contexts)
     whole = seen.where("settled").select("id", "h", "a", "b")
     # one text stands for all occurrences of an entry; contexts all of whose entries occur twice are settled too
     open_ = seen.where("NOT settled").groupBy("context", "name").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "a", "b")).alias("e"))
