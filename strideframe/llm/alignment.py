@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -44,7 +45,10 @@ FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.
 CUT = re.compile(r"(?<! ) (?=[!-~À-˯Ͱ-ԯ一-鿿])")
 BLOCKS, BRANCHES = 256, 8
 WITHIN = 4_000_000
-REMEMBERED, BUFFERED = 200_000, 1 << 21
+REMEMBERED, BUFFERED = 600_000, 1 << 21
+#: Characters that every version of Unicode puts into the same class; units of these go to the faster encoder of A.
+PLAIN = re.compile(r"[\t\n\r -~À-ɏ‐-‧‰-⁞]*\Z")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SIZE = 4 << 20
 
 
@@ -72,6 +76,7 @@ class Units:
 
     def __init__(self, a_json: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -84,8 +89,12 @@ class Units:
         for name, k in names:
             known[k] = bytes(letters[c] for c in name if c in letters)
         self.bytes_a = flat(known)
-        piece = self.b.id_to_piece
         self.wide = self.b.vocab_size()
+        # ids of A are in the order of its merges, so they serve as ranks
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={k: i for i, k in enumerate(known) if k}, special_tokens={})
+        most = max(len(known), self.wide)
+        self.names = [np.array([f"{k}{mark}" for k in range(most)], object) for mark in ",|;"]
+        piece = self.b.id_to_piece
         self.bytes_b = flat([
             bytes([int(piece(k)[3:5], 16)]) if self.b.is_byte(k) else b"" if self.b.is_control(k) else piece(k).replace("▁", " ").encode()
             for k in range(self.wide)
@@ -113,11 +122,11 @@ class Units:
                 parts[0] = parts[0][1:]
             cut.append(parts)
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in cut])]).astype(np.int64)
-        place = self.place
-        fresh = list({u: None for parts in cut for u in parts if u not in place})
+        every, place = list(chain.from_iterable(cut)), self.place
+        fresh = [u for u in dict.fromkeys(every) if u not in place]
         if fresh:
             self.learn(fresh)
-        return np.fromiter((place[u] for parts in cut for u in parts), np.int64, int(bounds[-1])), bounds
+        return np.array(list(map(place.__getitem__, every)), np.int64), bounds
 
     def joined(self, ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, end of each token) of a sequence of ids."""
@@ -127,11 +136,12 @@ class Units:
 
     def learn(self, units: list[str]) -> None:
         raw = [(" " + u).encode() for u in units]
-        one = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        fast = self.fast.encode_ordinary
+        one = [fast(" " + u) if PLAIN.match(u) else self.a.encode(" " + u, add_special_tokens=False).ids for u in units]
         two = self.b.encode(units, num_threads=1)
-        counts = [np.array([len(x) for x in side], np.int64) for side in (one, two)]
-        ids = [np.fromiter((k for x in side for k in x), np.int64, int(n.sum())) for side, n in zip((one, two), counts)]
-        size = np.array([len(r) for r in raw], np.int64)
+        counts = [np.array(list(map(len, side)), np.int64) for side in (one, two)]
+        ids = [np.array(list(chain.from_iterable(side)), np.int64) for side in (one, two)]
+        size = np.array(list(map(len, raw)), np.int64)
         want = np.frombuffer(b"".join(raw), np.uint8)
         right = np.ones(len(units), bool)
         ends = []
@@ -151,13 +161,15 @@ class Units:
             first = np.concatenate([[0], ends[k]])[np.cumsum(counts[k]) - counts[k]]
             ends[k] = (ends[k] - first[owner[k]] + start[owner[k]])[held[k]]
         a, b = ids[0][held[0]], ids[1][held[1]]
-        cuts, both = np.union1d(*ends), np.intersect1d(*ends)
+        merged = np.sort(np.concatenate(ends), kind="stable")
+        again = np.flatnonzero(merged[1:] == merged[:-1])
+        cuts, both = np.delete(merged, again), merged[again]
         link_a, link_b = (np.searchsorted(e, cuts) for e in ends)
         keys = a[link_a] * self.wide + b[link_b]
         unit = owner[0][held[0]][link_a]
         links = np.bincount(unit, minlength=len(units))
         groups = np.bincount(owner[0][held[0]][np.searchsorted(ends[0], both)], minlength=len(units))
-        first = len(self.texts)
+        first = len(self.right)
         self.texts += self.written(a, b, [np.searchsorted(both, e) for e in ends], groups)
         self.sums = np.concatenate([self.sums, np.column_stack([np.where(right, counts[0], 0), np.where(right, counts[1], 0), groups, links])])
         self.right = np.concatenate([self.right, right])
@@ -165,17 +177,16 @@ class Units:
         self.keys = np.concatenate([self.keys, keys])
         self.place.update(zip(units, range(first, first + len(units))))
 
-    @staticmethod
-    def written(a: np.ndarray, b: np.ndarray, group: list[np.ndarray], groups: np.ndarray) -> list[str]:
-        """Each unit's groups as text."""
-        total = int(groups.sum())
-        sides = []
-        for ids, of in zip((a, b), group):
-            names, cut = list(map(str, ids.tolist())), np.searchsorted(of, np.arange(total + 1)).tolist()
-            sides.append([",".join(names[x:y]) for x, y in zip(cut, cut[1:])])
-        pairs = [f"{x}|{y}" for x, y in zip(*sides)]
-        cut = np.concatenate([[0], np.cumsum(groups)]).tolist()
-        return [";".join(pairs[x:y]) for x, y in zip(cut, cut[1:])]
+    def written(self, a: np.ndarray, b: np.ndarray, group: list[np.ndarray], groups: np.ndarray) -> list[str]:
+        """Each unit's groups as text, every group with a semicolon behind it."""
+        last = [np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in group]
+        line = np.empty(len(a) + len(b), object)
+        line[np.arange(len(a)) + np.searchsorted(group[1], group[0], "left")] = np.where(last[0], self.names[1][a], self.names[0][a])
+        line[np.arange(len(b)) + np.searchsorted(group[0], group[1], "right")] = np.where(last[1], self.names[2][b], self.names[0][b])
+        line = line.tolist()
+        stop = np.cumsum(groups)
+        cut = np.concatenate([[0], np.searchsorted(group[0], stop) + np.searchsorted(group[1], stop)]).tolist()
+        return ["".join(line[x:y]) for x, y in zip(cut, cut[1:])]
 
     def links(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, links of each unit) of the units' links in order."""
@@ -198,7 +209,7 @@ class Vocabularies:
         return self.units().wide
 
     def units(self) -> Units:
-        """This worker's units."""
+        """This worker's units; the second pass finds what the first has learnt."""
         name = hashlib.sha256(self.a_json.encode() + self.b_model).hexdigest()
         if name not in _units:
             _units.clear()
@@ -241,11 +252,10 @@ def per_document(units: Units, places: np.ndarray, bounds: np.ndarray, held: np.
     row = np.repeat(np.arange(len(held)), np.diff(bounds))
     some = held[row]
     keys, count = units.links(places[some])
-    row = np.repeat(row[some], count)
-    order = np.lexsort((keys, row))
-    row, keys = row[order], keys[order]
-    fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.zeros(0, np.int64)
-    return row[fresh], keys[fresh], np.diff(np.append(fresh, len(keys)))
+    span = int(keys.max(initial=0)) + 1  # a slice has few rows, so row * span + key stays far under 2^63
+    both = np.sort(np.repeat(row[some], count) * span + keys)
+    fresh = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    return both[fresh] // span, both[fresh] % span, np.diff(np.append(fresh, len(both)))
 
 
 def partial_counts(docs: DataFrame, vocabulary) -> DataFrame:
@@ -446,7 +456,7 @@ def own_columns(part: pa.RecordBatch, units: Units, places: np.ndarray, bounds:
     sums = np.where(held[:, None], total[bounds[1:]] - total[bounds[:-1]], 0)
     where, texts = places.tolist(), units.texts
     digests = [
-        hashlib.sha256(";".join([texts[u] for u in where[x:y]]).encode()).hexdigest() if ok else ""
+        hashlib.sha256("".join([texts[u] for u in where[x:y]])[:-1].encode()).hexdigest() if ok else ""
         for x, y, ok in zip(bounds[:-1].tolist(), bounds[1:].tolist(), held.tolist())
     ]
     return [pa.array(sums[:, k]) for k in range(4)], pa.array(digests)

@@ -163,10 +163,12 @@ def plain_alignment(texts):
                 ta, tb = [], []
             else:
                 sa, sb = ([0, *np.cumsum([len(x) for x in side]).tolist()] for side in (ba, bb))
-                links = [(ta[i], tb[j]) for i in range(len(ta)) for j in range(len(tb)) if max(sa[i], sb[j]) < min(sa[i + 1], sb[j + 1])]
+                owner = [[k for k, (x, y) in enumerate(zip(s, s[1:])) for _ in range(y - x)] for s in (sa, sb)]  # of every byte
+                links = [(ta[i], tb[j]) for i, j in sorted(set(zip(*owner)))]
                 cuts = [0, *sorted(set(sa[1:]) & set(sb[1:]))]
+                at = [{e: k for k, e in enumerate(s)} for s in (sa, sb)]
                 for x, y in zip(cuts, cuts[1:]):
-                    groups.append(",".join(str(k) for k, e in zip(ta, sa[1:]) if x < e <= y) + "|" + ",".join(str(k) for k, e in zip(tb, sb[1:]) if x < e <= y))
+                    groups.append("|".join(",".join(map(str, ids[w[x]: w[y]])) for ids, w in zip((ta, tb), at)))
         every.append((ta, tb, groups, links))
         count.update(set(links))
     best = defaultdict(int)
