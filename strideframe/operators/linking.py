@@ -13,12 +13,12 @@ from .graph import components
 JUMP_DIAGONALS = 2.0
 
 
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], left: str, right: str, cost: str, max_rounds: int = 500) -> DataFrame:
-    """Pairs taken in order of (cost, left, right) while both ends are free."""
+def greedy_pairs(edges: DataFrame, keys: Sequence[str], left: str, right: str, cost: str) -> DataFrame:
+    """Pairs taken in order of (cost, left, right) while both ends are free; every round takes the cheapest edge left at least."""
     keys = list(keys)
     rest = checkpointed(edges.select(*keys, left, right, cost))
     out = None
-    for _ in range(max_rounds):
+    while True:
         rank = F.struct(cost, left, right)
         by_left = rest.groupBy(*keys, left).agg(F.min(rank).alias("_a"))
         by_right = rest.groupBy(*keys, right).agg(F.min(rank).alias("_b"))
@@ -31,7 +31,6 @@ def greedy_pairs(edges: DataFrame, keys: Sequence[str], left: str, right: str, c
         rest = checkpointed(
             rest.join(taken.select(*keys, left), [*keys, left], "left_anti").join(taken.select(*keys, right), [*keys, right], "left_anti")
         )
-    raise RuntimeError(f"links were still being found after {max_rounds} rounds")
 
 
 def link_frames(previous: DataFrame, current: DataFrame, keys: Sequence[str], gate: float = 0.5) -> tuple[DataFrame, DataFrame]:

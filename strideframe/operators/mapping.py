@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as g
-from ..functions.lcg import mixed
+from ..functions.lcg import MODULUS, mixed
+from ..session import checkpointed
 
 AXES = ("x", "y", "z")
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
@@ -46,62 +47,75 @@ def principal_axes(table: DataFrame) -> DataFrame:
     return table.withColumn("axes", principal(*[F.col(f"c{p}") for p in PAIRS]))
 
 
-def hashed_sample(points: DataFrame, keys: Sequence[str], point_id: str, size: int, seed: int = 0) -> DataFrame:
-    """The `size` points of each key with the smallest seeded hash, with `draw` counting from 0.
+HASH_SLICES, CHUNK_POINTS = 1 << 12, 1 << 16
 
-    Points that cannot be among them are dropped by a hash threshold first, so the ranking window
-    holds little more than the sample.
+
+def ranked_points(points: DataFrame, key: str, point_id: str, ranks: DataFrame, seed: int = 0) -> DataFrame:
+    """ranks(key, rank, ...) with the point of that rank, in order of (seeded hash, point id), of its key.
+
+    Points are counted by slices of the hash; only the slices that hold a wanted rank are put in order, each by itself.
     """
-    counts = points.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hashed = points.withColumn("_h", mixed(F.col(point_id), seed)).join(counts, list(keys))
-    limit = 2_147_483_647 * F.least(F.lit(1.0), (2.0 * size + 40) / F.col("_n"))
-    near = hashed.where(F.col("_h") <= limit)
-    order = Window.partitionBy(*keys).orderBy("_h", point_id)
-    return near.withColumn("draw", F.row_number().over(order).cast("long") - 1).where(F.col("draw") < size).drop("_h", "_n")
-
-
-def _best_plane(reach: float, key: str, key_type: str):
-    schema = T.StructType([
-        T.StructField(key, T.LongType()), T.StructField("hypothesis", T.LongType()), T.StructField("sample_inliers", T.LongType()),
-        *[T.StructField(n, T.DoubleType()) for n in ("px", "py", "pz", "nx", "ny", "nz")],
-    ])
-
-    def choose(points: pd.DataFrame, triples: pd.DataFrame) -> pd.DataFrame:
-        if points.empty or triples.empty:
+    hashed = points.select(key, F.col(point_id).alias("_id"), *AXES, mixed(F.col(point_id), seed).alias("_h"))
+    hashed = hashed.withColumn("_slice", F.floor(F.col("_h") * HASH_SLICES / MODULUS))
+    counts = hashed.groupBy(key, "_slice").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most HASH_SLICES rows
+    starts = counts.select(key, "_slice", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("rank"))
+    upto = Window.partitionBy(key).orderBy("rank", F.col("_slice").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = starts.withColumn("_start", F.col("rank")).unionByName(ranks, allowMissingColumns=True)
+    placed = both.withColumn("_in", F.last(F.when(F.col("_slice").isNotNull(), F.struct("_slice", "_start")), ignorenulls=True).over(upto))
+    wanted = placed.where("_slice IS NULL").select(*ranks.columns, F.col("_in._slice").alias("_slice"), (F.col("rank") - F.col("_in._start")).alias("_at"))
+    wanted = checkpointed(wanted)
+    order = Window.partitionBy(key, "_slice").orderBy("_h", "_id")
+    near = hashed.join(wanted.select(key, "_slice").distinct(), [key, "_slice"], "left_semi").withColumn("_at", F.row_number().over(order) - 1)
+    return wanted.join(near.select(key, "_slice", "_at", *AXES), [key, "_slice", "_at"]).select(*ranks.columns, *AXES)
+
+
+def _inliers(reach: float, key: str):
+    """Points of a chunk near each hypothesis of its key."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in (key, "hypothesis", "inliers")])
+
+    def count(points: pd.DataFrame, planes: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or planes.empty:
             return pd.DataFrame(columns=schema.names)
-        place = points.sort_values("draw")[list(AXES)].to_numpy(float)
-        picks = triples.sort_values("hypothesis")
-        a, b, c = (place[picks[n].to_numpy(int)] for n in ("i0", "i1", "i2"))
-        normal = np.cross(b - a, c - a)
-        size = np.linalg.norm(normal, axis=1)
-        usable = size >= 1e-12
-        if not usable.any():
-            return pd.DataFrame(columns=schema.names)
-        a, normal = a[usable], normal[usable] / size[usable, None]
-        ids = picks["hypothesis"].to_numpy(np.int64)[usable]
-        offset = (a * normal).sum(1)
-        counts = np.zeros(len(a), np.int64)
+        place, normal = points[list(AXES)].to_numpy(float), planes[["nx", "ny", "nz"]].to_numpy(float)
+        offset = (planes[["px", "py", "pz"]].to_numpy(float) * normal).sum(1)
+        found = np.zeros(len(normal), np.int64)
         for start in range(0, len(place), 8192):
-            counts += (np.abs(place[start:start + 8192] @ normal.T - offset) <= reach).sum(0)
-        best = int(np.argmax(counts))
-        return pd.DataFrame([[points[key].iloc[0], ids[best], counts[best], *a[best], *normal[best]]], columns=schema.names)
+            found += (np.abs(place[start:start + 8192] @ normal.T - offset) <= reach).sum(0)
+        return pd.DataFrame({key: points[key].iloc[0], "hypothesis": planes["hypothesis"].to_numpy(), "inliers": found})
 
-    return choose, schema
+    return count, schema
 
 
-def dominant_plane(
-    points: DataFrame, key: str, point_id: str, reach: float = 0.02, iterations: int = 500, sample: int = 50_000, seed: int = 0
-) -> DataFrame:
-    """Seeded three-point hypotheses on a bounded sample; the best plane's inliers are then counted over
-    all points and refitted from their moments."""
-    drawn = hashed_sample(points, [key], point_id, sample, seed).select(key, "draw", *AXES)
-    sizes = points.groupBy(key).agg(F.least(F.count("*"), F.lit(sample)).alias("_n")).where("_n >= 3")
-    tries = sizes.withColumn("hypothesis", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
-    pick = lambda j: (mixed(F.col("hypothesis") * 3 + j, seed + 1) % F.col("_n"))
-    tries = tries.withColumns({f"i{j}": pick(j) for j in range(3)}).where("i0 <> i1 and i0 <> i2 and i1 <> i2").drop("_n")
-    tries = tries.withColumnRenamed(key, "_key")
-    choose, schema = _best_plane(reach, key, "long")
-    best = drawn.groupBy(key).cogroup(tries.groupBy("_key")).applyInPandas(choose, schema)
+def dominant_plane(points: DataFrame, key: str, point_id: str, reach: float = 0.02, iterations: int = 500, seed: int = 0) -> DataFrame:
+    """The plane through three seeded draws that has the most points within `reach`, the earliest of equals, refitted
+    from the moments of its inliers.
+
+    Every point counts for every hypothesis: points are scored in chunks of some CHUNK_POINTS, so that a key is spread
+    over tasks, and a chunk sends one number per hypothesis on.
+    """
+    sizes = points.groupBy(key).agg(F.count("*").alias("_n")).where("_n >= 3")
+    number = F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))
+    tries = sizes.withColumn("hypothesis", F.explode(number)).select(
+        key, "hypothesis", F.posexplode(F.array(*[mixed(F.col("hypothesis") * 3 + j, seed + 1) % F.col("_n") for j in range(3)])).alias("corner", "rank"),
+    )
+    drawn = ranked_points(points, key, point_id, tries, seed).groupBy(key, "hypothesis").agg(
+        *[F.max(F.when(F.col("corner") == j, F.col(a))).alias(f"{a}{j}") for j in range(3) for a in AXES], F.countDistinct("rank").alias("_d"),
+    ).where("_d = 3")
+    corner = [g.columns(*[f"{a}{j}" for a in AXES]) for j in range(3)]
+    planes = drawn.withColumn("_normal", F.array(*g.cross(g.minus(corner[1], corner[0]), g.minus(corner[2], corner[0]))))
+    size = F.sqrt(sum((F.col("_normal")[k] * F.col("_normal")[k] for k in (1, 2)), F.col("_normal")[0] * F.col("_normal")[0]))
+    planes = checkpointed(planes.withColumn("_size", size).where("_size >= 1e-12").select(
+        key, "hypothesis", *[F.col(f"{a}0").alias(f"p{a}") for a in AXES], *[(F.col("_normal")[k] / F.col("_size")).alias(f"n{a}") for k, a in enumerate(AXES)],
+    ))
+    chunks = F.ceil(F.col("_n") / CHUNK_POINTS).cast("long")
+    dealt = points.join(sizes, key).select(key, F.pmod(F.xxhash64(point_id), chunks).alias("_chunk"), *AXES)
+    copies = planes.join(sizes.select(key, F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("_chunk")), key).withColumnRenamed(key, "_key")
+    count, schema = _inliers(reach, key)
+    partial = dealt.groupBy(key, "_chunk").cogroup(copies.groupBy("_key", "_chunk")).applyInPandas(count, schema)
+    scored = partial.groupBy(key, "hypothesis").agg(F.sum("inliers").alias("_found"))
+    chosen = scored.groupBy(key).agg(F.max_by("hypothesis", F.struct("_found", -F.col("hypothesis"))).alias("hypothesis"))
+    best = checkpointed(planes.join(chosen, [key, "hypothesis"]))
     height = g.dot(g.minus(g.columns(*AXES), g.columns("px", "py", "pz")), g.columns("nx", "ny", "nz"))
     marked = points.select(key, *AXES).join(best, key).withColumn("_on", F.abs(height) <= reach)
     totals = marked.groupBy(key).agg(

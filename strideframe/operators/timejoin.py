@@ -100,20 +100,21 @@ def exact_matches(samples: DataFrame, references: DataFrame, keys: Sequence[str]
 
 def associate_times(
     first: DataFrame, second: DataFrame, keys: Sequence[str], time: str, ids: tuple[str, str],
-    tolerance: float, chunk_ns: int = HOUR_NS, max_rounds: int = 200,
+    tolerance: float, chunk_ns: int = HOUR_NS,
 ) -> DataFrame:
     """Greedy one-to-one nearest-time pairs, smallest (gap, first, second) taken first.
 
     Taking every mutually best pair at once gives the same result as walking the sorted candidates.
     Each round looks only at the nearest free row before and after, so dense streams emit no
-    candidate pairs. Rows whose nearest free partner is out of reach leave the game.
+    candidate pairs. Rows whose nearest free partner is out of reach leave the game; rounds go on until
+    none finds a pair.
     """
     keys = list(keys)
     a = first.select(*keys, F.col(time).alias("_t"), F.col(ids[0]).alias("_id"), F.lit(0).alias("_side"))
     b = second.select(*keys, F.col(time).alias("_t"), F.col(ids[1]).alias("_id"), F.lit(1).alias("_side"))
     free = a.unionByName(b)
     pairs: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         mine = F.struct(F.col("_t").alias("t"), F.col("_id").alias("id"))
         seen = carried(
             free, keys, ["_t", "_side"], time_chunk("_t", chunk_ns),
@@ -142,8 +143,6 @@ def associate_times(
             mutual.select(*keys, F.col("_j").alias("_id"), F.lit(1).alias("_side"))
         )
         free = seen.drop("_best").join(taken, [*keys, "_id", "_side"], "left_anti")
-    else:
-        raise RuntimeError(f"pairs were still being found after {max_rounds} rounds")
     if pairs is None:
         pairs = mutual
     return pairs.select(

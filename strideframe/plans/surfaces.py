@@ -104,7 +104,7 @@ def point_moments(t):
     k AS (SELECT u.recording, u.h, count(*) FILTER (WHERE abs((p.x-px)*u.nx + (p.y-py)*u.ny + (p.z-pz)*u.nz) / len <= 1e-1) AS inliers, count(*) AS points FROM u JOIN points p ON p.recording = u.recording GROUP BY ALL)
     SELECT recording, arg_min(h, (-inliers, h)) AS hypothesis, max(inliers) AS inliers, max(points) AS points_n, max(inliers) / max(points) AS inlier_share FROM k GROUP BY recording""", doubles="inlier_share")
 def dominant_plane(t):
-    """AGG-15: seeded hypotheses on a bounded sample, refitted on every inlier."""
+    """AGG-15: seeded hypotheses, each scored on every point, refitted on the inliers of the best."""
     rows = mapping.dominant_plane(t.points, "recording", "point", reach=0.1)
     return rows.select("recording", "hypothesis", "inliers", F.col("points").alias("points_n"), "inlier_share")
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,26 @@ def test_dominant_plane_finds_the_floor(spark):
     assert abs(normal[1]) > 0.999 and row.inlier_share > 0.75
 
 
+def test_dominant_plane_counts_every_point(spark):
+    """60,000 points; each hypothesis is scored on all of them, as a plain run over all points scores it."""
+    m = 2_147_483_647
+    mixed = lambda k, seed: ((k % m * 48271 + seed * 40692 + 1) % m * 69621) % m * 16807 % m
+    n, tries, reach = 60_000, 40, 0.05
+    rng = np.random.default_rng(4)
+    place = np.r_[np.c_[rng.uniform(0, 4, 30_000), rng.normal(0, 0.01, 30_000), rng.uniform(0, 4, 30_000)], rng.uniform(0, 4, (30_000, 3))]
+    order = sorted(range(n), key=lambda i: (mixed(i, 0), i))
+    best = (-1, 0)
+    for h in range(tries):
+        ranks = [mixed(h * 3 + j, 1) % n for j in range(3)]
+        if len(set(ranks)) == 3:
+            a, b, c = place[[order[r] for r in ranks]]
+            normal = np.cross(b - a, c - a)
+            best = max(best, (int((np.abs((place - a) @ normal) <= reach * np.linalg.norm(normal)).sum()), -h))
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "point": np.arange(n), **dict(zip("xyz", place.T))}))
+    row = mapping.dominant_plane(df, "k", "point", reach=reach, iterations=tries).first()
+    assert (row.inliers, -row.hypothesis) == best and row.points == n
+
+
 def test_nearest_and_counts_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     refs = np.r_[rng.normal(size=(300, 3)), np.repeat(rng.normal(size=(1, 3)), 60, 0), rng.normal(0, 1e-3, (200, 3))]
