@@ -167,11 +167,12 @@ def piece_majority(points: DataFrame, key: str, point: str, eps: float = 0.03, m
     return rows.join(share, "component").withColumn("kept", ~F.col("suspect") & (F.col("suspect_share") <= 0.5))
 
 
-def survivors(points: DataFrame, raw: DataFrame, kept: DataFrame, point: str, raw_id: str) -> DataFrame:
-    """Whether each point's nearest raw point is among the kept ones."""
-    near = nearest_k(points, raw, point, raw_id)
-    shown = kept.select(raw_id).distinct().withColumn("shown", F.lit(True))
-    return near.join(shown, raw_id, "left").select(point, raw_id, F.coalesce("shown", F.lit(False)).alias("shown"))
+def survivors(points: DataFrame, raw: DataFrame, kept: DataFrame, point: str, raw_id: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Whether each point's nearest raw point of the same keys is among the kept ones."""
+    keys = list(keys)
+    near = nearest_k(points, raw, point, raw_id, keys=keys)
+    shown = kept.select(*keys, raw_id).distinct().withColumn("shown", F.lit(True))
+    return near.join(shown, [*keys, raw_id], "left").select(*keys, point, raw_id, F.coalesce("shown", F.lit(False)).alias("shown"))
 
 
 def removed_cells(original: DataFrame, key: str, cell: float, gone: Column) -> DataFrame:
@@ -184,30 +185,34 @@ def removed_cells(original: DataFrame, key: str, cell: float, gone: Column) -> D
 
 
 def trial_score(
-    surface: DataFrame, lines: DataFrame, measured: DataFrame, floor_y: float, far_from: float = 2.5, radius: float = 0.04
+    surface: DataFrame, lines: DataFrame, measured: DataFrame, floor_y: float, far_from: float = 2.5, radius: float = 0.04, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per distance side: blocked sight lines, distance to tracked points, coverage and floor counts.
+    """One row per keys and distance side: blocked sight lines, distance to tracked points, coverage and floor counts.
 
-    surface(point, x, y, z); lines(line, ox, oy, oz, x, y, z, depth); measured(sample, x, y, z).
+    surface(point, x, y, z); lines(line, ox, oy, oz, x, y, z, depth); measured(sample, x, y, z), all with `keys`.
     """
     from .ordered import exact_quantiles
 
+    keys = list(keys)
     side = F.when(F.col("depth") < far_from, "near").otherwise("far")
-    hits = sight_line_hits(lines, surface, "line", "point", radius=radius)
-    sides = lines.select("line", side.alias("side"))
-    blocked = hits.join(sides, "line").groupBy("side").agg(
+    hits = sight_line_hits(lines, surface, "line", "point", radius=radius, keys=keys)
+    sides = lines.select(*keys, "line", side.alias("side"))
+    blocked = hits.join(sides, [*keys, "line"]).groupBy(*keys, "side").agg(
         (F.sum("blocked") / F.greatest(F.sum("samples"), F.lit(1))).alias("blocked_share")
     )
-    gaps = nearest_k(lines, surface, "line", "point").join(sides, "line")
-    typical = exact_quantiles(gaps, ["side"], "distance", {"median_m": 0.5}).join(
-        gaps.groupBy("side").agg(F.avg((F.col("distance") <= 0.10).cast("double")).alias("within_10cm")), "side"
+    gaps = nearest_k(lines, surface, "line", "point", keys=keys).join(sides, [*keys, "line"])
+    typical = exact_quantiles(gaps, [*keys, "side"], "distance", {"median_m": 0.5}).join(
+        gaps.groupBy(*keys, "side").agg(F.avg((F.col("distance") <= 0.10).cast("double")).alias("within_10cm")), [*keys, "side"]
     )
-    covered = nearest_k(measured, surface, "sample", "point", max_distance=0.05).agg(F.count("*").alias("_near"))
-    total = measured.agg(F.count("*").alias("_all"))
-    floor = surface.agg(
+    covered = nearest_k(measured, surface, "sample", "point", keys=keys, max_distance=0.05).groupBy(*keys).agg(F.count("*").alias("_near"))
+    total = measured.groupBy(*keys).agg(F.count("*").alias("_all"))
+    floor = surface.groupBy(*keys).agg(
         F.count("*").alias("surface_points"), F.count(F.when(F.col("y") < floor_y - 0.10, 1)).alias("below_floor"),
         F.count(F.when(F.abs(F.col("y") - floor_y) <= 0.05, 1)).alias("near_floor"),
     )
-    # three one-row aggregates beside two rows
-    whole = F.broadcast(floor.crossJoin(covered).crossJoin(total))
-    return blocked.join(typical, "side").crossJoin(whole).withColumn("covered", F.col("_near") / F.col("_all")).drop("_near", "_all")
+    if keys:
+        rows = blocked.join(typical, [*keys, "side"]).join(floor, keys).join(total, keys).join(covered, keys, "left")
+    else:
+        # three one-row aggregates beside two rows
+        rows = blocked.join(typical, "side").crossJoin(F.broadcast(floor.crossJoin(covered).crossJoin(total)))
+    return rows.withColumn("covered", F.coalesce("_near", F.lit(0)) / F.col("_all")).drop("_near", "_all")

@@ -183,9 +183,9 @@ def support_distance(a: DataFrame, c: DataFrame, keys: Sequence[str], a_id: str,
 
 def sight_samples(
     lines: DataFrame, line_id: str, start_m: float = 0.3, step_m: float = 0.04, end_margin: tuple[float, float] = (0.15, 0.05),
-    behind_m: float | None = None,
+    behind_m: float | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Samples along camera-to-point lines (ox, oy, oz) -> (x, y, z), short of the point or behind it."""
+    """Samples along camera-to-point lines (ox, oy, oz) -> (x, y, z), short of the point or behind it, with the lines' keys."""
     size = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in XYZ[1:]), (F.col("x") - F.col("ox")) ** 2))
     rows = lines.withColumn("_len", size).where("_len > 0")
     margin = F.greatest(F.lit(end_margin[0]), end_margin[1] * F.col("_len"))
@@ -195,24 +195,37 @@ def sight_samples(
     along = first + F.col("_i") * step_m + (F.lit(0.0) if behind_m is None else F.col("_len"))
     rows = rows.withColumn("_along", along)
     return rows.select(
-        F.struct(F.col(line_id).alias("line"), F.col("_i").alias("i")).alias("sample"), F.col(line_id),
+        *keys, F.struct(F.col(line_id).alias("line"), F.col("_i").alias("i")).alias("sample"), F.col(line_id),
         *[(F.col(f"o{c}") + F.col("_along") * (F.col(c) - F.col(f"o{c}")) / F.col("_len")).alias(c) for c in XYZ],
     )
 
 
 def sight_line_hits(
-    lines: DataFrame, surface: DataFrame, line_id: str, surface_id: str, radius: float = 0.04, **sampling
+    lines: DataFrame, surface: DataFrame, line_id: str, surface_id: str, radius: float = 0.04, keys: Sequence[str] = (), **sampling
 ) -> DataFrame:
-    """Samples per line, and how many have surface within `radius`."""
-    samples = sight_samples(lines, line_id, **sampling)
-    near = nearest_k(samples, surface, "sample", surface_id, max_distance=radius)
-    hits = near.groupBy(F.col("sample.line").alias(line_id)).agg(F.count("*").alias("blocked"))
-    totals = samples.groupBy(line_id).agg(F.count("*").alias("samples"))
-    return lines.select(line_id).join(totals, line_id, "left").join(hits, line_id, "left").select(
-        line_id, F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("blocked", F.lit(0)).alias("blocked")
+    """Samples per line, and how many have surface of the same keys within `radius`; line ids count inside their keys."""
+    keys = list(keys)
+    samples = sight_samples(lines, line_id, keys=keys, **sampling)
+    near = nearest_k(samples, surface, "sample", surface_id, keys=keys, max_distance=radius)
+    hits = near.groupBy(*keys, F.col("sample.line").alias(line_id)).agg(F.count("*").alias("blocked"))
+    totals = samples.groupBy(*keys, line_id).agg(F.count("*").alias("samples"))
+    own = [*keys, line_id]
+    return lines.select(*own).join(totals, own, "left").join(hits, own, "left").select(
+        *own, F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("blocked", F.lit(0)).alias("blocked")
     )
 
 
+def turned_to_cameras(points: DataFrame, cameras: DataFrame, point_id: str, camera_id: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Points with the nearest camera of their keys and their normal (nx, ny, nz) turned to it."""
+    keys = list(keys)
+    near = nearest_k(points, cameras, point_id, camera_id, keys=keys).select(*keys, point_id, camera_id)
+    places = cameras.select(*keys, camera_id, *[F.col(c).alias(f"_c{c}") for c in XYZ])
+    rows = points.join(near, [*keys, point_id]).join(places, [*keys, camera_id])
+    facing = sum((F.col(f"n{c}") * (F.col(f"_c{c}") - F.col(c)) for c in XYZ[1:]), F.col("nx") * (F.col("_cx") - F.col("x")))
+    turn = F.when(facing < 0, -1.0).otherwise(1.0)
+    return rows.withColumns({f"n{c}": turn * F.col(f"n{c}") for c in XYZ}).drop(*[f"_c{c}" for c in XYZ])
+
+
 # ---- image-plane joins ----
 
 def tiled(boxes: DataFrame, tile: float, prefix: str = "") -> DataFrame:

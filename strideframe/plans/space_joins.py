@@ -222,3 +222,41 @@ def view_evidence(t):
         "recording", "point", F.col("views").alias("measuring"), "nearest_m", second.alias("second_deg"),
         vote.wide_support(F.col("nearest_m"), F.col("second_angle_deg")).alias("wide"),
     )
+
+
+@query("fleet_sight_lines", """
+    WITH l AS (SELECT recording, point AS line, x, y, z, sqrt(x*x + y*y + z*z) AS len FROM points),
+    s AS (SELECT *, unnest(range(0, greatest(CAST(ceil((len - greatest(15e-2, 5e-2 * len) - 3e-1) / 4e-2) AS BIGINT), 0))) AS i FROM l),
+    p AS (SELECT recording, line, i, (3e-1 + i * 4e-2) * x / len AS x, (3e-1 + i * 4e-2) * y / len AS y, (3e-1 + i * 4e-2) * z / len AS z FROM s),
+    h AS (SELECT DISTINCT a.recording, a.line, a.i FROM p a JOIN points c ON a.recording = c.recording AND (a.x-c.x)**2 + (a.y-c.y)**2 + (a.z-c.z)**2 <= 225e-4),
+    n AS (SELECT recording, line, count(*) AS samples FROM p GROUP BY ALL), m AS (SELECT recording, line, count(*) AS blocked FROM h GROUP BY ALL)
+    SELECT recording, line, coalesce(samples, 0) AS samples, coalesce(blocked, 0) AS blocked FROM l LEFT JOIN n USING (recording, line) LEFT JOIN m USING (recording, line)""")
+def fleet_sight_lines(t):
+    """JOIN-16: sight lines of many recordings, each against the surface of its own."""
+    lines = t.points.select("recording", F.col("point").alias("line"), "x", "y", "z", *[F.lit(0.0).alias(f"o{c}") for c in "xyz"])
+    return sp.sight_line_hits(lines, t.points, "line", "point", radius=0.15, keys=["recording"])
+
+
+@query("fleet_survivors", """
+    WITH d AS (SELECT a.recording, a.point, c.point AS raw, c.nx > 0 AS kept, sqrt((a.x+1e-2-c.x)**2 + (a.y-c.y)**2 + (a.z-c.z)**2) AS d
+               FROM points a JOIN points c USING (recording))
+    SELECT recording, point, arg_min(kept, (d, raw)) AS shown FROM d GROUP BY recording, point""")
+def fleet_survivors(t):
+    """JOIN-18: points whose nearest raw point of the same recording was kept."""
+    raw = t.points.withColumnRenamed("point", "raw")
+    moved = t.points.select("recording", "point", (F.col("x") + 0.01).alias("x"), "y", "z")
+    return pc.survivors(moved, raw, raw.where("nx > 0"), "point", "raw", ["recording"]).select("recording", "point", "shown")
+
+
+@query("fleet_cameras", """
+    WITH v AS (SELECT frame % 10 AS recording, frame, tx, ty FROM views), q AS (SELECT recording % 10 AS recording, point, x, y, z, nx, ny, nz FROM points),
+    d AS (SELECT q.*, frame, tx, ty, (x-tx)**2 + (y-ty)**2 + z**2 AS d FROM q JOIN v USING (recording)),
+    n AS (SELECT recording, point, arg_min(frame, (d, frame)) AS camera FROM d GROUP BY ALL)
+    SELECT recording, point, camera, CASE WHEN (tx-x)*nx + (ty-y)*ny - z*nz < 0 THEN -nx ELSE nx END AS fx, CASE WHEN (tx-x)*nx + (ty-y)*ny - z*nz < 0 THEN -nz ELSE nz END AS fz
+    FROM n JOIN d USING (recording, point) WHERE d.frame = n.camera""", doubles="fx fz")
+def fleet_cameras(t):
+    """JOIN-22: normals turned to the nearest camera of the same recording; views are dealt to ten recordings."""
+    cameras = t.views.select((F.col("frame") % 10).alias("recording"), F.col("frame").alias("camera"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.lit(0.0).alias("z"))
+    points = t.points.withColumn("recording", F.col("recording") % 10)
+    rows = sp.turned_to_cameras(points, cameras, "point", "camera", ["recording"])
+    return rows.select("recording", "point", "camera", F.col("nx").alias("fx"), F.col("nz").alias("fz"))

@@ -271,6 +271,27 @@ def trial_score(t):
     return pc.trial_score(surface, lines, t.points.withColumnRenamed("point", "sample"), floor_y=-0.5, radius=0.2)
 
 
+@query("fleet_trial_score", """
+    WITH l AS (SELECT recording, point AS line, x, y, z, sqrt(x*x + y*y + z*z) AS len, CASE WHEN abs(z) < 5e-1 THEN 'near' ELSE 'far' END AS side FROM points WHERE nx <= 0),
+    surf AS (SELECT recording, point, x, y, z FROM points WHERE nx > 0),
+    s AS (SELECT *, unnest(range(0, greatest(CAST(ceil((len - greatest(15e-2, 5e-2 * len) - 3e-1) / 4e-2) AS BIGINT), 0))) AS i FROM l),
+    p AS (SELECT recording, side, (3e-1 + i * 4e-2) * x / len AS x, (3e-1 + i * 4e-2) * y / len AS y, (3e-1 + i * 4e-2) * z / len AS z FROM s),
+    h AS (SELECT recording, side, avg(CASE WHEN EXISTS (SELECT 1 FROM surf c WHERE c.recording = p.recording AND (p.x-c.x)**2 + (p.y-c.y)**2 + (p.z-c.z)**2 <= 4e-2) THEN 1e0 ELSE 0e0 END) AS blocked_share FROM p GROUP BY ALL),
+    d AS (SELECT l.recording, line, side, min(sqrt((l.x-c.x)**2 + (l.y-c.y)**2 + (l.z-c.z)**2)) AS d FROM l JOIN surf c USING (recording) GROUP BY ALL),
+    m AS (SELECT recording, side, quantile_cont(d, 0.5) AS median_m, avg(CASE WHEN d <= 1e-1 THEN 1e0 ELSE 0e0 END) AS within_10cm FROM d GROUP BY ALL),
+    f AS (SELECT recording, count(*) AS surface_points, count(*) FILTER (WHERE y < -6e-1) AS below_floor, count(*) FILTER (WHERE abs(y + 5e-1) <= 5e-2) AS near_floor FROM surf GROUP BY recording),
+    c AS (SELECT recording, avg(CASE WHEN EXISTS (SELECT 1 FROM surf c WHERE c.recording = p.recording AND (p.x-c.x)**2 + (p.y-c.y)**2 + (p.z-c.z)**2 <= 25e-4) THEN 1e0 ELSE 0e0 END) AS covered FROM points p GROUP BY recording)
+    SELECT * FROM h JOIN m USING (recording, side) JOIN f USING (recording) JOIN c USING (recording)""", doubles="blocked_share median_m within_10cm covered")
+def fleet_trial_score(t):
+    """AGG-52: surfaces of many recordings, each scored against its own lines and points."""
+    lines = t.points.where("nx <= 0").select(
+        "recording", F.col("point").alias("line"), "x", "y", "z", *[F.lit(0.0).alias(f"o{c}") for c in "xyz"],
+        F.when(F.abs("z") < 0.5, 1.0).otherwise(3.0).alias("depth"),
+    )
+    measured = t.points.withColumnRenamed("point", "sample")
+    return pc.trial_score(t.points.where("nx > 0"), lines, measured, floor_y=-0.5, radius=0.2, keys=["recording"])
+
+
 def _kept_sql(kind: str, source: str) -> str:
     return f"SELECT recording, '{kind}' AS kind, count(*) FILTER (WHERE kept) AS kept_n FROM ({source}) AS k GROUP BY recording"
 
