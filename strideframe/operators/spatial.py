@@ -1,68 +1,117 @@
 """Exact 3D proximity without pair explosions, and tile joins in the image plane.
 
-`nearest_k` and `count_within` walk a cell pyramid level by level. A query carries only cells that can
-still matter: a cell farther than the best guaranteed distance is dropped before its points are ever
-touched. A dense spot makes the pyramid deeper, not the join wider.
+`nearest_k` and `count_within` walk a k-d tree level by level. A query carries only nodes that can still
+matter: a node farther than the best guaranteed distance is dropped before its points are ever touched. A
+dense spot makes the tree deeper there, and a stray point widens one leaf; neither makes the join wider.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as b
+from ..session import checkpointed
 
-STEP = 2          # pyramid levels per descent: at most 64 children per cell
+BRANCH = 16              # children of a node; a leaf is named by one letter per level
 LEAF_POINTS = 32
-DEEPEST = 20
+BUCKET_POINTS = 65_536   # nodes up to this size are cut by exact ranks inside one window
 XYZ = ("x", "y", "z")
-CELL = ("cx", "cy", "cz")
 BOX = ("x0", "y0", "z0", "x1", "y1", "z1")
 
 
-class Pyramid:
-    """Cells of the distinct reference points at every second level, with counts and tight boxes."""
+def _finite() -> Column:
+    """Null, NaN and infinite coordinates are neither found nor looked for."""
+    size = F.greatest(*[F.when(F.col(c).isNotNull(), F.abs(c)).otherwise(float("inf")) for c in XYZ])
+    return size < float("inf")
 
-    def __init__(self, refs: DataFrame, keys: Sequence[str], ref_id: str, leaf: int = LEAF_POINTS):
+
+class KdTree:
+    """Leaves of at most `leaf` distinct reference points of a key, with counts and tight boxes of every node.
+
+    Nodes above `bucket` points are cut at sketched quantiles of the axis that spreads most between its
+    outer sixteenths, all nodes of all keys in one aggregate a round. Points are distinct, so some axis
+    always has such a spread and each side keeps about a sixteenth at least: rounds grow with the logarithm
+    of the points, wherever they lie. Smaller nodes are cut by rank, all levels after one shuffle.
+    """
+
+    def __init__(self, refs: DataFrame, keys: Sequence[str], ref_id: str, leaf: int = LEAF_POINTS, bucket: int = BUCKET_POINTS):
         self.keys = list(keys)
-        points = refs.select(*keys, F.col(ref_id).alias("_rid"), *XYZ).groupBy(*keys, *XYZ).agg(
+        points = refs.where(_finite()).select(*keys, F.col(ref_id).alias("_rid"), *XYZ).groupBy(*keys, *XYZ).agg(
             F.min("_rid").alias("_rid"), F.count("*").alias("_m")
         )
-        ranges = points.agg(
-            F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
-        ).first()
-        lows = [ranges[f"lo_{c}"] or 0.0 for c in XYZ]
-        side = max([(ranges[f"hi_{c}"] or 0.0) - lo for c, lo in zip(XYZ, lows)] + [1e-9]) * (1 + 1e-9)
-        fine = [
-            F.floor((F.col(c) - lo) / side * (1 << DEEPEST)).cast("long").alias(f"_f{c}") for c, lo in zip(XYZ, lows)
-        ]
-        self.points = points.select("*", *fine)
-        depth = STEP * max(1, ceil(log(max(ranges["n"], 1) / leaf + 1, 4) / STEP))
-        while depth < DEEPEST:
-            fullest = self.points.groupBy(*keys, *self._cells(depth)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-            if (fullest or 0) <= leaf:
-                break
-            depth += STEP
-        self.depth = depth
-
-    def _cells(self, level: int, prefix: str = "") -> list[Column]:
-        return [
-            F.shiftright(f"_f{c}", DEEPEST - level).alias(f"{prefix}{name}") for c, name in zip(XYZ, CELL)
-        ]
+        points, coarse, most = self._sketched_cuts(points.withColumns({"_path": F.lit(""), "_open": F.lit(True)}), bucket)
+        fine = 0
+        while leaf * BRANCH**fine < most:
+            fine += 1
+        self.depth = coarse + fine
+        self.points = checkpointed(self._ranked_cuts(points, fine, leaf))
+
+    def _sketched_cuts(self, points: DataFrame, bucket: int) -> tuple[DataFrame, int, int]:
+        """Points with the path of their bucket, the rounds it took and the size of the largest bucket."""
+        node = [*self.keys, "_path"]
+        shares = [i / BRANCH for i in range(1, BRANCH)]
+        rounds = most = 0
+        while True:
+            sizes = points.where("_open").groupBy(*node).agg(F.count("*").alias("_n"))
+            largest = sizes.agg(F.max("_n").alias("all"), F.max(F.when(F.col("_n") <= bucket, F.col("_n"))).alias("done")).first()
+            most = max(most, largest["done"] or 0)
+            if (largest["all"] or 0) <= bucket:
+                return points.drop("_open"), rounds, most
+            cuts = points.where("_open").groupBy(*node).agg(
+                F.count("*").alias("_n"), *[F.percentile_approx(c, shares, 1000).alias(f"_q{c}") for c in XYZ]
+            ).where(F.col("_n") > bucket)
+            spread = {c: F.element_at(f"_q{c}", -1) - F.element_at(f"_q{c}", 1) for c in XYZ}
+            widest = F.greatest(*spread.values())
+            axis = F.when(spread["x"] == widest, "x").when(spread["y"] == widest, "y").otherwise("z")
+            at = F.when(axis == "x", F.col("_qx")).when(axis == "y", F.col("_qy")).otherwise(F.col("_qz"))
+            cuts = cuts.select(*node, axis.alias("_axis"), F.array_distinct(at).alias("_cuts"))
+            value = F.when(F.col("_axis") == "x", F.col("x")).when(F.col("_axis") == "y", F.col("y")).otherwise(F.col("z"))
+            child = F.size(F.filter("_cuts", lambda cut: cut < F.col("_along")))
+            points = points.join(cuts, node, "left").withColumn("_along", value).withColumns({
+                "_path": F.when(F.col("_axis").isNull(), F.col("_path")).otherwise(F.concat("_path", _letter(child))),
+                "_open": F.col("_axis").isNotNull(),
+            }).drop("_axis", "_cuts", "_along")
+            points = checkpointed(points)
+            rounds += 1
+
+    def _ranked_cuts(self, points: DataFrame, levels: int, leaf: int) -> DataFrame:
+        """Buckets cut into equal parts along their longest side; windows refine one partitioning, so it is one shuffle."""
+        digits: list[str] = []
+        for level in range(levels):
+            node = Window.partitionBy(*self.keys, "_path", *digits)
+            sides = {c: F.max(c).over(node) - F.min(c).over(node) for c in XYZ}
+            points = points.withColumns({"_n": F.count("*").over(node), **{f"_s{c}": side for c, side in sides.items()}})
+            widest = F.greatest("_sx", "_sy", "_sz")
+            along = F.when(F.col("_sx") == widest, F.col("x")).when(F.col("_sy") == widest, F.col("y")).otherwise(F.col("z"))
+            points = points.withColumn("_along", along)
+            rank = F.row_number().over(node.orderBy("_along", *XYZ)) - 1
+            parts = F.least(F.lit(BRANCH), F.ceil(F.col("_n") / leaf))
+            digit = F.when(F.col("_n") > leaf, F.floor(rank * parts / F.col("_n")))
+            points = points.withColumn(f"_d{level}", digit).drop("_n", "_sx", "_sy", "_sz", "_along")
+            digits.append(f"_d{level}")
+        letters = [F.coalesce(_letter(F.col(d)), F.lit("")) for d in digits]
+        return points.withColumn("_node", F.concat("_path", *letters)).drop("_path", *digits)
 
     def nodes(self, level: int) -> DataFrame:
-        """Cells of one level with their parent `STEP` levels up."""
-        lows = [F.min(c).alias(n) for c, n in zip(XYZ, BOX[:3])]
-        highs = [F.max(c).alias(n) for c, n in zip(XYZ, BOX[3:])]
-        cells = self.points.groupBy(*self.keys, *self._cells(level)).agg(F.sum("_m").alias("_count"), *lows, *highs)
-        parents = [F.shiftright(c, STEP).alias(f"p{c}") for c in CELL]
-        return cells.select("*", *parents)
+        """Nodes of one level with their parent; a leaf that ended higher up stands for itself."""
+        lows, highs = list(zip(XYZ, BOX[:3])), list(zip(XYZ, BOX[3:]))
+        leaves = self.points.groupBy(*self.keys, "_node").agg(
+            F.sum("_m").alias("_count"), *[F.min(c).alias(n) for c, n in lows], *[F.max(c).alias(n) for c, n in highs]
+        )
+        whole = leaves.groupBy(*self.keys, F.substring("_node", 1, level).alias("_node")).agg(
+            F.sum("_count").alias("_count"), *[F.min(n).alias(n) for n in BOX[:3]], *[F.max(n).alias(n) for n in BOX[3:]]
+        )
+        return whole.withColumn("_up", F.substring("_node", 1, level - 1))
 
     def leaves(self) -> DataFrame:
-        return self.points.select(*self.keys, *self._cells(self.depth), "_rid", "_m", *[F.col(c).alias(f"r{c}") for c in XYZ])
+        return self.points.select(*self.keys, F.col("_node").alias("_up"), "_rid", "_m", *[F.col(c).alias(f"r{c}") for c in XYZ])
+
+
+def _letter(digit: Column) -> Column:
+    return F.char(digit.cast("long") + 97)
 
 
 def _near(axis_lo: str, axis_hi: str, q: str) -> Column:
@@ -80,25 +129,21 @@ def _bounds(rows: DataFrame) -> DataFrame:
 
 
 def _start(queries: DataFrame, keys: Sequence[str], query_id: str) -> DataFrame:
-    return queries.select(
-        *keys, F.col(query_id).alias("_qid"), *[F.col(c).alias(f"q{c}") for c in XYZ],
-        *[F.lit(0).cast("long").alias(f"p{c}") for c in CELL],
+    return queries.where(_finite()).select(
+        *keys, F.col(query_id).alias("_qid"), *[F.col(c).alias(f"q{c}") for c in XYZ], F.lit("").alias("_up")
     )
 
 
-def _open(candidates: DataFrame, tree: Pyramid, level: int) -> DataFrame:
+def _open(candidates: DataFrame, tree: KdTree, level: int) -> DataFrame:
     """Candidates replaced by their children at `level`, with distance bounds."""
     children = tree.nodes(level)
-    if level == STEP and not tree.keys:
-        children = F.broadcast(children)  # at most 64 cells
-    joined = candidates.join(children, [*tree.keys, *[f"p{c}" for c in CELL]])
-    return _bounds(joined).drop(*BOX)
+    if level == 1 and not tree.keys:
+        children = F.broadcast(children)  # at most BRANCH nodes
+    return _bounds(candidates.join(children, [*tree.keys, "_up"])).drop(*BOX)
 
 
 def _descend(rows: DataFrame) -> DataFrame:
-    return rows.drop(*[f"p{c}" for c in CELL], "_count", "_dmin", "_dmax").withColumnsRenamed(
-        {c: f"p{c}" for c in CELL}
-    )
+    return rows.drop("_up", "_count", "_dmin", "_dmax").withColumnRenamed("_node", "_up")
 
 
 def _distance() -> Column:
@@ -107,29 +152,30 @@ def _distance() -> Column:
 
 def nearest_k(
     queries: DataFrame, refs: DataFrame, query_id: str, ref_id: str, k: int = 1, keys: Sequence[str] = (),
-    max_distance: float | None = None, leaf: int = LEAF_POINTS,
+    max_distance: float | None = None, leaf: int = LEAF_POINTS, bucket: int = BUCKET_POINTS,
 ) -> DataFrame:
     """The k nearest references of each query inside the same keys: keys, query id, rank, ref id, distance.
 
-    Repeated coordinates count as often as they occur and share their lowest id.
+    Repeated coordinates count as often as they occur and share their lowest id. A query without three finite
+    coordinates gets no row.
     """
     keys = list(keys)
-    tree = Pyramid(refs, keys, ref_id, leaf)
+    tree = KdTree(refs, keys, ref_id, leaf, bucket)
     mine = Window.partitionBy(*keys, "_qid")
     candidates = _start(queries, keys, query_id)
-    for level in range(STEP, tree.depth + 1, STEP):
+    for level in range(1, tree.depth + 1):
         rows = _open(candidates, tree, level)
         if max_distance is not None:
             rows = rows.where(F.col("_dmin") <= max_distance)
         if k == 1:
             rows = rows.withColumn("_reach", F.min("_dmax").over(mine))
         else:
-            upto = mine.orderBy("_dmax", *CELL).rowsBetween(Window.unboundedPreceding, 0)
+            upto = mine.orderBy("_dmax", "_node").rowsBetween(Window.unboundedPreceding, 0)
             rows = rows.withColumn("_seen", F.sum("_count").over(upto))
             rows = rows.withColumn("_reach", F.min(F.when(F.col("_seen") >= k, F.col("_dmax"))).over(mine)).drop("_seen")
         rows = rows.where(F.col("_reach").isNull() | (F.col("_dmin") <= F.col("_reach") * (1 + 1e-12))).drop("_reach")
         candidates = _descend(rows)
-    final = candidates.withColumnsRenamed({f"p{c}": c for c in CELL}).join(tree.leaves(), [*keys, *CELL])
+    final = candidates.join(tree.leaves(), [*keys, "_up"])
     final = final.select(*keys, "_qid", "_rid", "_m", _distance().alias("distance"))
     if max_distance is not None:
         final = final.where(F.col("distance") <= max_distance)
@@ -145,18 +191,18 @@ def nearest_k(
 
 def count_within(
     queries: DataFrame, refs: DataFrame, query_id: str, ref_id: str, radius: float, keys: Sequence[str] = (),
-    leaf: int = LEAF_POINTS,
+    leaf: int = LEAF_POINTS, bucket: int = BUCKET_POINTS,
 ) -> DataFrame:
-    """Number of references within `radius` of each query; cells wholly inside are counted, not opened."""
+    """Number of references within `radius` of each query; nodes wholly inside are counted, not opened."""
     keys = list(keys)
-    tree = Pyramid(refs, keys, ref_id, leaf)
+    tree = KdTree(refs, keys, ref_id, leaf, bucket)
     candidates = _start(queries, keys, query_id)
     sums = []
-    for level in range(STEP, tree.depth + 1, STEP):
+    for level in range(1, tree.depth + 1):
         rows = _open(candidates, tree, level).where(F.col("_dmin") <= radius)
         sums.append(rows.where(F.col("_dmax") <= radius).select(*keys, "_qid", F.col("_count").alias("_n")))
         candidates = _descend(rows.where(F.col("_dmax") > radius))
-    final = candidates.withColumnsRenamed({f"p{c}": c for c in CELL}).join(tree.leaves(), [*keys, *CELL])
+    final = candidates.join(tree.leaves(), [*keys, "_up"])
     total = final.where(_distance() <= radius).select(*keys, "_qid", F.col("_m").alias("_n"))
     for part in sums:
         total = total.unionByName(part)
