@@ -1,4 +1,4 @@
-"""Keyed state over a landing folder: acknowledgement, live updates, counted objects, merged voxels."""
+"""Keyed state over a landing folder: acknowledgement, live updates, counted objects."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -130,30 +130,3 @@ def count_objects(events: DataFrame) -> DataFrame:
     return events.withColumnRenamed("cls", "category").groupBy("recording", "category").transformWithStateInPandas(
         statefulProcessor=CountObjects(), outputStructType=COUNTED, outputMode="append", timeMode="None"
     ).withColumnRenamed("category", "cls")
-
-
-class VoxelMerge:
-    """Running voxel sums on disk: every batch merges its partial sums into a new version of the table.
-
-    A version is named by its batch, so a batch repeated after a failure rewrites the same result.
-    """
-
-    def __init__(self, path: str, cell: float):
-        self.path, self.cell = path, cell
-
-    def version(self, batch: int) -> str:
-        return f"{self.path}/version={batch}"
-
-    def __call__(self, points: DataFrame, batch: int) -> None:
-        keys = ["recording", "fragment", "ix", "iy", "iz"]
-        index = {n: F.floor(F.col(c) / self.cell).cast("long") for n, c in zip(("ix", "iy", "iz"), "xyz")}
-        sums = points.withColumns(index).groupBy(*keys).agg(F.count("*").alias("samples"), *[F.sum(c).alias(f"sum_{c}") for c in "xyz"])
-        if batch > 0:
-            sums = sums.unionByName(points.sparkSession.read.parquet(self.version(batch - 1)))
-        merged = sums.groupBy(*keys).agg(F.sum("samples").alias("samples"), *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in "xyz"])
-        merged.write.mode("overwrite").parquet(self.version(batch))
-
-    def surface(self, spark: SparkSession, batch: int) -> DataFrame:
-        """Mean point of every voxel after a batch."""
-        table = spark.read.parquet(self.version(batch))
-        return table.select("recording", "fragment", "ix", "iy", "iz", "samples", *[(F.col(f"sum_{c}") / F.col("samples")).alias(c) for c in "xyz"])

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from paths import SMALL
-from strideframe.operators.fusion import voxel_fuse
 from strideframe.operators.identity import count_objects as count_batch
 from strideframe.plans.bindings import Tables
 from strideframe.plans.identity import object_anchors, object_detections
@@ -91,17 +90,3 @@ def test_streamed_objects_equal_batch(spark, tmp_path):
     columns = ["recording", "cls", "seq", "item", "outcome", "local_id"]
     assert got.count() == want.count() > 0
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0
-
-
-def test_merged_voxels_equal_one_fusion(spark, tmp_path):
-    points = Tables(spark, SMALL).points.select("recording", "fragment", "x", "y", "z")
-    merge = live.VoxelMerge(str(tmp_path / "table"), 0.5)
-    query = landed(spark, points, tmp_path / "in", files=3).writeStream.foreachBatch(merge).option(
-        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    assert query.exception() is None
-    got = {(r.recording, r.fragment, r.ix, r.iy, r.iz): (r.samples, r.x) for r in merge.surface(spark, 2).collect()}
-    want = {(r.recording, r.fragment, r.ix, r.iy, r.iz): (r.samples, r.x) for r in voxel_fuse(points, ["recording", "fragment"], 0.5).collect()}
-    assert got.keys() == want.keys()
-    for key, (n, x) in want.items():
-        assert got[key] == (n, pytest.approx(x, abs=1e-12))
