@@ -1,10 +1,15 @@
 """Batch twins of the streaming operators, and the plug-in hook."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import plugins
 from ..operators import support as sup
+from ..session import checkpointed, shared_folder
 from ..streaming import health
+from ..streaming.fragments import FragmentStore
 from .registry import query
 from .identity import object_detections
 
@@ -26,6 +31,51 @@ def session_windows(t):
     return health.capture_sessions(t.stamps.withColumnRenamed("event_id", "n"), "6 hours")
 
 
+@query("incremental_surface", """
+    SELECT recording, fragment, CAST(floor(x / 5e-1) AS BIGINT) AS ix, CAST(floor(y / 5e-1) AS BIGINT) AS iy, CAST(floor(z / 5e-1) AS BIGINT) AS iz,
+           count(*) AS samples, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points GROUP BY ALL""", doubles="x y z")
+def incremental_surface(t):
+    """STR-05: all points merged in three batches into a fragment store, and the surface it ends with."""
+    spark = t.points.sparkSession
+    store = FragmentStore(f"{shared_folder(spark)}/fragments-{uuid.uuid4().hex}", 0.5)
+    rows = t.points.select("recording", "fragment", "x", "y", "z", F.pmod(F.xxhash64("point"), F.lit(3)).alias("batch"))
+    landing = f"{store.path}/landing"
+    rows.write.partitionBy("batch").parquet(landing)
+    try:
+        for batch in range(3):
+            store(spark.read.schema(rows.schema).parquet(landing).where(F.col("batch") == batch), batch)
+        return checkpointed(store.surface(spark))
+    finally:
+        store.drop(spark)
+
+
+@query("ray_samples", """
+    WITH l AS (SELECT recording, point AS line, x, y, z, sqrt(x*x + y*y + z*z) AS len FROM points),
+    s AS (SELECT *, unnest(range(0, greatest(CAST(ceil((len - greatest(15e-2, 5e-2 * len) - 3e-1) / 4e-2) AS BIGINT), 0))) AS i FROM l)
+    SELECT recording, line, i, (3e-1 + i * 4e-2) * x / len AS x, (3e-1 + i * 4e-2) * y / len AS y, (3e-1 + i * 4e-2) * z / len AS z FROM s""", doubles="x y z")
+def ray_samples(t):
+    """UDF-06: samples of every sight line by a table function in a lateral join."""
+    tables.register(t.spark)
+    return t.spark.sql(
+        "SELECT p.recording, p.point AS line, s.i, s.x, s.y, s.z FROM {points} p, LATERAL ray_samples(0D, 0D, 0D, p.x, p.y, p.z, 0.3D, 0.04D) s",
+        points=t.points,
+    )
+
+
+@query("lag_rows", """
+    WITH f AS (SELECT recording, seq // 64 AS segment, seq, x, y, z FROM frames), l AS (SELECT * FROM (VALUES (1), (5), (10)) AS v(lag))
+    SELECT f.recording, f.segment, f.seq, CAST(l.lag AS INTEGER) AS lag, sqrt((f.x-e.x)**2 + (f.y-e.y)**2 + (f.z-e.z)**2) AS moved
+    FROM f CROSS JOIN l LEFT JOIN f e ON e.recording = f.recording AND e.segment = f.segment AND e.seq = f.seq - l.lag""", doubles="moved")
+def lag_rows(t):
+    """UDF-06: frames beside earlier ones of their segment, by a table function over a partitioned, sorted table."""
+    tables.register(t.spark)
+    return t.spark.sql(
+        """SELECT recording, segment, seq, lag, sqrt(power(x - earlier.x, 2) + power(y - earlier.y, 2) + power(z - earlier.z, 2)) AS moved
+           FROM lag_rows(TABLE({frames}), array('recording', 'segment'), 'seq', array(1, 5, 10))""",
+        frames=t.frames.select("recording", F.expr("seq div 64").alias("segment"), "seq", "x", "y", "z"),
+    )
+
+
 @query("plugin_depth", """
     SELECT recording, frame, count(*) AS pixels_n, sum(learned * 2) AS depth_sum FROM pixels WHERE learned * 2 < 10 GROUP BY recording, frame""", doubles="depth_sum")
 def plugin_depth(t):
