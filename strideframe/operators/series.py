@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lcg import mixed
 from .ordered import HOUR_NS, carried, exact_quantiles
@@ -92,32 +95,77 @@ def resampled(grid: DataFrame, signal: DataFrame, keys: Sequence[str], time: str
     )
 
 
+def lag_moments(a: DataFrame, b: DataFrame, keys: Sequence[str], ordinal: str, max_lag: int, block: int = 4096) -> DataFrame:
+    """Pair statistics of a[i] and b[i + lag] for every whole lag up to `max_lag` either way, as (keys, lag, n, sa, sb,
+    aa, bb, ab, a_low, a_high, b_low, b_high): counts, sums, sums of products and extremes.
+
+    A block of `a` meets its own stretch of `b`, longer by `max_lag` at both ends, in one group of bounded size that
+    scores all lags by vector sums, so rows are never repeated per lag; blocks add up in a small aggregate. A pair with a null or NaN counts in no lag.
+    `a` and `b` hold (keys, ordinal, value), each ordinal once.
+    """
+    keys = list(keys)
+    block = max(block, 4 * max_lag)
+    names = ["n", "sa", "sb", "aa", "bb", "ab", "a_low", "a_high", "b_low", "b_high"]
+
+    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=[*keys, "lag", *names], dtype=object)
+        start = int(key[-1]) * block
+        x, y = np.full(block, np.nan), np.full(block + 2 * max_lag, np.nan)
+        x[left["_at"].to_numpy() - start] = left["_v"].to_numpy(dtype=float)
+        y[right["_at"].to_numpy() - start + max_lag] = right["_v"].to_numpy(dtype=float)
+        out = []
+        for lag in range(-max_lag, max_lag + 1):
+            z = y[lag + max_lag: lag + max_lag + block]
+            both = ~(np.isnan(x) | np.isnan(z))
+            u, v = x[both], z[both]
+            if len(u):
+                out.append((*key[:-1], lag, float(len(u)), u.sum(), v.sum(), u @ u, v @ v, u @ v, u.min(), u.max(), v.min(), v.max()))
+        return pd.DataFrame(out, columns=[*keys, "lag", *names]).astype({k: object for k in keys})
+
+    at, value = F.col(ordinal).cast("long"), [c for c in a.columns if c not in (*keys, ordinal)][0]
+    left = a.select(*keys, at.alias("_at"), F.col(value).alias("_v"), F.floor(at / block).alias("_block"))
+    other = [c for c in b.columns if c not in (*keys, ordinal)][0]
+    right = b.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], at.alias("_at"), F.col(other).alias("_v"),
+        F.explode(F.sequence(F.floor((at - max_lag) / block), F.floor((at + max_lag) / block))).alias("_block"),
+    )
+    schema = T.StructType([
+        *[T.StructField(k, a.schema[k].dataType) for k in keys], T.StructField("lag", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names],
+    ])
+    parts = left.groupBy(*keys, "_block").cogroup(right.groupBy(*[f"_{k}" for k in keys], "_block")).applyInPandas(score, schema)
+    return parts.groupBy(*keys, "lag").agg(
+        *[F.sum(c).alias(c) for c in names[:6]], F.min("a_low").alias("a_low"), F.max("a_high").alias("a_high"), F.min("b_low").alias("b_low"), F.max("b_high").alias("b_high"),
+    )
+
+
 def clock_offset(
     reference: DataFrame, moving: DataFrame, keys: Sequence[str], time: str, value: str, step: int, max_steps: int, chunk_ns: int = HOUR_NS
 ) -> DataFrame:
     """Lag of `moving` behind `reference` by normalised cross-correlation with a parabolic peak.
 
-    Both signals are resampled on one grid of whole steps, so a lag is a shift of the grid index and
-    every lag's correlation is one grouped aggregate.
+    Both signals are resampled on one grid of whole steps, so a lag is a shift of the grid index; all lags of a
+    block are scored together. A flat reference gives no row, a flat stretch of `moving` the score -1. Sums are of
+    deviations from the signal's mean, so a large constant level costs no digits.
     """
     keys = list(keys)
-    ends = lambda df, p: df.groupBy(*keys).agg(F.min(time).alias(f"_{p}0"), F.max(time).alias(f"_{p}1"))
+    ends = lambda df, p: df.groupBy(*keys).agg(F.min(time).alias(f"_{p}0"), F.max(time).alias(f"_{p}1"), F.avg(value).alias(f"_{p}m"))
     reach = max_steps * step
     spans = ends(reference, "a").join(ends(moving, "b"), keys).select(
-        *keys, F.greatest(F.col("_a0"), F.col("_b0") + reach).alias("_from"), F.least(F.col("_a1"), F.col("_b1") - reach).alias("_to")
+        *keys, F.greatest(F.col("_a0"), F.col("_b0") + reach).alias("_from"), F.least(F.col("_a1"), F.col("_b1") - reach).alias("_to"), "_am", "_bm"
     )
     count = F.ceil((F.col("_to") - F.col("_from")) / step)
     spans = spans.withColumn("_n", count.cast("long")).where("_n >= 3")
     grid = spans.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     wide = spans.withColumn("_i", F.explode(F.sequence(F.lit(-max_steps).cast("long"), F.col("_n") - 1 + max_steps)))
     at = (F.col("_from") + F.col("_i") * step).alias(time)
-    a = resampled(grid.select(*keys, "_i", at), reference, keys, time, value, chunk_ns).withColumnRenamed(value, "_a")
-    b = resampled(wide.select(*keys, "_i", at), moving, keys, time, value, chunk_ns).withColumnRenamed(value, "_b")
-    lags = F.explode(F.sequence(F.lit(-max_steps).cast("long"), F.lit(max_steps).cast("long")))
-    shifted = a.select(*keys, "_i", "_a").withColumn("lag", lags).withColumn("_i", F.col("_i") + F.col("lag"))
-    scored = shifted.join(b.select(*keys, "_i", "_b"), [*keys, "_i"]).groupBy(*keys, "lag").agg(
-        F.corr("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb")
-    ).where("_sa > 0").select(*keys, "lag", F.when(F.col("_sb") > 0, F.col("_c")).otherwise(-1.0).alias("score"))
+    a = resampled(grid.select(*keys, "_i", "_am", at), reference, keys, time, value, chunk_ns).select(*keys, "_i", (F.col(value) - F.col("_am")).alias("_a"))
+    b = resampled(wide.select(*keys, "_i", "_bm", at), moving, keys, time, value, chunk_ns).select(*keys, "_i", (F.col(value) - F.col("_bm")).alias("_b"))
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    corr = (F.col("ab") - sa * sb / n) / F.sqrt((F.col("aa") - sa * sa / n) * (F.col("bb") - sb * sb / n))
+    scored = lag_moments(a, b, keys, "_i", max_steps).where("a_high > a_low").select(
+        *keys, "lag", F.when(F.col("b_high") > F.col("b_low"), corr).otherwise(-1.0).alias("score")
+    )
     # a key holds 2 max_steps + 1 scores
     w = Window.partitionBy(*keys).orderBy("lag")
     near = scored.withColumns({"_before": F.lag("score").over(w), "_after": F.lead("score").over(w)})

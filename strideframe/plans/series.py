@@ -43,24 +43,24 @@ def allan_deviation(t):
 
 @query("clock_offset", """
     WITH a AS (SELECT recording, t_ns, value FROM stamps WHERE sensor = 'click'), b AS (SELECT recording, t_ns, value FROM stamps WHERE sensor = 'view'),
-    e AS (SELECT recording, greatest(min(a.t_ns), any_value(b0) + 172800000000000) AS f, least(max(a.t_ns), any_value(b1) - 172800000000000) AS t FROM a JOIN (SELECT recording, min(t_ns) AS b0, max(t_ns) AS b1 FROM b GROUP BY recording) USING (recording) GROUP BY recording),
-    n AS (SELECT *, CAST(ceil((t - f) / 43200000000000) AS BIGINT) AS n FROM e WHERE ceil((t - f) / 43200000000000) >= 3),
-    g AS (SELECT recording, unnest(range(-4, n + 4)) AS i, f, n FROM n), gt AS (SELECT recording, i, f + i * 43200000000000 AS t, n FROM g),
+    e AS (SELECT recording, greatest(min(a.t_ns), any_value(b0) + 360000000000000) AS f, least(max(a.t_ns), any_value(b1) - 360000000000000) AS t FROM a JOIN (SELECT recording, min(t_ns) AS b0, max(t_ns) AS b1 FROM b GROUP BY recording) USING (recording) GROUP BY recording),
+    n AS (SELECT *, CAST(ceil((t - f) / 1800000000000) AS BIGINT) AS n FROM e WHERE ceil((t - f) / 1800000000000) >= 3),
+    g AS (SELECT recording, unnest(range(-200, n + 200)) AS i, f, n FROM n), gt AS (SELECT recording, i, f + i * 1800000000000 AS t, n FROM g),
     pa AS (SELECT gt.*, a.t_ns AS t0, a.value AS v0 FROM gt ASOF LEFT JOIN a ON gt.recording = a.recording AND gt.t > a.t_ns),
     na AS (SELECT pa.*, a.t_ns AS t1, a.value AS v1 FROM pa ASOF LEFT JOIN a ON pa.recording = a.recording AND pa.t <= a.t_ns),
     ia AS (SELECT recording, i, CASE WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL OR t1 = t THEN v1 ELSE v0 + (v1 - v0) * ((t - t0) / (t1 - t0)) END AS v FROM na WHERE i BETWEEN 0 AND n - 1),
     pb AS (SELECT gt.*, b.t_ns AS t0, b.value AS v0 FROM gt ASOF LEFT JOIN b ON gt.recording = b.recording AND gt.t > b.t_ns),
     nb AS (SELECT pb.*, b.t_ns AS t1, b.value AS v1 FROM pb ASOF LEFT JOIN b ON pb.recording = b.recording AND pb.t <= b.t_ns),
     ib AS (SELECT recording, i, CASE WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL OR t1 = t THEN v1 ELSE v0 + (v1 - v0) * ((t - t0) / (t1 - t0)) END AS v FROM nb),
-    s AS (SELECT ia.recording, l AS lag, corr(ia.v, ib.v) AS score FROM ia CROSS JOIN range(-4, 5) r(l) JOIN ib ON ib.recording = ia.recording AND ib.i = ia.i + l GROUP BY ia.recording, l),
+    s AS (SELECT ia.recording, ib.i - ia.i AS lag, corr(ia.v, ib.v) AS score FROM ia JOIN ib ON ib.recording = ia.recording AND ib.i - ia.i BETWEEN -200 AND 200 GROUP BY ia.recording, ib.i - ia.i),
     w AS (SELECT *, lag(score) OVER k AS sb, lead(score) OVER k AS sa FROM s WINDOW k AS (PARTITION BY recording ORDER BY lag)),
     p AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY score DESC, lag) AS r FROM w)
-    SELECT recording, (lag + coalesce(5e-1 * (sb - sa) / (CASE WHEN sb - 2 * score + sa <> 0 THEN sb - 2 * score + sa END), 0)) * 12 AS offset_h, score AS peak FROM p WHERE r = 1""", doubles="offset_h peak")
+    SELECT recording, (lag + coalesce(5e-1 * (sb - sa) / (CASE WHEN sb - 2 * score + sa <> 0 THEN sb - 2 * score + sa END), 0)) * 5e-1 AS offset_h, score AS peak FROM p WHERE r = 1""", doubles="offset_h peak")
 def clock_offset(t):
-    """AGG-37: clock offset by normalised cross-correlation with a parabolic peak (12 h steps, +-48 h)."""
+    """AGG-37: clock offset by normalised cross-correlation with a parabolic peak (401 lags of half an hour)."""
     a = t.stamps.where("sensor = 'click'").select("recording", "t_ns", "value")
     c = t.stamps.where("sensor = 'view'").select("recording", "t_ns", "value")
-    rows = series.clock_offset(a, c, ["recording"], "t_ns", "value", 12 * HOUR_NS, 4, chunk_ns=DAY_NS)
+    rows = series.clock_offset(a, c, ["recording"], "t_ns", "value", HOUR_NS // 2, 200, chunk_ns=DAY_NS)
     return rows.select("recording", (F.col("offset") / HOUR_NS).alias("offset_h"), "peak")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.assignment import best_pairs, near_equal, with_abstention
 from strideframe.functions import geometry as g
-from strideframe.operators import checks, identity, mapping, paths, pieces, scale, sequences, spatial, timejoin, vote
+from strideframe.operators import checks, identity, mapping, paths, pieces, scale, sequences, series, spatial, timejoin, vote
 from strideframe.operators.references import mutual_matches
 from strideframe.operators.sequences import anchor_every, scale_jumps
 from strideframe.sources import readers, writers
@@ -294,3 +294,28 @@ def test_a_stray_point_leaves_the_footprint_known(spark):
     plane = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)], "k long, px double, py double, pz double, nx double, ny double, nz double")
     row = mapping.footprint(df, plane, "k", cell=0.05, min_points=100).first()
     assert row.reason is None and row.observed_area_m2 > 1.0 and row.length_m * row.width_m > 16_000_000 * 0.05 * 0.05
+
+
+def test_lag_moments_equal_brute_force_over_several_blocks(spark):
+    rng = np.random.default_rng(3)
+    a = {(k, i): rng.normal() for k in ("p", "q") for i in range(150)}
+    b = {(k, i): rng.normal() for k in ("p", "q") for i in range(-7, 157)}
+    a["p", 40] = b["q", 90] = None
+    frames = [spark.createDataFrame([(k, i, v) for (k, i), v in rows.items()], f"walk string, i long, {name} double") for rows, name in ((a, "x"), (b, "y"))]
+    got = {(r["walk"], r["lag"]): r for r in series.lag_moments(*frames, ["walk"], "i", 7, block=16).collect()}
+    assert set(got) == {(k, lag) for k in ("p", "q") for lag in range(-7, 8)}
+    for (k, lag), r in got.items():
+        pairs = [(v, b[k, i + lag]) for (w, i), v in a.items() if w == k and v is not None and b[k, i + lag] is not None]
+        x, y = np.array(pairs).T
+        assert r["n"] == len(pairs)
+        assert np.allclose([r["sa"], r["sb"], r["aa"], r["bb"], r["ab"]], [x.sum(), y.sum(), x @ x, y @ y, x @ y])
+        assert [r["a_low"], r["a_high"], r["b_low"], r["b_high"]] == [x.min(), x.max(), y.min(), y.max()]
+
+
+def test_clock_offset_finds_a_shift_on_a_high_level(spark):
+    wave = lambda t: 1e7 + np.sin(t / 37.0) + 0.5 * np.sin(t / 11.0)
+    rows = lambda shift: [("a", t, float(wave(t - shift))) for t in range(0, 12000)] + [("flat", t, 3.3) for t in range(500)]
+    frames = [spark.createDataFrame(rows(s), "walk string, t long, v double") for s in (0, 23)]
+    got = series.clock_offset(*frames, ["walk"], "t", "v", 1, 200, chunk_ns=1000).collect()
+    assert [r["walk"] for r in got] == ["a"]
+    assert abs(got[0]["offset"] - 23) < 0.05 and got[0]["peak"] > 0.999999
