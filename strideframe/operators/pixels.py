@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import boxes as b
 from ..functions import geometry as g
@@ -43,45 +48,74 @@ def project_into(rows: DataFrame, k: Sequence[Column]) -> DataFrame:
     return rows.withColumns({"u": u, "v": v}).drop("_x", "_y")
 
 
+TRIANGULATED = ("depth_m", "depth_b_m", "error_a_px", "error_b_px", "sigma_m", "epipolar_px", "parallax_rad", "wx", "wy", "wz")
+
+
 def triangulate(pairs: DataFrame, k: Sequence[Column], sigma_px: float = 1.0, parallel: float = 1e-6) -> DataFrame:
     """Two-view points of matched pixels (u1, v1, pose_a) and (u2, v2, pose_b), with their errors.
 
-    Rays closer than `parallel` in squared sine have no crossing and are dropped.
+    Rays closer than `parallel` in squared sine have no crossing and are dropped. Two views from one place have no
+    baseline: their errors are NaN, as divisions by zero are outside Spark's checked arithmetic.
     """
-    fx, fy = k[0], k[1]
-    rows = pinned(pairs, {
-        "_ra": F.array(*g.pixel_ray(F.col("u1"), F.col("v1"), k)),
-        "_rb": F.array(*g.pixel_ray(F.col("u2"), F.col("v2"), k)),
-    })
-    item = lambda name: [F.col(name)[i] for i in range(3)]
-    rows = pinned(rows, {
-        "_da": F.array(*g.unit(g.rotate(g.rotation_of(F.col("pose_a")), item("_ra")))),
-        "_db": F.array(*g.unit(g.rotate(g.rotation_of(F.col("pose_b")), item("_rb")))),
-        "_rel": g.compose(g.inverse(F.col("pose_b")), F.col("pose_a")),
-    })
-    cosine = g.dot(item("_da"), item("_db"))
-    rows = rows.where(1 - cosine * cosine > parallel)
-    ca, cb = g.translation_of(F.col("pose_a")), g.translation_of(F.col("pose_b"))
-    rows = pinned(rows, {"_p": F.array(*g.midpoint(ca, item("_da"), cb, item("_db")))})
-    p = item("_p")
-    line = g.cross(g.translation_of(F.col("_rel")), g.rotate(g.rotation_of(F.col("_rel")), item("_ra")))
-    rows = pinned(rows, {
-        "_la": F.array(*g.into_camera(F.col("pose_a"), p)), "_lb": F.array(*g.into_camera(F.col("pose_b"), p)),
-        "_line": F.array(*line),
-        "parallax_rad": g.angle_between(g.minus(ca, p), g.minus(cb, p)),
-    })
-    ua, va, _ = g.project(item("_la"), k)
-    ub, vb, _ = g.project(item("_lb"), k)
-    bent = item("_line")
-    rows = pinned(rows, {
-        "depth_m": F.col("_la")[2], "depth_b_m": F.col("_lb")[2],
-        "error_a_px": F.hypot(ua - F.col("u1"), va - F.col("v1")),
-        "error_b_px": F.hypot(ub - F.col("u2"), vb - F.col("v2")),
-        "sigma_m": F.col("_la")[2] * sigma_px / (fx * F.sin("parallax_rad")),
-        "epipolar_px": F.abs(g.dot(bent, item("_rb"))) / F.hypot(bent[0] / fx, bent[1] / fy),
-        "wx": p[0], "wy": p[1], "wz": p[2],
-    })
-    return rows.drop("_ra", "_rb", "_da", "_db", "_rel", "_p", "_la", "_lb", "_line")
+    given = ("u1", "v1", "u2", "v2", "pose_a", "pose_b")
+    whole = reduce(and_, [F.col(c).isNotNull() for c in given])
+    rows = pairs.where(whole).withColumn("_k", F.array(*[c.cast("double") for c in k]))
+    kept = pairs.columns
+    schema = StructType([*pairs.schema.fields, *[StructField(n, DoubleType()) for n in TRIANGULATED]])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lists = [table[n].combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in ("pose_a", "pose_b", "_k")]
+            a, c, cameras = lists[0].reshape(-1, 12).T, lists[1].reshape(-1, 12).T, lists[2].reshape(-1, 4).T
+            pixels = [table[n].to_numpy().astype(float) for n in ("u1", "v1", "u2", "v2")]
+            with np.errstate(all="ignore"):
+                crossing, found, masks = _two_views(a, c, pixels, cameras, sigma_px, parallel)
+            rest = table.select(kept)
+            for name in TRIANGULATED:
+                rest = rest.append_column(name, pa.array(found[name], pa.float64(), mask=masks.get(name)))
+            yield from rest.filter(pa.array(crossing)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(solve, schema)
+
+
+def _two_views(a, c, pixels, camera, sigma_px, parallel) -> tuple[np.ndarray, dict, dict]:
+    """Whether the rays cross, the measures of each match, and where a pixel error is unknown."""
+    u1, v1, u2, v2 = pixels
+    fx, fy = camera[0], camera[1]
+    one = np.ones_like(u1)
+    turn_a, turn_c, at_a, at_c = g.rotation_of(a), g.rotation_of(c), g.translation_of(a), g.translation_of(c)
+    size = lambda v: np.sqrt(g.dot(v, v))
+    unit = lambda v: [x / size(v) for x in v]
+    into = lambda turn, at, v: g.rotate(g.transposed(turn), g.minus(v, at))
+    ray = lambda u, v: [(u - camera[2]) / fx, (v - camera[3]) / fy, one]
+    ray_a, ray_c = ray(u1, v1), ray(u2, v2)
+    toward_a, toward_c = unit(g.rotate(turn_a, ray_a)), unit(g.rotate(turn_c, ray_c))
+    cosine, between = g.dot(toward_a, toward_c), g.minus(at_a, at_c)
+    along_a, along_c = g.dot(toward_a, between), g.dot(toward_c, between)
+    spread = 1 - cosine * cosine
+    s, t = (cosine * along_c - along_a) / spread, (along_c - cosine * along_a) / spread
+    p = [0.5 * (pa_ + s * va + pc + t * vc) for pa_, va, pc, vc in zip(at_a, toward_a, at_c, toward_c)]
+    back = g.transposed(turn_c)
+    # the first view in the second one's axes
+    shift = [x + y for x, y in zip(g.rotate(back, at_a), [-x for x in g.rotate(back, at_c)])]
+    relative = [g.dot(back[3 * i:3 * i + 3], [turn_a[j], turn_a[3 + j], turn_a[6 + j]]) for i in range(3) for j in range(3)]
+    line = g.cross(shift, g.rotate(relative, ray_a))
+    local_a, local_c = into(turn_a, at_a, p), into(turn_c, at_c, p)
+    to_a, to_c = g.minus(at_a, p), g.minus(at_c, p)
+    bend = g.dot(to_a, to_c) / (size(to_a) * size(to_c))
+    parallax = np.arccos(np.where(np.isnan(bend), 1.0, np.clip(bend, -1.0, 1.0)))
+
+    def error(local, u, v):
+        return np.hypot(fx * local[0] / local[2] + camera[2] - u, fy * local[1] / local[2] + camera[3] - v)
+
+    found = {
+        "depth_m": local_a[2], "depth_b_m": local_c[2], "error_a_px": error(local_a, u1, v1), "error_b_px": error(local_c, u2, v2),
+        "sigma_m": local_a[2] * sigma_px / (fx * np.sin(parallax)),
+        "epipolar_px": np.abs(g.dot(line, ray_c)) / np.hypot(line[0] / fx, line[1] / fy),
+        "parallax_rad": parallax, "wx": p[0], "wy": p[1], "wz": p[2],
+    }
+    return spread > parallel, found, {"error_a_px": local_a[2] == 0, "error_b_px": local_c[2] == 0}
 
 
 def gate_matches(
