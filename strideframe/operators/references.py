@@ -34,7 +34,8 @@ def keyframe_references(
         "recording", F.col("_upto").alias("_ord"), F.col("seq").alias("keyframe"), F.col("pose").alias("_kpose")
     )
     wanted = counted.withColumn("_ord", F.explode(F.sequence(F.col("_before") - (window - 1), F.col("_before"))))
-    pairs = wanted.join(keys, ["recording", "_ord"])
+    # poses are made after the scan, so its size says little about a table of keyframes: never broadcast
+    pairs = wanted.join(keys.hint("merge"), ["recording", "_ord"])
     gap = g.length(g.minus(g.translation_of(F.col("pose")), g.translation_of(F.col("_kpose"))))
     pairs = pinned(pairs, {"baseline": gap, "_angle": g.view_angle_deg(F.col("pose"), F.col("_kpose"))})
     usable = pairs.where(F.col("baseline").between(nearest, farthest) & (F.col("_angle") <= max_angle_deg))
