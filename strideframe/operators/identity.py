@@ -198,7 +198,7 @@ def count_objects(
             done = [(*mark, *row) for row in advance(counter, pending)]
             yield pd.DataFrame(done, columns=[*streams, "seq", "item", "outcome", "local_id", "nearest_m"], dtype=object)
 
-    ordered = events.repartition(*streams).sortWithinPartitions(*streams, "seq", "rank", "item")
+    ordered = _spread(events, streams).sortWithinPartitions(*streams, "seq", "rank", "item")
     decided = checkpointed(ordered.mapInPandas(run, f"{head}, {DECISIONS}"))
     births = decided.where("outcome = 'new'").select(*streams, "seq", "item", "local_id")
     numbered = carried(
@@ -217,26 +217,30 @@ class PolicyTracks:
     def _estimate(self, track: dict) -> np.ndarray:
         if self.condition.endswith("last"):
             return track["last"]
-        return np.median(np.array([v[0] for v in track["views"]]), axis=0)
+        # views are only ever added
+        if track.get("estimate", (0, None))[0] != len(track["views"]):
+            track["estimate"] = len(track["views"]), np.median(np.array([v[0] for v in track["views"]]), axis=0)
+        return track["estimate"][1]
 
     def _edge(self, row: dict, track: dict) -> float | None:
         looks = self.condition.startswith("appearance")
         combined = self.condition.startswith("combined")
         place, vector = row["position"], row["vector"]
-        similarity = None
-        if vector is not None and track["gallery"]:
-            similarity = max(_cosine(vector, other) for other in track["gallery"])
         if not looks:
             if place is None:
                 return None
             far = _gap(place, self._estimate(track))
             if far > MAX_DISTANCE_M or _gap(place, track["anchor"]) > MAX_DISTANCE_M:
                 return None
-        if (looks or combined) and (similarity is None or similarity < APPEARANCE_MIN):
+            if not combined:
+                return far / MAX_DISTANCE_M
+        if vector is None or not track["gallery"]:
             return None
-        if looks:
-            return (1 - similarity) / 2
-        return 0.5 * far / MAX_DISTANCE_M + 0.25 * (1 - similarity) if combined else far / MAX_DISTANCE_M
+        own = _size(vector)
+        similarity = max(_cosine(vector, other, own, size) for other, size in track["gallery"])
+        if similarity < APPEARANCE_MIN:
+            return None
+        return (1 - similarity) / 2 if looks else 0.5 * far / MAX_DISTANCE_M + 0.25 * (1 - similarity)
 
     def _accept(self, track: dict, row: dict) -> None:
         if row["position"] is None:
@@ -246,7 +250,7 @@ class PolicyTracks:
         if fresh:
             track["views"].append((row["position"], row["pose"]))
             if row["vector"] is not None:
-                track["gallery"].append(row["vector"])
+                track["gallery"].append((row["vector"], _size(row["vector"])))
 
     def frame(self, rows: list[dict]) -> list[tuple[str, str, str | None]]:
         """(decision, reason, object id) per row of one frame, rows in observation order."""
@@ -286,18 +290,30 @@ class PolicyTracks:
 
 
 def _gap(a: np.ndarray, b: np.ndarray) -> float:
-    return float(sqrt(((a - b) ** 2).sum()))
+    x, y, z = (a - b).tolist()
+    return sqrt(x * x + y * y + z * z)
+
+
+def _size(a: np.ndarray) -> float:
+    return float(np.linalg.norm(a))
 
 
-def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    size = float(np.linalg.norm(a) * np.linalg.norm(b))
+def _cosine(a: np.ndarray, b: np.ndarray, size_a: float, size_b: float) -> float:
+    size = size_a * size_b
     return float(a @ b) / size if size else 0.0
 
 
 def _same_view(a: np.ndarray, b: np.ndarray) -> bool:
     """Camera poses within 5 cm and 10 degrees of each other."""
+    if _gap(a[:, 3], b[:, 3]) > VIEW_M:
+        return False
     turn = np.clip((np.trace(a[:, :3].T @ b[:, :3]) - 1) / 2, -1.0, 1.0)
-    return _gap(a[:, 3], b[:, 3]) <= VIEW_M and float(np.degrees(np.arccos(turn))) <= VIEW_DEG
+    return float(np.degrees(np.arccos(turn))) <= VIEW_DEG
+
+
+def _spread(rows: DataFrame, streams: Sequence[str]) -> DataFrame:
+    """Streams dealt to a fixed number of tasks: Python steps cost more than the few bytes by which tasks would be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *streams)
 
 
 def _duplicates(rows: list[dict]) -> set[int]:
@@ -324,10 +340,9 @@ def associate_policies(observations: DataFrame, keys: Sequence[str], category: s
     observations(keys, category, seq, observation_id, x, y, z, x1..y2, pose, appearance); keys carry the
     session and its origin, so tracks of different origins never meet.
     """
-    streams = [*keys, category, "condition"]
-    spread = observations.withColumn("condition", F.explode(F.array(*[F.lit(c) for c in conditions])))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.select(*streams).schema)
-    names = [*streams, "seq", "observation_id", "decision", "reason", "object_id"]
+    streams = [*keys, category]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in observations.select(*streams).schema)
+    names = [*streams, "condition", "seq", "observation_id", "decision", "reason", "object_id"]
 
     def record(values: tuple) -> dict:
         _, key, x, y, z, x1, y1, x2, y2, pose, vector = values
@@ -342,8 +357,8 @@ def associate_policies(observations: DataFrame, keys: Sequence[str], category: s
         def flush():
             if not pending:
                 return []
-            decided = tracks.frame([record(v) for v in pending])
-            return [(*mark, v[0], v[1], *d) for v, d in zip(pending, decided)]
+            rows = [record(v) for v in pending]
+            return [(*mark, t.condition, v[0], v[1], *d) for t in tracks for v, d in zip(pending, t.frame(rows))]
 
         for batch in batches:
             done = []
@@ -353,13 +368,13 @@ def associate_policies(observations: DataFrame, keys: Sequence[str], category: s
                     done += flush()
                     pending, at = [], (group, values[0])
                 if group != mark:
-                    mark, tracks = group, PolicyTracks(group[-1])
+                    mark, tracks = group, [PolicyTracks(c) for c in conditions]
                 pending.append(values)
             yield pd.DataFrame(done, columns=names, dtype=object)
         yield pd.DataFrame(flush(), columns=names, dtype=object)
 
-    ordered = spread.select(*streams, *POLICY_COLUMNS).repartition(*streams).sortWithinPartitions(*streams, "seq", "observation_id")
-    return ordered.mapInPandas(run, f"{head}, seq bigint, observation_id bigint, decision string, reason string, object_id string")
+    ordered = _spread(observations.select(*streams, *POLICY_COLUMNS), streams).sortWithinPartitions(*streams, "seq", "observation_id")
+    return ordered.mapInPandas(run, f"{head}, condition string, seq bigint, observation_id bigint, decision string, reason string, object_id string")
 
 
 def replay_policy(ledger: DataFrame, recomputed: DataFrame, key: str, frozen: Sequence[str]) -> tuple[DataFrame, DataFrame]:
