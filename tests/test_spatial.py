@@ -72,3 +72,28 @@ def test_no_references(spark):
     refs = rows.withColumnRenamed("ask", "ref").where("ref > 1")
     assert spatial.nearest_k(rows, refs, "ask", "ref").count() == 0
     assert spatial.count_within(rows, refs, "ask", "ref", 1.0).first().neighbours == 0
+
+
+def test_edges_of_the_radius_are_exact(spark):
+    """Points on the edge count, the next double beyond does not; squares beyond the doubles are measured too."""
+    beyond = float(np.nextafter(0.5, 1))
+    rows = [(1, 0.0, 0.0, 0.0), (2, 0.5, 0.0, 0.0), (3, 0.0, beyond, 0.0), (4, 0.3, 0.4, 0.0), (5, 1e200, 0.0, 0.0)]
+    refs = spark.createDataFrame(rows, "ref long, x double, y double, z double")
+    counts = {r.ask: r.neighbours for r in spatial.count_within(refs.withColumnRenamed("ref", "ask"), refs, "ask", "ref", 0.5).collect()}
+    gaps = np.sqrt(((np.array(rows)[:4, None, 1:] - np.array(rows)[None, :4, 1:]) ** 2).sum(2))
+    assert [counts[i] for i in range(1, 6)] == [*(gaps <= 0.5).sum(1), 1]
+
+
+def test_near_cells_equal_brute_force(spark, clouds):
+    refs = clouds[0]
+    cell = np.floor(refs[XYZ].to_numpy() / 0.2).astype(np.int64)
+    table = clouds[2].withColumns(spatial.voxel(0.2))
+    got = {(r.key, tuple(r.a), tuple(r.b)) for r in spatial.cells_within(table, "ref", ["ix", "iy", "iz"], 0.3, keys=["key"]).collect()}
+    want = set()
+    for key in (1, 2):
+        at, place = cell[(refs.key == key).to_numpy()], refs[refs.key == key][XYZ].to_numpy()
+        for i in range(len(at)):
+            for j in np.nonzero(np.sqrt(((place - place[i]) ** 2).sum(1)) <= 0.3)[0]:
+                if tuple(at[i]) != tuple(at[j]):
+                    want.add((key, tuple(at[i].tolist()), tuple(at[j].tolist())))
+    assert got == want
