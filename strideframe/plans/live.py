@@ -37,7 +37,7 @@ def session_windows(t):
 def incremental_surface(t):
     """STR-05: all points merged in three batches into a fragment store, and the surface it ends with."""
     spark = t.points.sparkSession
-    store = FragmentStore(f"{shared_folder(spark)}/fragments-{uuid.uuid4().hex}", 0.5)
+    store = FragmentStore(f"{shared_folder(spark)}/fragments-{uuid.uuid4().hex}", 0.5, span=4096)
     rows = t.points.select("recording", "fragment", "x", "y", "z", F.pmod(F.xxhash64("point"), F.lit(3)).alias("batch"))
     landing = f"{store.path}/landing"
     rows.write.partitionBy("batch").parquet(landing)

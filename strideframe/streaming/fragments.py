@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 FRAGMENT = ["recording", "fragment"]
 VOXEL = ["ix", "iy", "iz"]
 SUMS = ["samples", "sum_x", "sum_y", "sum_z"]
-DATA = "ix long, iy long, iz long, samples long, sum_x double, sum_y double, sum_z double, version long, recording long, fragment long"
+DATA = "member long, ix long, iy long, iz long, samples long, sum_x double, sum_y double, sum_z double, touched long, version long, recording long, fragment long"
 MANIFEST = "recording long, fragment long, version long, replaced long"
 
 
 class FragmentStore:
-    """Voxel sums under data/version=V/recording=R/fragment=F; a manifest names the version that holds each fragment.
+    """Voxel sums under data/version=V/recording=R/fragment=F; a manifest names the version that holds each folder.
+
+    A folder holds `span` fragments that follow each other (`member` is the fragment), so that many small fragments
+    do not make as many files; it is rewritten whole. `touched` is the last batch with points of the row's fragment.
 
     A batch merges its sums with the old ones of the fragments it touches, writes those as a new version and
     commits by a manifest of its own: a manifest counts once its success marker is there, so a reader sees
@@ -24,8 +27,8 @@ class FragmentStore:
     and is left out.
     """
 
-    def __init__(self, path: str, cell: float):
-        self.path, self.cell = path.rstrip("/"), cell
+    def __init__(self, path: str, cell: float, span: int = 1):
+        self.path, self.cell, self.span = path.rstrip("/"), cell, span
 
     def __call__(self, points: DataFrame, batch: int) -> None:
         spark = points.sparkSession
@@ -40,13 +43,16 @@ class FragmentStore:
         self._delete(spark, self._manifest(batch))
         sums = self._sums(points).persist()
         try:
-            merged = sums
+            merged = sums.withColumn("touched", F.lit(batch).cast("long"))
             if last is not None:
-                touched = sums.select(*FRAGMENT).distinct()
-                live = self._read_manifest(spark, last).join(touched, FRAGMENT, "left_semi")
-                old = self._voxels(spark, live).select(*sums.columns)
-                merged = sums.unionByName(old).groupBy(*FRAGMENT, *VOXEL).agg(*[F.sum(c).alias(c) for c in SUMS])
-            # the writer sorts by partition columns, so a large fragment may be spread over tasks and files
+                members = sums.select(*FRAGMENT, "member").distinct().withColumn("_now", F.lit(batch).cast("long"))
+                live = self._read_manifest(spark, last).join(members.select(*FRAGMENT).distinct(), FRAGMENT, "left_semi")
+                old = self._voxels(spark, live).select(*merged.columns).join(members, [*FRAGMENT, "member"], "left")
+                old = old.withColumn("touched", F.coalesce("_now", "touched")).drop("_now")
+                merged = merged.unionByName(old).groupBy(*FRAGMENT, "member", *VOXEL).agg(
+                    *[F.sum(c).alias(c) for c in SUMS], F.max("touched").alias("touched")
+                )
+            # the writer sorts by partition columns, so a large folder may be spread over tasks and files
             merged.write.partitionBy(*FRAGMENT).parquet(self._version(batch))
         finally:
             sums.unpersist()
@@ -66,8 +72,9 @@ class FragmentStore:
         given = lambda c: F.coalesce(F.col(c).cast("long"), F.raise_error(F.lit(f"a point without {c}")).cast("long")).alias(c)
         index = [F.floor(F.col(c) / self.cell).cast("long").alias(n) for n, c in zip(VOXEL, "xyz")]
         rows = points.where("x is not null and y is not null and z is not null")
-        rows = rows.select(*[given(c) for c in FRAGMENT], *index, *"xyz")
-        return rows.groupBy(*FRAGMENT, *VOXEL).agg(F.count("*").alias("samples"), *[F.sum(c).alias(f"sum_{c}") for c in "xyz"])
+        rows = rows.select(given("recording"), given("fragment").alias("member"), *index, *"xyz")
+        rows = rows.withColumn("fragment", F.expr(f"(member - pmod(member, {self.span})) div {self.span}"))
+        return rows.groupBy(*FRAGMENT, "member", *VOXEL).agg(F.count("*").alias("samples"), *[F.sum(c).alias(f"sum_{c}") for c in "xyz"])
 
     # ---- reading ----
 
@@ -78,18 +85,20 @@ class FragmentStore:
 
     def surface(self, spark: SparkSession) -> DataFrame:
         """Mean point of every voxel after the last committed batch."""
-        return self._means(spark, self._latest_manifest(spark))
+        return self._means(self._voxels(spark, self._latest_manifest(spark)))
 
     def changed(self, spark: SparkSession) -> DataFrame:
-        """Mean points of the fragments that the last committed batch touched; no other file is read."""
-        return self._means(spark, self._latest_manifest(spark).where(F.col("version") == F.lit(self._known(spark))))
+        """Mean points of the fragments that the last committed batch touched; no other folder is read."""
+        last = self._known(spark)
+        live = self._read_manifest(spark, last).where(F.col("version") == F.lit(last))
+        return self._means(self._voxels(spark, live).where(F.col("touched") == F.lit(last)))
 
-    def _means(self, spark: SparkSession, live: DataFrame) -> DataFrame:
+    def _means(self, voxels: DataFrame) -> DataFrame:
         means = [(F.col(f"sum_{c}") / F.col("samples")).alias(c) for c in "xyz"]
-        return self._voxels(spark, live).select(*FRAGMENT, *VOXEL, "samples", *means)
+        return voxels.select("recording", F.col("member").alias("fragment"), *VOXEL, "samples", *means)
 
     def _voxels(self, spark: SparkSession, live: DataFrame) -> DataFrame:
-        """Stored sums of the named fragments; the join prunes folders by the manifest at run time."""
+        """Stored sums of the named folders; the join prunes folders by the manifest at run time."""
         return spark.read.schema(DATA).parquet(f"{self.path}/data").join(live.select(*FRAGMENT, "version"), [*FRAGMENT, "version"])
 
     def _fragments(self, spark: SparkSession, batch: int) -> DataFrame:

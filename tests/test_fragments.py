@@ -71,3 +71,17 @@ def test_points_without_place_or_key(spark, tmp_path):
     with pytest.raises(Exception, match="a point without fragment"):
         store(table(spark, [(1, None, 0.5, 0.5, 0.5)]), 2)
     assert store.latest(spark) == 1
+
+
+def test_many_small_fragments_share_a_folder(spark, tmp_path):
+    store = FragmentStore(str(tmp_path), 1.0, span=100)
+    first = table(spark, [(1, f, 0.5, 0.5, 0.5) for f in range(300)])
+    second = table(spark, [(1, 7, 0.7, 0.5, 0.5), (1, 299, 1.5, 0.5, 0.5)])
+    store(first.coalesce(1), 0)
+    before = files(tmp_path)
+    assert len({Path(f).parent for f in before}) == 3
+    store(second, 1)
+    assert {f for f in before if "fragment=1/" in f} <= files(tmp_path)
+    changed = {(r.fragment, r.ix, r.samples) for r in store.changed(spark).collect()}
+    assert changed == {(7, 0, 2), (299, 0, 1), (299, 1, 1)}
+    same(voxels(store.surface(spark)), voxels(voxel_fuse(first.union(second), ["recording", "fragment"], 1.0)))
