@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import sequences as sq
 from ..operators import spatial as sp
-from ..operators.ordered import exact_quantiles
 from .registry import query
 from .scalars import anchor_tables, frame_pose
 from .space_joins import small_boxes
@@ -192,14 +191,14 @@ def box_median(t):
     rows = rows.withColumns(dict(zip("xyz", local)))
     keys = ["image", "item"]
     dx, dy = F.col("pcol") + 0.5 - (F.col("x1") + F.col("x2")) / 2, F.col("prow") + 0.5 - (F.col("y1") + F.col("y2")) / 2
-    ends = rows.groupBy(*keys).agg(
-        F.min("z").alias("near_m"), F.max("z").alias("far_m"), F.min_by("z", F.struct(dx * dx + dy * dy, F.col("prow"), F.col("pcol"))).alias("centre_m")
+    # a box holds at most the pixels of its image, so its quantiles come from one aggregate
+    found = rows.where("z is not null").groupBy(*keys).agg(
+        F.count("*").alias("samples"), F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"),
+        F.percentile("z", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_z"),
+        F.min("z").alias("near_m"), F.max("z").alias("far_m"), F.min_by("z", F.struct(dx * dx + dy * dy, F.col("prow"), F.col("pcol"))).alias("centre_m"),
     )
-    mx = exact_quantiles(rows, keys, "x", {"mx": 0.5}, count="samples")
-    my = exact_quantiles(rows, keys, "y", {"my": 0.5})
-    mz = exact_quantiles(rows, keys, "z", {"mz": 0.5, "_q1": 0.25, "_q3": 0.75})
-    return mx.join(my, keys).join(mz, keys).join(ends, keys).select(
-        *keys, "samples", "mx", "my", "mz", (F.col("_q3") - F.col("_q1")).alias("iqr_z"), "near_m", "far_m", "centre_m"
+    return found.select(
+        *keys, "samples", "mx", "my", F.col("_z")[1].alias("mz"), (F.col("_z")[2] - F.col("_z")[0]).alias("iqr_z"), "near_m", "far_m", "centre_m"
     )
 
 
@@ -218,7 +217,10 @@ def centre_depth(t):
     )
     rows = sp.points_in_boxes(t.pixel_map, inner, ["frame"], "pcol", "prow")
     keys = ["image", "item"]
-    found = exact_quantiles(rows, keys, "target", {"median_m": 0.5, "_q1": 0.25, "_q3": 0.75}, count="_n")
+    quartiles = F.percentile("target", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    found = rows.where("target is not null").groupBy(*keys).agg(F.count("*").alias("_n"), quartiles.alias("_q")).select(
+        *keys, "_n", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("median_m"), F.col("_q")[2].alias("_q3")
+    )
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     joined = inner.select(*keys, area.alias("_area")).join(found, keys, "left")
     n, spread = F.coalesce("_n", F.lit(0)), (F.col("_q3") - F.col("_q1")) / F.col("median_m")
