@@ -18,37 +18,82 @@ from .ordered import carried
 MAX_DISTANCE_M, MARGIN_M = 0.35, 0.05
 APPEARANCE_MIN, AMBIGUITY_GAP = 0.80, 0.05
 VIEW_M, VIEW_DEG = 0.05, 10.0
+GROUP_EDGES = 4096
 CONDITIONS = ("geometry-last", "geometry-viewmedian", "appearance", "combined-last", "combined-viewmedian")
 
 
-def optimal_pairs(edges: DataFrame, keys: Sequence[str], left: str, right: str, score: str, maximise: bool = True) -> DataFrame:
+def optimal_pairs(
+    edges: DataFrame, keys: Sequence[str], left: str, right: str, score: str, maximise: bool = True, group: int = GROUP_EDGES
+) -> DataFrame:
     """Most pairs, then best total score, one-to-one per key.
 
-    Edges whose ends meet nobody else are taken as they are. The rest fall apart into small
-    components of mutually overlapping boxes, and only such a component is solved in one task.
+    A key of at most `group` edges falls apart into components of mutually overlapping boxes where it is solved; those
+    of a larger key are found by rounds of joins. Only a component is solved in one piece, keys and components pass by in order.
     """
     keys = list(keys)
-    scored = edges.select(*keys, F.col(left).alias("_l"), F.col(right).alias("_r"), F.col(score).alias("_s"))
-    scored = checkpointed(scored)
-    lonely = lambda side: scored.groupBy(*keys, side).agg(F.count("*").alias(f"_n{side}"))
-    counted = scored.join(lonely("_l"), [*keys, "_l"]).join(lonely("_r"), [*keys, "_r"])
-    plain = (F.col("_n_l") == 1) & (F.col("_n_r") == 1)
-    easy = counted.where(plain).select(*keys, "_l", "_r", "_s")
-    hard = checkpointed(counted.where(~plain).select(*keys, "_l", "_r", "_s"))
-    group = F.struct(*keys)
-    node = lambda side, tag: F.struct(group.alias("g"), F.lit(tag).alias("t"), F.col(side).alias("v"))
-    nodes = hard.select(node("_l", 0).alias("id")).distinct().unionByName(hard.select(node("_r", 1).alias("id")).distinct())
-    links = components(nodes, hard.select(node("_l", 0).alias("a"), node("_r", 1).alias("b")))
-    tagged = hard.withColumn("id", node("_l", 0)).join(links, "id").select(*keys, "_l", "_r", "_s", F.to_json("component").alias("_c"))
-    sign = -1.0 if maximise else 1.0
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs, _ = best_pairs(list(zip(pdf["_l"], pdf["_r"], sign * pdf["_s"])))
-        kept = [pairs.get(a) == b for a, b in zip(pdf["_l"], pdf["_r"])]
-        return pdf.loc[kept, [*keys, "_l", "_r", "_s"]]
-
-    solved = tagged.groupBy("_c").applyInPandas(solve, easy.schema)
-    return easy.unionByName(solved).select(*keys, F.col("_l").alias(left), F.col("_r").alias(right), F.col("_s").alias(score))
+    scored = checkpointed(edges.select(*keys, F.col(left).alias("_l"), F.col(right).alias("_r"), F.col(score).alias("_s")))
+    large = checkpointed(scored.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > group).select(*keys))
+    rows = scored.withColumn("_c", F.lit(""))
+    if not large.isEmpty():
+        crowded = checkpointed(scored.join(large, keys, "left_semi"))
+        owner = F.struct(*keys)
+        node = lambda side, tag: F.struct(owner.alias("g"), F.lit(tag).alias("t"), F.col(side).alias("v"))
+        nodes = crowded.select(node("_l", 0).alias("id")).distinct().unionByName(crowded.select(node("_r", 1).alias("id")).distinct())
+        links = components(nodes, crowded.select(node("_l", 0).alias("a"), node("_r", 1).alias("b")))
+        tagged = crowded.withColumn("id", node("_l", 0)).join(links, "id").select(*keys, "_l", "_r", "_s", F.to_json("component").alias("_c"))
+        rows = rows.join(large, keys, "left_anti").unionByName(tagged)
+    run = [*keys, "_c"]
+    ordered = rows.repartition(*run).sortWithinPartitions(*run)
+    solved = ordered.mapInPandas(_solver(run, -1.0 if maximise else 1.0), scored.schema)
+    return solved.select(*keys, F.col("_l").alias(left), F.col("_r").alias(right), F.col("_s").alias(score))
+
+
+def _solver(run: Sequence[str], sign: float):
+    """Best pairs of every stretch of rows that agree in `run`; a stretch may go on in the next batch."""
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        kept = []
+        for part in _pieces(rows):
+            if len(part) == 1:
+                kept += part
+                continue
+            pairs, _ = best_pairs([(row[-3], row[-2], sign * row[-1]) for row in part])
+            kept += [row for row in part if pairs.get(row[-3]) == row[-2]]
+        return kept
+
+    def walk(batches):
+        mark, pending = None, []
+        for batch in batches:
+            done = []
+            names = [c for c in batch.columns if c != "_c"]
+            for key, row in zip(zip(*[batch[c].tolist() for c in run]), zip(*[batch[c].tolist() for c in names])):
+                if key != mark:
+                    done += solve(pending)
+                    mark, pending = key, []
+                pending.append(row)
+            yield pd.DataFrame(done, columns=names)
+        if pending:
+            yield pd.DataFrame(solve(pending), columns=names)
+
+    return walk
+
+
+def _pieces(rows: list[tuple]) -> list[list[tuple]]:
+    """Edges (..., left, right, score) by connected component."""
+    up: dict[tuple, tuple] = {}
+
+    def top(node: tuple) -> tuple:
+        up.setdefault(node, node)
+        while up[node] != node:
+            up[node] = node = up[up[node]]
+        return node
+
+    for row in rows:
+        up[top((0, row[-3]))] = top((1, row[-2]))
+    parts: dict[tuple, list[tuple]] = {}
+    for row in rows:
+        parts.setdefault(top((0, row[-3])), []).append(row)
+    return list(parts.values())
 
 
 def detection_counts(

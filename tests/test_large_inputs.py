@@ -1,9 +1,11 @@
 """Plans whose cost was found to grow too fast on larger tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from paths import SMALL
+from strideframe.operators import identity
 
 
 def plan(df):
@@ -14,3 +16,21 @@ def plan(df):
 def test_box_quantiles_come_from_one_aggregate(spark, name):
     text = plan(entry.queries()[name](spark, SMALL))
     assert "percentile_approx" not in text and "Window" not in text
+
+
+def edges(spark):
+    rows = [(k, a, b, 0.3 + ((a * 7 + b * 3 + k) % 11) / 20) for k in range(40) for a in range(8) for b in range(8) if (a * 5 + b + k) % 4 == 0]
+    return spark.createDataFrame(rows, "image long, item long, ref long, iou double")
+
+
+def test_small_keys_are_paired_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(identity, "components", lambda *a: pytest.fail("rounds of joins over small keys"))
+    assert identity.optimal_pairs(edges(spark), ["image"], "item", "ref", "iou").count() > 0
+
+
+def test_large_keys_are_paired_alike(spark):
+    totals = lambda group: {
+        r.image: (r.n, round(r.s, 9)) for r in identity.optimal_pairs(edges(spark), ["image"], "item", "ref", "iou", group=group)
+        .groupBy("image").agg(F.count("*").alias("n"), F.sum("iou").alias("s")).collect()
+    }
+    assert totals(4096) == totals(3) and len(totals(3)) == 40
