@@ -1,9 +1,16 @@
 """Plans whose cost was found to grow too fast on larger tables."""
 
+import sys
+from pathlib import Path
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
+
+import __spark_entry__ as entry  # noqa: E402
+import compare  # noqa: E402
 from paths import SMALL
 from strideframe.operators import identity
 
@@ -34,3 +41,15 @@ def test_large_keys_are_paired_alike(spark):
         .groupBy("image").agg(F.count("*").alias("n"), F.sum("iou").alias("s")).collect()
     }
     assert totals(4096) == totals(3) and len(totals(3)) == 40
+
+
+def test_footprint_without_points_on_the_plane(spark, tmp_path):
+    """Sixty points beside the plane, sixty with two on it, sixty on it, and too few: the query and its SQL agree."""
+    rows = [(100 * r + i, r, [0.01 * i, 0.0 if i < near else 0.5, 0.02 * (i % 7), 0.1, 0.2, 0.3]) for r, near, n in ((0, 0, 60), (1, 2, 60), (2, 60, 60), (3, 9, 9)) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = compare.plain(entry.queries()["footprint"](spark, str(tmp_path)).toPandas())
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert compare.differences(got, compare.plain(connection.execute(entry.oracle_sql()["footprint"]).df())) is None
+    reasons = dict(zip(got["recording"], got["reason"]))
+    assert reasons[0] == reasons[1] == "fewer than 3 points lie on the plane" and reasons[2] is None and reasons[3] == "fewer than 50 surface points"
