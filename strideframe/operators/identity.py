@@ -458,7 +458,8 @@ def view_locations(sightings: DataFrame, object_id: str, order: str) -> DataFram
     """Median, spread and counts of each object's representative views, with its last and first position."""
     from .ordered import exact_quantiles
 
-    marked = sightings.join(capped_views(sightings, object_id, order), [object_id, order])
+    # read by every quantile: the fold runs once
+    marked = checkpointed(sightings.join(capped_views(sightings, object_id, order), [object_id, order]))
     votes = marked.where("representative")
     out = marked.groupBy(object_id).agg(
         F.count("*").alias("accepted"), F.count(F.when(F.col("representative"), 1)).alias("representatives"),

@@ -53,3 +53,8 @@ def test_footprint_without_points_on_the_plane(spark, tmp_path):
     assert compare.differences(got, compare.plain(connection.execute(entry.oracle_sql()["footprint"]).df())) is None
     reasons = dict(zip(got["recording"], got["reason"]))
     assert reasons[0] == reasons[1] == "fewer than 3 points lie on the plane" and reasons[2] is None and reasons[3] == "fewer than 50 surface points"
+
+
+def test_view_median_folds_sightings_once(spark):
+    text = plan(entry.queries()["view_median"](spark, SMALL))
+    assert "MapInPandas" not in text and "MapInArrow" not in text and "PythonMap" not in text
