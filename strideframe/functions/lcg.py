@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,5 +16,11 @@ def mixed(key: Column, seed) -> Column:
     return ((first * 69621) % MODULUS * 16807) % MODULUS
 
 
+def mixed_values(key: np.ndarray, seed: int) -> np.ndarray:
+    """The same numbers from 64-bit keys, none negative."""
+    first = ((key % MODULUS) * 48271 + seed * 40692 + 1) % MODULUS
+    return ((first * 69621) % MODULUS * 16807) % MODULUS
+
+
 def mixed_sql(key: str, seed) -> str:
     return f"(((((({key}) % {MODULUS}) * 48271 + ({seed}) * 40692 + 1) % {MODULUS}) * 69621) % {MODULUS} * 16807) % {MODULUS}"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lcg import mixed_values
 from .ordered import carried, exact_quantiles, value_slices
 from .scale import line_fit, usable
 
@@ -202,29 +205,61 @@ def instance_events(predicted: DataFrame, reference: DataFrame, keys: Sequence[s
 
 
 def bootstrap_interval(
-    rows: DataFrame, keys: Sequence[str], value: str, ordinal: str, replicates: int = 1000, seed: int = 0
+    rows: DataFrame, keys: Sequence[str], value: str, ordinal: str, replicates: int = 1000, seed: int = 0, draws: int = 1 << 20, block: int = 1 << 16
 ) -> DataFrame:
     """2.5 and 97.5 percent points of the mean over seeded resamples with replacement.
 
-    Every draw picks the row whose ordinal its hash names, through an equi-join.
+    A draw is a hash of its number, so spans of at most `draws` numbers are drawn without any rows. Their picks leave as
+    two-byte places within blocks of `block` ordinals and meet the values of a block in one group; a group holds about
+    `replicates` picks per value, whatever the size of its key. `ordinal` counts the rows of a key from 0.
     """
-    from ..functions.lcg import mixed
-
+    keys = list(keys)
+    rows = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg(value).alias("mean"))
-    draws = rows.select(*keys, F.col(ordinal).alias("_draw")).join(sizes, list(keys)).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
+    spans = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") * replicates - 1) / draws))).alias("_span"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for *key, n, span in zip(*[batch[c].tolist() for c in (*keys, "_n", "_span")]):
+                number = np.arange(span * draws, min((span + 1) * draws, n * replicates), dtype=np.int64)
+                at = mixed_values(number, seed) % n
+                home = at // block
+                order = np.argsort(home, kind="stable")
+                home, at, replicate = home[order], (at[order] % block).astype(np.uint16), number[order] // n
+                edges = [0, *(np.nonzero(np.diff(home))[0] + 1).tolist(), len(home)]
+                for start, end in zip(edges, edges[1:]):
+                    first = int(replicate[start])
+                    times = np.bincount(replicate[start:end] - first).astype(np.int32)
+                    yield pd.DataFrame([(*key, int(home[start]), first, times.tobytes(), at[start:end].tobytes())], columns=[*keys, "_block", "_first", "_times", "_at"])
+
+    def score(key: tuple, picked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        x, here = np.zeros(block), np.zeros(block)
+        x[values["_at"]], here[values["_at"]] = values["_v"].where(values["_here"], 0.0), values["_here"]
+        total, count = np.zeros(replicates), np.zeros(replicates)
+        for first, times, places in zip(picked["_first"], picked["_times"], picked["_at"]):
+            times, at = np.frombuffer(times, np.int32), np.frombuffer(places, np.uint16)
+            owner = np.repeat(np.arange(len(times)), times)
+            stretch = slice(first, first + len(times))
+            total[stretch] += np.bincount(owner, x[at], len(times))
+            count[stretch] += np.bincount(owner, here[at], len(times))
+        out = pd.DataFrame({"replicate": np.arange(replicates), "_total": total, "_count": count})
+        return out.assign(**dict(zip(keys, key)))[[*keys, "replicate", "_total", "_count"]]
+
+    picked = spans.repartition(tasks, *keys, "_span").mapInPandas(draw, f"{head}, _block long, _first long, _times binary, _at binary")
+    place = F.col(ordinal).cast("long")
+    values = rows.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.floor(place / block).alias("_block"), (place % block).alias("_at"),
+        F.col(value).cast("double").alias("_v"), F.col(value).isNotNull().alias("_here"),
     )
-    picked = draws.withColumn(ordinal, mixed(F.col("_draw") + F.col("_n") * F.col("replicate"), seed) % F.col("_n"))
-    joined = picked.select(*keys, "replicate", "mean", ordinal).groupBy(*keys, "replicate", "mean", ordinal).agg(
-        F.count("*").alias("_times")
-    ).join(rows.select(*keys, ordinal, value), [*keys, ordinal])
-    means = joined.groupBy(*keys, "replicate", "mean").agg(
-        (F.sum(F.col(value) * F.col("_times")) / F.sum("_times")).alias("_m")
+    parts = picked.groupBy(*keys, "_block").cogroup(values.groupBy(*[f"_{k}" for k in keys], "_block")).applyInPandas(
+        score, f"{head}, replicate long, _total double, _count double"
     )
+    means = parts.groupBy(*keys, "replicate").agg((F.sum("_total") / F.expr("nullif(sum(_count), 0)")).alias("_m"))
     # one row per replicate: a fixed, small number per key
-    return means.groupBy(*keys, "mean").agg(
-        F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high")
-    )
+    ends = means.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
+    return sizes.select(*keys, "mean").join(ends, keys)
 
 
 def gallery_rank(pairs: DataFrame, query: str, method: str, tie: float = 1e-6) -> DataFrame:
