@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lcg import mixed
-from .ordered import HOUR_NS, carried, exact_quantiles
+from ..session import checkpointed
+from .ordered import HOUR_NS, beside, carried, exact_quantiles
 from .timejoin import bracket, time_chunk
 
 
@@ -23,8 +24,8 @@ def stream_stats(
     keys = list(keys)
     steps = carried(stamps.select(*keys, time, *ties), keys, [time, *ties], time_chunk(time, chunk_ns), lag={"_prev": time})
     steps = steps.withColumn("_gap", F.col(time) - F.col("_prev")).where("_gap is not null")
-    medians = exact_quantiles(steps, keys, "_gap", {"_median": 0.5})
-    joined = steps.join(medians, keys)
+    medians = exact_quantiles(steps, keys, "_gap", {"_median": 0.5}, count="_size")
+    joined = beside(steps, medians, keys, "_size")
     return joined.groupBy(*keys).agg(
         (F.count("*") + 1).alias("samples"), (1e9 / F.avg("_gap")).alias("rate_hz"),
         (F.first("_median") / 1e6).alias("median_interval_ms"), (F.max("_gap") / 1e6).alias("max_interval_ms"),
@@ -234,18 +235,17 @@ def track_jitter(rows: DataFrame, keys: Sequence[str], index: str, a: str, b: st
 
 def relative_spread(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Sample deviation of a value relative to its key's median."""
-    middle = exact_quantiles(rows, keys, value, {"_mid": 0.5})
-    return rows.join(middle, list(keys)).groupBy(*keys).agg(F.stddev_samp(F.col(value) / F.col("_mid") - 1).alias(name))
+    middle = exact_quantiles(rows, keys, value, {"_mid": 0.5}, count="_size")
+    return beside(rows, middle, keys, "_size").groupBy(*keys).agg(F.stddev_samp(F.col(value) / F.col("_mid") - 1).alias(name))
 
 
 def noise_floor(rows: DataFrame, keys: Sequence[str], a: str, b: str, mads: float = 5.0, minimum: int = 30) -> DataFrame:
     """Residual noise without outliers beyond 5 median deviations on either axis; null under `minimum`."""
     keys = list(keys)
-    middle = exact_quantiles(rows, keys, a, {"_ma": 0.5}).join(exact_quantiles(rows, keys, b, {"_mb": 0.5}), keys)
-    off = rows.join(middle, keys).withColumns({"_da": F.abs(F.col(a) - F.col("_ma")), "_db": F.abs(F.col(b) - F.col("_mb"))})
-    spread = exact_quantiles(off, keys, "_da", {"_sa": 0.5}).join(exact_quantiles(off, keys, "_db", {"_sb": 0.5}), keys)
+    both = lambda df, x, y, p, q: exact_quantiles(df, keys, x, {p: 0.5}, count="_size").join(exact_quantiles(df, keys, y, {q: 0.5}), keys)
+    off = beside(rows, both(rows, a, b, "_ma", "_mb"), keys, "_size").withColumns({"_da": F.abs(F.col(a) - F.col("_ma")), "_db": F.abs(F.col(b) - F.col("_mb"))})
     far = lambda d, s: (F.col(s) > 0) & (F.col(d) > mads * F.col(s))
-    marked = off.join(spread, keys).withColumn("_in", ~(far("_da", "_sa") | far("_db", "_sb")))
+    marked = beside(off, both(off, "_da", "_db", "_sa", "_sb"), keys, "_size").withColumn("_in", ~(far("_da", "_sa") | far("_db", "_sb")))
     mine = lambda c: F.stddev_samp(F.when(F.col("_in"), F.col(c))) / sqrt(2)
     sums = marked.groupBy(*keys).agg(
         F.count(F.when(F.col("_in"), 1)).alias("n"), F.count(F.when(~F.col("_in"), 1)).alias("outliers"), mine(a).alias("_x"), mine(b).alias("_y")
@@ -256,8 +256,8 @@ def noise_floor(rows: DataFrame, keys: Sequence[str], a: str, b: str, mads: floa
 
 def tertile(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Adds `band` 0-2 by the key's thirds; a value on an inner edge goes up."""
-    edges = exact_quantiles(rows, keys, value, {"_e1": 1 / 3, "_e2": 2 / 3})
-    joined = rows.join(edges, list(keys)) if keys else rows.crossJoin(F.broadcast(edges))
+    edges = exact_quantiles(rows, keys, value, {"_e1": 1 / 3, "_e2": 2 / 3}, count="_size")
+    joined = beside(rows, edges, keys, "_size") if keys else rows.crossJoin(F.broadcast(checkpointed(edges.drop("_size"))))
     return joined.withColumn("band", (F.col(value) >= F.col("_e1")).cast("int") + (F.col(value) >= F.col("_e2")).cast("int")).drop("_e1", "_e2")
 
 
@@ -301,8 +301,8 @@ def causal_median(rows: DataFrame, keys: Sequence[str], index: str, value: str,
     )
     past = Window.partitionBy(*keys, "_chunk").orderBy(index).rowsBetween(-(width - 1), 0)
     smooth = spread.withColumn("smoothed", F.percentile(value, F.lit(0.5)).over(past)).where("_home = _chunk").drop("_home", "_chunk")
-    typical = exact_quantiles(smooth, keys, "smoothed", {"_typical": 0.5})
-    return smooth.join(typical, keys).withColumn("relative", F.col("smoothed") / F.col("_typical")).drop("_typical")
+    typical = exact_quantiles(smooth, keys, "smoothed", {"_typical": 0.5}, count="_size")
+    return beside(smooth, typical, keys, "_size").withColumn("relative", F.col("smoothed") / F.col("_typical")).drop("_typical")
 
 
 def stage_timing(samples: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -40,3 +40,31 @@ def test_ranked_by_orders_ties(spark):
     df = spark.createDataFrame([("k", v, i) for i, v in enumerate([3.0, 1.0, 1.0, 2.0])], "k string, v double, i int")
     ranks = {r.i: r.ordinal for r in ranked_by(df, ["k"], "v", ["i"]).collect()}
     assert ranks == {1: 1, 2: 2, 3: 3, 0: 4}
+
+
+def test_large_keys_never_gather_in_a_join(spark, monkeypatch):
+    """Brackets and summaries of large keys are broadcast whatever the optimizer's size checks say; rows of no key meet in one task."""
+    from strideframe.operators import ordered
+
+    rng = np.random.default_rng(3)
+    values = {"big": rng.integers(0, 900, 3000) / 7, "flat": np.zeros(700), "small": rng.normal(size=9)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, column in values.items() for i, v in enumerate(column)] + [("small", 99, None), (None, 1, 1.0)], "k string, i long, v double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = exact_quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.93}, count="n", accuracy=400, whole=500)
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        for row in rows.collect():
+            assert row.n == len(values[row.k]) and np.allclose((row.a, row.b), np.quantile(values[row.k], [0.5, 0.93]))
+        summary = df.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+        for few, join in ((10, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(ordered, "FEW_KEYS", few)
+            joined = ordered.beside(df, summary, ["k"], "n", whole=500)
+            plan = joined._jdf.queryExecution().sparkPlan().toString()
+            assert join in plan and joined.columns == ["k", "i", "v", "top"]
+            assert sorted(map(tuple, joined.drop("v").collect())) == sorted(
+                (k, i, float(column.max())) for k, column in values.items() for i in [*range(len(column)), *([99] if k == "small" else [])]
+            )
+        assert "_deal" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
