@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from math import ceil, log2
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,30 +142,86 @@ def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
-def revision_problems(revisions: DataFrame, origin: Sequence[str], node: str, parent: str) -> DataFrame:
+def revision_problems(revisions: DataFrame, origin: Sequence[str], node: str, parent: str, group: int = 4096) -> DataFrame:
     """Origins without exactly one root, parents outside the origin, and chains that never reach a root.
 
-    Chains are followed by pointer doubling: after k rounds a pointer spans 2^k revisions, so even a
-    chain of millions takes a few dozen joins.
+    Chains stay in their origin. Origins of at most `group` revisions pass by in order and are followed in arrays, many at
+    a time; a larger origin is followed by rounds of joins. Either way pointers double, so that after k rounds one spans
+    2^k revisions, and no chain without a cycle outlasts the revisions of its origin.
     """
+    origin = list(origin)
     nodes = revisions.select(*origin, F.col(node).alias("_node"), F.col(parent).alias("_parent"))
-    roots = nodes.groupBy(*origin).agg(F.count(F.when(F.col("_parent").isNull(), 1)).alias("_roots")).where("_roots <> 1")
-    wrong_roots = roots.select(*origin, F.lit(None).cast("long").alias(node), F.lit("roots").alias("problem"))
+    sizes = nodes.groupBy(*origin).agg(F.count(F.when(F.col("_parent").isNull(), 1)).alias("_roots"), F.count("*").alias("_n"))
+    wrong_roots = sizes.where("_roots <> 1").select(*origin, F.lit(None).cast("long").alias(node), F.lit("roots").alias("problem"))
+    large = checkpointed(sizes.where(F.col("_n") > group).select(*origin, "_n"))
+    ordered = nodes if large.isEmpty() else nodes.join(large.select(*origin), origin, "left_anti")
+    # numbers stay whole only where no null makes doubles of them
+    ordered = ordered.select(*origin, "_node", F.col("_parent").isNotNull().alias("_held"), F.coalesce("_parent", F.lit(0)).alias("_parent"))
+    ordered = ordered.repartition(*origin).sortWithinPartitions(*origin)
+    schema = T.StructType([*nodes.select(*origin, "_node").schema, T.StructField("problem", T.StringType())])
+    found = ordered.mapInPandas(_chain_walker(origin), schema).withColumnRenamed("_node", node)
+    if large.isEmpty():
+        return wrong_roots.unionByName(found)
+    return wrong_roots.unionByName(found).unionByName(_chains_in_rounds(nodes.join(large.select(*origin), origin, "left_semi"), origin, node, large))
+
+
+def _chain_walker(origin: Sequence[str]):
+    """Problems of origins that pass by in order; the last origin of a batch waits for the next batch."""
+
+    def problems(rows: pd.DataFrame) -> pd.DataFrame:
+        owner = rows.groupby(list(origin), sort=False, dropna=False).ngroup().to_numpy()
+        held = rows["_held"].to_numpy()
+        place, known = pd.factorize(pd.MultiIndex.from_arrays([owner, rows["_node"]]))
+        at = known.get_indexer(pd.MultiIndex.from_arrays([owner, rows["_parent"]]))
+        at[~held | rows[list(origin)].isna().any(axis=1).to_numpy()] = -1
+        if len(known) == len(rows):
+            to = np.append(np.where(at < 0, len(rows), at), len(rows))
+            for _ in range(int(np.bincount(owner).max()).bit_length() + 1):
+                to = to[to]
+            endless = to[:-1] < len(rows)
+        else:
+            # a repeated revision is grounded by any of its rows
+            grounded = np.zeros(len(known) + 1, bool)
+            grounded[-1], before = True, -1
+            while grounded.sum() != before:
+                before = grounded.sum()
+                grounded[place[grounded[at]]] = True
+            endless = ~grounded[place]
+        found = ((held & (at < 0), "missing_parent"), (endless, "cycle"))
+        return pd.concat([rows.loc[mask, [*origin, "_node"]].assign(problem=name) for mask, name in found])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending = None
+        for batch in batches:
+            batch = pd.concat([pending, batch], ignore_index=True) if pending is not None else batch.reset_index(drop=True)
+            if not len(batch):
+                continue
+            last = pd.Series(True, batch.index)
+            for k in origin:
+                last &= (batch[k] == batch[k].iloc[-1]) | (batch[k].isna() & pd.isna(batch[k].iloc[-1]))
+            pending = batch[last]
+            if not last.all():
+                yield problems(batch[~last].reset_index(drop=True))
+        if pending is not None and len(pending):
+            yield problems(pending.reset_index(drop=True))
+
+    return walk
+
+
+def _chains_in_rounds(nodes: DataFrame, origin: Sequence[str], node: str, sizes: DataFrame) -> DataFrame:
+    """Missing parents and cycles of large origins by pointer doubling."""
     known = nodes.select(*origin, F.col("_node").alias("_parent"))
     lost = nodes.where("_parent is not null").join(known, [*origin, "_parent"], "left_anti")
     missing = lost.select(*origin, F.col("_node").alias(node), F.lit("missing_parent").alias("problem"))
-
     jumps = checkpointed(nodes.join(known, [*origin, "_parent"], "left_semi").select(*origin, "_node", F.col("_parent").alias("_to")))
-    count = jumps.count()
-    for _ in range(ceil(log2(count + 2)) + 1):
+    longest = sizes.agg(F.max("_n")).first()[0]
+    for _ in range(ceil(log2(longest + 2)) + 1):
         onward = jumps.select(*origin, F.col("_node").alias("_to"), F.col("_to").alias("_next"))
-        shorter = checkpointed(jumps.join(onward, [*origin, "_to"]).select(*origin, "_node", F.col("_next").alias("_to")))
-        if shorter.isEmpty():
-            jumps = shorter
+        jumps = checkpointed(jumps.join(onward, [*origin, "_to"]).select(*origin, "_node", F.col("_next").alias("_to")))
+        if jumps.isEmpty():
             break
-        jumps = shorter
     cycles = jumps.select(*origin, F.col("_node").alias(node), F.lit("cycle").alias("problem"))
-    return wrong_roots.unionByName(missing).unionByName(cycles)
+    return missing.unionByName(cycles)
 
 
 def split_leaks(rows: DataFrame, key: str, partition: str) -> DataFrame:
