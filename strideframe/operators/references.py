@@ -165,19 +165,28 @@ def surface_gaps(
 
     Only frames of the same recording (one origin) meet. No overlap gives null gaps and overlap 0.
     """
-    world = world_points(pixels, views, depth, k).select(*FRAME, "wx", "wy", "wz")
     lag = F.explode(F.array(*[F.lit(int(n)) for n in lags]))
-    earlier = world.withColumn("lag", lag).withColumn("frame", F.col("frame") - F.col("lag")).join(views, list(FRAME))
-    seen = project_into(earlier, k).where(F.col("z") > min_depth)
-    spots = seen.withColumns({"pcol": F.rint("u").cast("long"), "prow": F.rint("v").cast("long")}).where(
+    # frames learn the earlier poses first, so pixels are joined once whatever the number of lags
+    wanted = views.select("recording", F.col("frame").alias("_later"), lag.alias("lag")).withColumn("frame", F.col("_later") - F.col("lag"))
+    held = wanted.join(views, list(FRAME)).groupBy("recording", F.col("_later").alias("frame")).agg(
+        F.collect_list(F.struct("lag", "pose")).alias("_earlier")
+    )
+    world = world_points(pixels, views.join(held, list(FRAME)).hint("merge"), depth, k).select(*FRAME, "wx", "wy", "wz", "_earlier")
+    world = pinned(world, {c: F.col(c) for c in ("wx", "wy", "wz")}).withColumn("_e", F.explode("_earlier"))
+    earlier = world.select("recording", (F.col("frame") - F.col("_e.lag")).alias("frame"), "wx", "wy", "wz", F.col("_e.lag").alias("lag"), F.col("_e.pose").alias("pose"))
+    local = g.into_camera(F.col("pose"), g.columns("wx", "wy", "wz"))
+    seen = pinned(earlier, dict(zip(("_x", "_y", "z"), local))).where(F.col("z") > min_depth)
+    u, v, _ = g.project(g.columns("_x", "_y", "z"), k)
+    spots = pinned(seen, {"pcol": F.rint(u).cast("long"), "prow": F.rint(v).cast("long")}).where(
         F.col("pcol").between(0, width - 1) & F.col("prow").between(0, height - 1)
     )
     nearest = spots.groupBy(*FRAME, "lag", "prow", "pcol").agg(F.min("z").alias("z"))
     gaps = nearest.join(maps.select(*FRAME, "prow", "pcol", F.col(depth).alias("_m")), [*FRAME, "prow", "pcol"])
     gaps = gaps.withColumns({"gap": F.col("z") - F.col("_m"), "abs_gap": F.abs(F.col("z") - F.col("_m"))})
     keys = [*FRAME, "lag"]
-    medians = exact_quantiles(gaps, keys, "gap", {"signed_m": 0.5}, count="overlap_pixels").join(
-        exact_quantiles(gaps, keys, "abs_gap", {"abs_m": 0.5}), keys
+    # a frame holds at most height x width gaps, one per pixel
+    medians = gaps.groupBy(*keys).agg(
+        F.count("gap").alias("overlap_pixels"), F.percentile("gap", F.lit(0.5)).alias("signed_m"), F.percentile("abs_gap", F.lit(0.5)).alias("abs_m")
     )
     totals = pixels.groupBy(*FRAME).agg(F.count("*").alias("_total")).withColumn("lag", lag).withColumn(
         "frame", F.col("frame") - F.col("lag")

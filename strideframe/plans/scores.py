@@ -9,6 +9,7 @@ from ..operators import pixels as px
 from ..operators import references as refs
 from ..operators import scores
 from ..operators import spatial as sp
+from ..session import checkpointed
 from .registry import query
 from .scalars import PIXEL_WORLD_SQL, intrinsics, view_pose
 
@@ -245,6 +246,7 @@ def gap_by_lag(t):
     views = t.views.select("recording", "frame", view_pose().alias("pose"))
     rows = refs.surface_gaps(t.spread(t.pixels), t.pixel_map, views, "target", intrinsics(), 48, 64, lags=[1, 4]).where("overlap_pixels > 0")
     keys = ["recording", "lag"]
+    rows = checkpointed(rows.select(*keys, "abs_m", "signed_m"))
     return exact_quantiles(rows, keys, "abs_m", {"median_abs_m": 0.5}, count="pairs").join(
         exact_quantiles(rows, keys, "signed_m", {"median_signed_m": 0.5}), keys
     )
