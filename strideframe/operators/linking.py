@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +14,42 @@ from .graph import components
 JUMP_DIAGONALS = 2.0
 
 
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], left: str, right: str, cost: str) -> DataFrame:
-    """Pairs taken in order of (cost, left, right) while both ends are free; every round takes the cheapest edge left at least."""
+def greedy_pairs(edges: DataFrame, keys: Sequence[str], left: str, right: str, cost: str, group: int = 4096) -> DataFrame:
+    """Pairs taken in order of (cost, left, right) while both ends are free.
+
+    Edges of a key with at most `group` pass by in that order once. Larger keys go through rounds, each of which takes the
+    cheapest edge left at least.
+    """
     keys = list(keys)
-    rest = checkpointed(edges.select(*keys, left, right, cost))
+    edges = checkpointed(edges.select(*keys, left, right, cost))
+    large = checkpointed(edges.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > group).select(*keys))
+    if large.isEmpty():
+        return _taken_in_order(edges, keys, left, right, cost)
+    small = _taken_in_order(edges.join(large, keys, "left_anti"), keys, left, right, cost)
+    return small.unionByName(_taken_in_rounds(edges.join(large, keys, "left_semi"), keys, left, right, cost))
+
+
+def _taken_in_order(edges: DataFrame, keys: Sequence[str], left: str, right: str, cost: str) -> DataFrame:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, lefts, rights = None, set(), set()
+        for batch in batches:
+            kept = []
+            columns = [batch.column(c).to_pylist() for c in (left, right)]
+            for i, (key, a, b) in enumerate(zip(zip(*[batch.column(k).to_pylist() for k in keys]), *columns)):
+                if key != mark:
+                    mark, lefts, rights = key, set(), set()
+                if a not in lefts and b not in rights:
+                    lefts.add(a)
+                    rights.add(b)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    ordered = edges.repartition(*keys).sortWithinPartitions(*keys, cost, left, right)
+    return ordered.mapInArrow(walk, edges.schema)
+
+
+def _taken_in_rounds(edges: DataFrame, keys: Sequence[str], left: str, right: str, cost: str) -> DataFrame:
+    rest = checkpointed(edges)
     out = None
     while True:
         rank = F.struct(cost, left, right)
@@ -46,7 +79,7 @@ def link_frames(previous: DataFrame, current: DataFrame, keys: Sequence[str], ga
         previous.join(there, [*keys, "label"]).withColumn("distance", d).where(F.col("distance") <= JUMP_DIAGONALS * F.col("diagonal"))
         .select(*keys, "i", "j", "diagonal", "linkable", "distance")
     )
-    links = greedy_pairs(near.where(F.col("linkable") & (F.col("distance") <= gate * F.col("diagonal"))), keys, "i", "j", "distance")
+    links = checkpointed(greedy_pairs(near.where(F.col("linkable") & (F.col("distance") <= gate * F.col("diagonal"))), keys, "i", "j", "distance"))
     open_rows = previous.join(links.select(*keys, "i"), [*keys, "i"], "left_anti").select(*keys, "i", "diagonal")
     nearest = near.groupBy(*keys, "i").agg(F.min(F.struct("distance", "j", "linkable")).alias("_n"))
     claimed = links.select(*keys, F.col("j").alias("_j")).withColumn("_taken", F.lit(True))
