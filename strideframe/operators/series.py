@@ -115,6 +115,16 @@ def lag_moments(a: DataFrame, b: DataFrame, keys: Sequence[str], ordinal: str, m
         x, y = np.full(block, np.nan), np.full(block + 2 * max_lag, np.nan)
         x[left["_at"].to_numpy() - start] = left["_v"].to_numpy(dtype=float)
         y[right["_at"].to_numpy() - start + max_lag] = right["_v"].to_numpy(dtype=float)
+        held = np.nonzero(~np.isnan(x))[0]
+        first, size = (held[0], held[-1] + 1 - held[0]) if len(held) else (0, 0)
+        u, near = x[first: first + size], y[first: first + size + 2 * max_lag]
+        if size and len(held) == size and not np.isnan(near).any():
+            # nothing is missing: every lag sees the same stretch of `a`
+            seen, squares = (np.lib.stride_tricks.sliding_window_view(v, size) for v in (near, near * near))
+            return pd.DataFrame({
+                **dict(zip(keys, key)), "lag": np.arange(-max_lag, max_lag + 1), "n": float(size), "sa": u.sum(), "sb": seen.sum(1), "aa": u @ u, "bb": squares.sum(1),
+                "ab": np.correlate(near, u, "valid"), "a_low": u.min(), "a_high": u.max(), "b_low": seen.min(1), "b_high": seen.max(1),
+            })
         out = []
         for lag in range(-max_lag, max_lag + 1):
             z = y[lag + max_lag: lag + max_lag + block]
