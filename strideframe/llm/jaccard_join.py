@@ -38,6 +38,9 @@ from .phases import released, settled
 BAND, SKIPPING = 1.5, 90
 PAIR_BYTES = 1 << 20
 HEAVY, NOTED = 50_000, 3
+SIEVE, PIECE = 1 << 26, 1 << 16
+LIGHT = 1
+MARKS = ["m0", "m1", "m2", "m3"]
 HALF = np.uint64(1)
 
 
@@ -76,6 +79,33 @@ def blocks_in(band: np.ndarray, threshold: int) -> np.ndarray:
     return (2 * most * (100 - threshold) // (100 + threshold)).astype(np.int64) + 1
 
 
+def block_keys(row: np.ndarray, token: np.ndarray, mixed: np.ndarray, m: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) so that two sets of a band that differ in fewer than m tokens, but differ, have a key in common.
+
+    Tokens are hashes in order, so the m equal ranges of them are blocks by position. On a ring of m blocks with fewer than m
+    differences there is a block without any whose successor has one at most. A block of more than LIGHT tokens is a key by its
+    content; a lighter one agrees in too many sets, so its keys also hold the next block, whole and without each of its tokens.
+    """
+    m = np.where(m > 1, m, 0)  # with one block, sets that agree are equal
+    use = np.flatnonzero(m[row] > 0)
+    base = np.cumsum(m) - m
+    place = ((token[use] >> np.uint64(31)) * m[row[use]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(base[row[use]] + place, minlength=int(m.sum()))
+    ends = np.cumsum(count)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed[use], dtype=np.uint64)])
+    content = sums[ends] - sums[ends - count]
+    owner = np.repeat(np.arange(len(m)), m)
+    place = np.arange(len(owner)) - base[owner]
+    key = tb.mix(content + place.astype(np.uint64) * tb.BASE + band[owner].astype(np.uint64))
+    light = np.flatnonzero(count <= LIGHT)
+    after = base[owner[light]] + (place[light] + 1) % m[owner[light]]
+    every = np.repeat(np.arange(len(light)), count[after])
+    gone = mixed[use][(ends - count)[after][every] + np.arange(len(every)) - (np.cumsum(count[after]) - count[after])[every]]
+    which, rest = np.concatenate([np.arange(len(light)), every]), np.concatenate([content[after], content[after][every] - gone])
+    heavy = np.flatnonzero(count > LIGHT)
+    return np.concatenate([owner[heavy], owner[light][which]]), np.concatenate([key[heavy], tb.mix(tb.mix(rest) + key[light][which])])
+
+
 def signed(docs: DataFrame, size: int, threshold: int, keyed: bool) -> DataFrame:
     """Per row (doc_id, h, text): doc_id, h, n, two digests of the set and, if `keyed`, a key for every block of it."""
 
@@ -93,25 +123,12 @@ def signed(docs: DataFrame, size: int, threshold: int, keyed: bool) -> DataFrame
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "a", "b"])
                     continue
                 own, next_ = bands(n, threshold)
-                rows, keys, gaps = [], [], []
+                rows, keys = [], []
                 for band, chosen in ((own, n > 0), (own + 1, (n > 0) & next_)):
-                    m = blocks_in(band, threshold)
-                    use = np.flatnonzero(chosen[row])
-                    # tokens are hashes in order, so equal ranges of them are blocks by position
-                    place = ((token[use] >> np.uint64(31)) * m[row[use]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-                    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[use][1:] != row[use][:-1])])) if len(use) else use
-                    if len(first):
-                        content = np.add.reduceat(mixed[0][use], first)
-                        rows.append(row[use][first])
-                        keys.append(tb.mix(content + place[first].astype(np.uint64) * tb.BASE + band[rows[-1]].astype(np.uint64)))
-                        # sets may also agree in a block that is empty in both
-                        held = np.bincount(rows[-1], minlength=len(part))
-                        for r in np.flatnonzero(chosen & (held < m)):
-                            a, b = np.searchsorted(rows[-1], [r, r + 1])
-                            empty = np.setdiff1d(np.arange(m[r]), place[first][a:b]).astype(np.uint64)
-                            gaps.append((np.full(len(empty), r), tb.mix(empty * tb.BASE + np.uint64(band[r]))))
-                rows, keys = rows + [g[0] for g in gaps], keys + [g[1] for g in gaps]
-                rows, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, keys))
+                    own_rows, own_keys = block_keys(row, token, mixed[0], np.where(chosen, blocks_in(band, threshold), 0), band)
+                    rows.append(own_rows)
+                    keys.append(own_keys)
+                rows, keys = np.concatenate(rows), np.concatenate(keys)
                 order = np.argsort(rows, kind="stable")
                 ends = np.searchsorted(rows[order], np.arange(len(part) + 1)).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64))))
@@ -120,6 +137,32 @@ def signed(docs: DataFrame, size: int, threshold: int, keyed: bool) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, h long, n int, a long, b long" + (", keys array<long>" if keyed else ""))
 
 
+def sieve(rows: DataFrame) -> dict[int, bytes]:
+    """SIEVE bits, by pieces of PIECE, of which those at the place of some (doc_id, h) are set: 8 MB at most, for any number of rows."""
+
+    def piece(group: pa.Table) -> pa.Table:
+        bits = np.zeros(PIECE, bool)
+        bits[group.column("at").to_numpy()] = True
+        return pa.table({"piece": group.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    place = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SIEVE))
+    places = rows.select(F.floor(place / PIECE).cast("int").alias("piece"), (place % PIECE).cast("int").alias("at")).distinct()
+    return {r["piece"]: bytes(r["bits"]) for r in places.groupBy("piece").applyInArrow(piece, "piece int, bits binary").collect()}
+
+
+def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`textbytes.packed` of all rows whose (doc_id, h) is among the wanted ones and few others, so that a join need not carry every text."""
+    bits = np.zeros(SIEVE // 8, np.uint8)
+    for k, piece in sieve(wanted).items():
+        bits[k * PIECE // 8: (k + 1) * PIECE // 8] = np.frombuffer(piece, np.uint8)
+
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.column("at").to_numpy()
+        return batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+
+    return tb.packed(rows.withColumn("at", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SIEVE))), "doc_id", "h", "at", held=held).drop("at")
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own, place = np.unique(keys, return_inverse=True)
     return own, np.bincount(place, counts, len(own)).astype(np.int64)
@@ -179,6 +222,26 @@ def prefixes(texts: DataFrame, heavy: np.ndarray, size: int, threshold: int) ->
     return texts.select("c", "z").mapInArrow(run, "c long, n int, pos int, t long")
 
 
+def parities(texts: DataFrame, size: int) -> DataFrame:
+    """c and MARKS numbers whose bits tell, by the low bits of the hash, of which tokens the set has an odd count."""
+    wide = 64 * len(MARKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.restored(batches):
+            for part, body, offsets in tb.slices(batch, "text"):
+                row, token = shingle_sets(body, offsets, size)
+                odd = np.bincount(row * wide + (token % np.uint64(wide)).astype(np.int64), minlength=len(part) * wide) & 1
+                marks = np.packbits(odd.astype(bool).reshape(len(part), wide), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("c"), *[pa.array(marks[:, k].copy()) for k in range(len(MARKS))]], ["c", *MARKS])
+
+    return texts.select("c", "z").mapInArrow(run, "c long, " + ", ".join(f"{k} long" for k in MARKS))
+
+
+def unlike(x: str, y: str):
+    """In how many bits the parities of two sets differ; they differ in as many tokens at least."""
+    return sum((F.bit_count(F.col(f"{k}{x}").bitwiseXOR(F.col(f"{k}{y}"))) for k in MARKS[1:]), F.bit_count(F.col(f"{MARKS[0]}{x}").bitwiseXOR(F.col(f"{MARKS[0]}{y}"))))
+
+
 def needed(n: str, m: str, threshold: int):
     """The least overlap of sets of n and m elements that reach the threshold."""
     return F.ceil((F.col(n) + F.col(m)) * threshold / (100 + threshold) - 1e-9)
@@ -198,12 +261,11 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
 
         for batch in batches:
             zx, zy = batch.column("zx").to_pylist(), batch.column("zy").to_pylist()
+            wide = np.cumsum([zstandard.frame_content_size(x) + zstandard.frame_content_size(y) for x, y in zip(zx, zy)])
             first = 0
             while first < len(batch):
-                last, held = first, 0
-                while last < len(batch) and (last == first or held < PAIR_BYTES // 4):  # compressed bytes
-                    held += len(zx[last]) + len(zy[last])
-                    last += 1
+                # a text may be hundreds of times as long as its compressed form
+                last = max(first + 1, int(np.searchsorted(wide, (wide[first - 1] if first else 0) + PAIR_BYTES, "right")))
                 (row_x, x), (row_y, y) = sets(zx[first:last]), sets(zy[first:last])
                 n = np.bincount(row_x, minlength=last - first), np.bincount(row_y, minlength=last - first)
                 row, token = np.concatenate([row_x, row_y]), np.concatenate([x, y])
@@ -235,47 +297,67 @@ def classed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     wanted = classes.select("doc_id", "h", "c")
     sizes = profiles
     if skipping:
-        indexed = filled.select("a", F.explode("keys").alias("key"))
-        agreeing = indexed.groupBy("key").agg(F.min("a").alias("p"), F.max("a").alias("q")).where("p <> q").select("key")
-        agreed = indexed.join(agreeing, "key").select(F.col("a").alias("c")).distinct()
-        wanted = settled(wanted.join(agreed, "c"))
+        indexed = filled.select(F.explode("keys").alias("t"), F.col("a").alias("c"))
+        agreeing = indexed.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("q")).where("l <> q").select("t", "l")
+        lists = settled(indexed.join(agreeing, "t"))
+        wanted = settled(wanted.join(lists.select("c").distinct(), "c"))
         sizes = settled(profiles.select("doc_id", "h", "n", "a", "b"))
         released(profiles)
     # rows that repeat both doc_id and text would bring a class twice
-    texts = settled(tb.packed(rows, "doc_id", "h").join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("c", "z"))
-    postings = settled(prefixes(texts, frequent_tokens(texts, size), size, threshold))
-    leaders = postings.groupBy("t").agg(F.min(F.struct("pos", "n", "c")).alias("l"), F.count("*").alias("k")).where("k > 1").drop("k")
-    lists = settled(postings.join(leaders, "t"))
-    released(postings)
-
-    reach = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
-    led = lists.select(F.col("l.c").alias("x"), F.col("c").alias("y"), F.col("l.n").alias("m"), "n", "pos", F.col("l.pos").alias("at")).where("x <> y").where(reach)
-    led = led.groupBy("x", "y", "m", "n").agg(F.min("pos").alias("pos"), F.min("at").alias("at"))  # their first common token
-    led = led.where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= needed("n", "m", threshold))
+    texts = settled((sieved(rows, wanted) if skipping else tb.packed(rows, "doc_id", "h")).join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("c", "z"))
+    if skipping:
+        sets = settled(parities(texts, size).join(classes.select("c", "n"), "c"))
+        part = lambda side, n: sets.select(F.col("c").alias(side), F.col("n").alias(n), *[F.col(k).alias(f"{k}_{side}") for k in MARKS])
+        led = lists.select(F.col("l").alias("x"), F.col("c").alias("y")).where("x <> y").distinct()
+        led = led.join(part("x", "m"), "x").join(part("y", "n"), "y").where(unlike("_x", "_y") <= F.col("n") + F.col("m") - 2 * needed("n", "m", threshold))
+        # a set of several rows is in a list several times
+        members = lists.select("t", "c").distinct().join(sets, "c").withColumn("pos", F.lit(0))
+    else:
+        postings = settled(prefixes(texts, frequent_tokens(texts, size), size, threshold))
+        leaders = postings.groupBy("t").agg(F.min(F.struct("pos", "n", "c")).alias("l"), F.count("*").alias("k")).where("k > 1").drop("k")
+        lists = settled(postings.join(leaders, "t"))
+        released(postings)
+        led = lists.select(F.col("l.c").alias("x"), F.col("c").alias("y"), F.col("l.n").alias("m"), "n", "pos", F.col("l.pos").alias("at")).where("x <> y")
+        led = led.groupBy("x", "y", "m", "n").agg(F.min("pos").alias("pos"), F.min("at").alias("at"))  # their first common token
+        led = led.where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= needed("n", "m", threshold))
+        members = lists.drop("l")
+    led = led.where((F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold))
     first = settled(compared(led, texts, size, threshold))
     links = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     parts = settled(components(texts.select(F.col("c").alias("id")), links)).withColumnRenamed("id", "c")
 
     home = first.groupBy(F.col("y").alias("c")).agg(F.min(F.struct("apart", "x")).alias("h")).select("c", F.col("h.x").alias("leader"), F.col("h.apart").alias("far"))
-    rows = lists.drop("l").join(parts, "c").join(home, "c", "left")
+    rows = members.join(parts, "c").join(home, "c", "left")
     rows = rows.withColumn("block", F.struct("component", F.floor(F.log2(F.col("pos") + 1)), F.floor(F.log("n") / F.log(F.lit(1.05)))))
-    blocks = rows.groupBy("t", "component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    made = [lists]
+    if skipping:
+        rows = settled(rows)
+        made.append(rows)
+    marks = MARKS if skipping else []
+    blocks = rows.groupBy("t", "component", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("k"), *[F.min(k).alias(k) for k in marks],
+    )
     split = blocks.groupBy("t").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("t")
     blocks = settled(blocks.join(split, "t"))
     side = lambda df, s, names: df.select("t", *[F.col(c).alias(f"{c}_{s}") for c in names])
-    names = ["component", "block", "low", "high", "rest"]
+    names = ["component", "block", "low", "high", "rest", "k", *marks]
     open_ = side(blocks, "x", names).join(side(blocks, "y", names), "t").where(
         (F.col("component_x") < F.col("component_y")) & (F.col("high_x") * 100 >= F.col("low_y") * threshold) & (F.col("high_y") * 100 >= F.col("low_x") * threshold)
         & (F.least("rest_x", "rest_y") >= needed("low_x", "low_y", threshold)),
-    ).select("t", "block_x", "block_y")
+    )
+    if skipping:  # most blocks hold one set
+        open_ = open_.where((F.col("k_x") + F.col("k_y") > 2) | (unlike("_x", "_y") <= F.col("low_x") + F.col("low_y") - 2 * needed("low_x", "low_y", threshold)))
+    open_ = open_.select("t", "block_x", "block_y")
     rows = settled(rows.join(split, "t").drop("component"))
-    released(lists)
-    names = ["c", "n", "pos", "block", "leader", "far"]
+    released(*made)
+    names = ["c", "n", "pos", "block", "leader", "far", *marks]
     # at a pair's first common token most is left of both; a later one lets no other pair through
     pairs = open_.join(side(rows, "x", names), ["t", "block_x"]).join(side(rows, "y", names), ["t", "block_y"]).where(
         F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed("n_x", "n_y", threshold),
     )
     allowed = F.col("n_x") + F.col("n_y") - 2 * needed("n_x", "n_y", threshold)
+    if skipping:
+        pairs = pairs.where(unlike("_x", "_y") <= allowed)
     same = F.col("leader_x") == F.col("leader_y")
     pairs = pairs.select(
         F.col("c_x").alias("x"), F.col("c_y").alias("y"), F.coalesce(same & (F.col("far_x") + F.col("far_y") <= allowed), F.lit(False)).alias("near"),
@@ -295,7 +377,7 @@ def classed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     own = classes.join(parts, "c", "left").select("n", "a", "b", "doc_id", F.coalesce("component", "c").alias("piece"))
     least = own.groupBy("piece").agg(F.min("doc_id").alias("component"))
     lowest = settled(own.join(least, "piece").select("n", "a", "b", "component"))
-    released(first, pairs, late, texts)
+    released(first, pairs, late, texts, *([sets] if skipping else []))
     return sizes.join(lowest, ["n", "a", "b"], "left").select("doc_id", "h", "n", F.coalesce("component", "doc_id").alias("component"))
 
 

@@ -116,8 +116,8 @@ def rows_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def packed(docs, *names: str):
-    """docs(text, *names) with the text compressed as `z`, for shuffles that carry whole texts."""
+def packed(docs, *names: str, held=None):
+    """docs(text, *names) with the text compressed as `z`, for shuffles that carry whole texts; of each batch the rows that `held` leaves."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +125,7 @@ def packed(docs, *names: str):
 
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            batch = held(batch) if held else batch
             z = pa.array([None if t is None else press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([z, *[batch.column(n) for n in names]], ["z", *names])
 
