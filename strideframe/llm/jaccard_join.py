@@ -311,7 +311,7 @@ def classed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
         led = lists.select(F.col("l").alias("x"), F.col("c").alias("y")).where("x <> y").distinct()
         led = led.join(part("x", "m"), "x").join(part("y", "n"), "y").where(unlike("_x", "_y") <= F.col("n") + F.col("m") - 2 * needed("n", "m", threshold))
         # a set of several rows is in a list several times
-        members = lists.select("t", "c").distinct().join(sets, "c").withColumn("pos", F.lit(0))
+        members = sets.withColumn("pos", F.lit(0))
     else:
         postings = settled(prefixes(texts, frequent_tokens(texts, size), size, threshold))
         leaders = postings.groupBy("t").agg(F.min(F.struct("pos", "n", "c")).alias("l"), F.count("*").alias("k")).where("k > 1").drop("k")
@@ -329,17 +329,16 @@ def classed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     home = first.groupBy(F.col("y").alias("c")).agg(F.min(F.struct("apart", "x")).alias("h")).select("c", F.col("h.x").alias("leader"), F.col("h.apart").alias("far"))
     rows = members.join(parts, "c").join(home, "c", "left")
     rows = rows.withColumn("block", F.struct("component", F.floor(F.log2(F.col("pos") + 1)), F.floor(F.log("n") / F.log(F.lit(1.05)))))
-    made = [lists]
     if skipping:
-        rows = settled(rows)
-        made.append(rows)
+        known = settled(rows)
+        rows = lists.select("t", "c").distinct().join(known, "c")
     marks = MARKS if skipping else []
     blocks = rows.groupBy("t", "component", "block").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("k"), *[F.min(k).alias(k) for k in marks],
     )
     split = blocks.groupBy("t").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("t")
     blocks = settled(blocks.join(split, "t"))
-    side = lambda df, s, names: df.select("t", *[F.col(c).alias(f"{c}_{s}") for c in names])
+    side = lambda df, s, names, at=("t",): df.select(*at, *[F.col(c).alias(f"{c}_{s}") for c in names])
     names = ["component", "block", "low", "high", "rest", "k", *marks]
     open_ = side(blocks, "x", names).join(side(blocks, "y", names), "t").where(
         (F.col("component_x") < F.col("component_y")) & (F.col("high_x") * 100 >= F.col("low_y") * threshold) & (F.col("high_y") * 100 >= F.col("low_x") * threshold)
@@ -347,12 +346,17 @@ def classed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     )
     if skipping:  # most blocks hold one set
         open_ = open_.where((F.col("k_x") + F.col("k_y") > 2) | (unlike("_x", "_y") <= F.col("low_x") + F.col("low_y") - 2 * needed("low_x", "low_y", threshold)))
-    open_ = open_.select("t", "block_x", "block_y")
-    rows = settled(rows.join(split, "t").drop("component"))
-    released(*made)
+        # sets of two blocks meet once, however many lists these share, and the smaller block is expanded first
+        less = F.col("k_x") <= F.col("k_y")
+        ends = [F.when(less, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("block_x", "block_y"), ("block_y", "block_x"))]
+        open_, rows, at = settled(open_.select(*ends).distinct()), known, []
+    else:
+        rows, at = settled(rows.join(split, "t").drop("component")), ["t"]
+        open_ = open_.select("t", "block_x", "block_y")
+    released(lists)
     names = ["c", "n", "pos", "block", "leader", "far", *marks]
     # at a pair's first common token most is left of both; a later one lets no other pair through
-    pairs = open_.join(side(rows, "x", names), ["t", "block_x"]).join(side(rows, "y", names), ["t", "block_y"]).where(
+    pairs = open_.join(side(rows, "x", names, at), [*at, "block_x"]).join(side(rows, "y", names, at), [*at, "block_y"]).where(
         F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed("n_x", "n_y", threshold),
     )
     allowed = F.col("n_x") + F.col("n_y") - 2 * needed("n_x", "n_y", threshold)
@@ -364,7 +368,7 @@ def classed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
         F.coalesce(same & (F.abs(F.col("far_x") - F.col("far_y")) > allowed), F.lit(False)).alias("off"),
     ).where("NOT off").distinct()
     pairs = settled(pairs)
-    released(rows, blocks)
+    released(rows, blocks, *([open_] if skipping else []))
     late = compared(pairs.where("NOT near"), texts, size, threshold).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     late = settled(late.unionByName(pairs.where("near").select(F.col("x").alias("a"), F.col("y").alias("b"))))
     if not late.isEmpty():
