@@ -3,10 +3,11 @@
 1. Texts with equal sets form a class; only one set per class goes on.
 2. Block skipping, from SKIPPING percent on (below, blocks are so short that nearly every set agrees with another
    somewhere: at five words and 80 percent 188,443 of 203,633 documents did, so nothing is gained). The global token order is cut into blocks by position, more than two linked sets of that
-   size can differ in tokens; so they agree in at least one whole block. An index list per (block, content)
-   holds the sets that agree there, and sets that agree with no other in any block are skipped for good.
-3. Prefix lists. Among what is left tokens are ordered by hash, with the HEAVY most frequent ones last, by
+   size can differ in tokens; so they agree in at least one whole block (`block_keys`). The sets of such a key
+   form a list; sets that agree with no other are skipped for good, and a bit sieve keeps their texts from travelling.
+3. Prefix lists, below SKIPPING. Tokens are ordered by hash, with the HEAVY most frequent ones last, by
    count. Linked sets share a token among the first n - ceil(n * threshold) + 1 of each, and lists of these prefixes find every link.
+   From SKIPPING on, parities of the tokens refuse pairs that differ in too many, before texts are read.
 4. Answers of similar sets. In each list the member that enters earliest leads; every member is compared
    with it. That links most of a group of near copies, and leaves each set with a known distance to a leader.
 5. What is left are pairs of a list that are not in one component yet. A list's entries form blocks by
