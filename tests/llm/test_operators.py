@@ -147,7 +147,7 @@ def test_linked_sets_share_a_block_key():
 
 
 def test_variants_of_one_text_are_not_all_compared(spark, monkeypatch):
-    """Forty texts, each some 20 percent off one original, and a near copy of every fourth; before, 800 pairs and more were read."""
+    """Forty texts, each some 20 percent off one original, and a near copy of every fourth."""
     import random
 
     draw, words = random.Random(4), passage(400, 900).split()
