@@ -68,3 +68,16 @@ def test_large_keys_never_gather_in_a_join(spark, monkeypatch):
         assert "_deal" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quantile_keys_may_have_any_name(spark):
+    """Keys called like the ranking's own columns once were; trial_score groups by `side`."""
+    rows = [("near" if i % 2 else "far", i % 3, i % 5, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "side string, j int, v int, x double")
+    for whole in (10, 1000):
+        for keys in (["side"], ["j"], ["v"], ["side", "j", "v"]):
+            got = {tuple(r[k] for k in keys): r.middle for r in exact_quantiles(df, keys, "x", {"middle": 0.5}, whole=whole).collect()}
+            want = {}
+            for row in rows:
+                want.setdefault(tuple(dict(zip(("side", "j", "v"), row))[k] for k in keys), []).append(row[3])
+            assert got == {k: float(np.median(v)) for k, v in want.items()}
