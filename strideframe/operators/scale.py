@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -102,15 +102,16 @@ def weighted_median(rows: DataFrame, keys: Sequence[str], value: str, weight: st
 
 def grid_scale(
     pixels: DataFrame, height: int, width: int, minimum: int = 50, min_cell: int = 20,
-    fallback: DataFrame | None = None,
+    fallback: DataFrame | None = None, log: Callable[[Column], Column] = F.log, exp: Callable[[Column], Column] = F.exp,
 ) -> DataFrame:
     """Per-pixel scale blended between the cell medians of the log ratio.
 
     A frame's 48 cell values travel as one small array, so a pixel needs one join for its four cells.
-    `fallback` holds keys and a log scale used instead of the frame median in unsupported cells.
+    `fallback` holds keys and a log scale used instead of the frame median in unsupported cells. `log` and `exp` are
+    those of `libm` where later steps compare depths that may lie just on an edge.
     """
     cell = g.cell_of(F.col("prow"), F.col("pcol"), height, width, CELLS_Y, CELLS_X)
-    logs = usable(pixels).withColumns({"_cell": cell, "_log": F.log(F.col("target") / F.col("learned"))})
+    logs = usable(pixels).withColumns({"_cell": cell, "_log": log(F.col("target") / F.col("learned"))})
     frame = exact_quantiles(logs, FRAME, "_log", {"_frame": 0.5}, count="_pairs").where(F.col("_pairs") >= minimum)
     if fallback is not None:
         frame = frame.join(fallback.select(*FRAME, F.col("log_scale").alias("_given")), list(FRAME), "left")
@@ -135,7 +136,7 @@ def grid_scale(
     value = lambda y, x: F.get("_grid", y * CELLS_X + x)
     top = (1 - wx) * value(F.col("_y0"), F.col("_x0")) + wx * value(F.col("_y0"), x1)
     low = (1 - wx) * value(y1, F.col("_x0")) + wx * value(y1, x1)
-    return rows.withColumn("scale", F.exp((1 - wy) * top + wy * low)).drop(
+    return rows.withColumn("scale", exp((1 - wy) * top + wy * low)).drop(
         "_grid", "_ax", "_ay", "_x0", "_y0"
     )
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import libm
 from ..operators import fusion, mapping, scale, vote
 from ..operators import pieces as pc
 from ..operators import pixels as px
@@ -49,7 +50,8 @@ MEASURES = "observed_area_m2 plane_area_m2 length_m width_m highest_m lowest_m"
 
 def sized_surface(t):
     """Fused voxels of every recording from learned depth sized per pixel, fuse range 0.1 to 4 m."""
-    sized = scale.grid_scale(t.spread(t.pixels), HEIGHT, WIDTH, minimum=50, min_cell=6).withColumn("depth_m", F.col("learned") * F.col("scale"))
+    sized = scale.grid_scale(t.spread(t.pixels), HEIGHT, WIDTH, minimum=50, min_cell=6, log=libm.log, exp=libm.exp)
+    sized = sized.withColumn("depth_m", F.col("learned") * F.col("scale"))
     near = sized.where((F.col("depth_m") >= 0.1) & (F.col("depth_m") < 4.0))
     views = t.views.select("recording", "frame", view_pose().alias("pose"))
     world = px.world_points(near, views, "depth_m", intrinsics()).select(
