@@ -154,11 +154,10 @@ def footprint(
     on = F.abs("_h") <= band
     stats = rows.groupBy(key).agg(
         F.count("*").alias("points"), F.count(F.when(on, 1)).alias("_n"),
-        *[F.avg(F.when(on, c)).alias(f"_m{n}") for n, c in (
-            ("a", F.col("_a")), ("b", F.col("_b")), ("aa", F.col("_a") * F.col("_a")), ("ab", F.col("_a") * F.col("_b")), ("bb", F.col("_b") * F.col("_b")))],
+        # a spread of none is exactly zero here; means of squares less squared means leave noise, which then turns the axes
+        *[F.covar_pop(F.when(on, F.col(f"_{p}")), F.when(on, F.col(f"_{q}"))).alias(f"_s{p}{q}") for p, q in ("aa", "ab", "bb")],
     )
-    saa, sab = F.col("_maa") - F.col("_ma") * F.col("_ma"), F.col("_mab") - F.col("_ma") * F.col("_mb")
-    sbb = F.col("_mbb") - F.col("_mb") * F.col("_mb")
+    saa, sab, sbb = g.columns("_saa", "_sab", "_sbb")
     reason = F.when(F.col("points") < min_points, F.concat(F.lit(f"fewer than {min_points} surface points"))).when(
         F.col("_n") < 3, F.lit("fewer than 3 points lie on the plane")
     )

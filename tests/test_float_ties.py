@@ -46,3 +46,16 @@ def test_library_functions_are_those_of_the_sql(spark):
     rows = [tuple(r) for r in df.select("v", libm.log("v"), libm.exp("v")).collect()]
     assert sorted(r for r in rows if r[0] and 0.01 < r[0] < 100) == sorted(want)
     assert [r for r in rows if not r[0] or r[0] < 0 or r[0] > 100] == [(None, None, None), (0.0, None, 1.0), (-1.0, None, float(np.exp(-1))), (800.0, np.log(800.0), float("inf"))]
+
+
+def test_footprint_with_one_point_on_the_plane(spark, tmp_path):
+    """Copies of one point on the plane have no direction; the axes are those of an angle of zero, not of rounding noise."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for r in range(20):
+        spot = [float(v) for v in rng.uniform(-0.07, 0.07, 3)]
+        rows += [(1000 * r + i, r, [*spot, 0.1, 0.2, 0.3]) for i in range(203)]
+        rows += [(1000 * r + 300 + i, r, [float(rng.normal(0, 0.13)), 0.3, float(rng.normal(0, 0.13)), 0.1, 0.2, 0.3]) for i in range(50)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").toPandas()  # noqa: F841
+    duckdb.execute(f"COPY (SELECT vec_id, label, embedding::FLOAT[] AS embedding FROM \"table\") TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    assert agrees(spark, "footprint", tmp_path) is None
