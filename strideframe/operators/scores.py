@@ -205,7 +205,7 @@ def instance_events(predicted: DataFrame, reference: DataFrame, keys: Sequence[s
 
 
 def bootstrap_interval(
-    rows: DataFrame, keys: Sequence[str], value: str, ordinal: str, replicates: int = 1000, seed: int = 0, draws: int = 1 << 20, block: int = 1 << 16
+    rows: DataFrame, keys: Sequence[str], value: str, ordinal: str, replicates: int = 1000, seed: int = 0, draws: int = 1 << 20, block: int = 1 << 14
 ) -> DataFrame:
     """2.5 and 97.5 percent points of the mean over seeded resamples with replacement.
 

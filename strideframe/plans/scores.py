@@ -220,7 +220,7 @@ def mask_events(t):
 
 @query("bootstrap_mean", f"""
     WITH r AS (SELECT recording, point, x, row_number() OVER (PARTITION BY recording ORDER BY point) - 1 AS i FROM points), n AS (SELECT recording, count(*) AS n, avg(x) AS mean FROM r GROUP BY recording),
-    d AS (SELECT r.recording, b, {mixed_sql('i + n * b', 7)} % n AS i FROM r JOIN n USING (recording), range(0, 200) z(b)),
+    d AS (SELECT r.recording, b, {mixed_sql('i + n * b', 7)} % n AS i FROM r JOIN n USING (recording), range(0, 1000) z(b)),
     m AS (SELECT d.recording, b, avg(r.x) AS m FROM d JOIN r ON r.recording = d.recording AND r.i = d.i GROUP BY ALL)
     SELECT recording, any_value(mean) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m JOIN n USING (recording) GROUP BY recording""", doubles="mean low high")
 def bootstrap_mean(t):
@@ -228,7 +228,7 @@ def bootstrap_mean(t):
     from ..operators.ordered import ranked_by
 
     rows = ranked_by(t.points.select("recording", "point", "x"), ["recording"], "point", []).withColumn("i", F.col("ordinal") - 1)
-    return scores.bootstrap_interval(rows, ["recording"], "x", "i", replicates=200, seed=7)
+    return scores.bootstrap_interval(rows, ["recording"], "x", "i", replicates=1000, seed=7)
 
 
 @query("gap_by_lag", f"""
