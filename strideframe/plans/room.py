@@ -49,7 +49,7 @@ MEASURES = "observed_area_m2 plane_area_m2 length_m width_m highest_m lowest_m"
 
 
 def sized_surface(t):
-    """Fused voxels of every recording from learned depth sized per pixel, fuse range 0.1 to 4 m."""
+    """Fused voxels of every recording from learned depth sized per pixel, fuse range 0.1 to 4 m; sized once for the vote and what it keeps."""
     sized = scale.grid_scale(t.spread(t.pixels), HEIGHT, WIDTH, minimum=50, min_cell=6, log=libm.log, exp=libm.exp)
     sized = sized.withColumn("depth_m", F.col("learned") * F.col("scale"))
     near = sized.where((F.col("depth_m") >= 0.1) & (F.col("depth_m") < 4.0))
@@ -60,7 +60,7 @@ def sized_surface(t):
     fused = fusion.voxel_fuse(world, ["recording"], VOXEL_M)
         # three 21-bit voxel indices in one key
     packed = ((F.col("ix") + (1 << 20)) * (1 << 21) + F.col("iy") + (1 << 20)) * (1 << 21) + F.col("iz") + (1 << 20)
-    return fused.withColumn("point", packed)
+    return checkpointed(fused.withColumn("point", packed))
 
 
 def voted_surface(t, fused):

@@ -12,7 +12,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
 from paths import SMALL
-from strideframe.operators import identity
+from strideframe.operators import identity, vote  # noqa: E402
+from strideframe.plans import space_joins  # noqa: E402
+from strideframe.plans.bindings import Tables  # noqa: E402
 
 
 def plan(df):
@@ -58,3 +60,23 @@ def test_footprint_without_points_on_the_plane(spark, tmp_path):
 def test_view_median_folds_sightings_once(spark):
     text = plan(entry.queries()["view_median"](spark, SMALL))
     assert "MapInPandas" not in text and "MapInArrow" not in text and "PythonMap" not in text
+
+
+@pytest.mark.parametrize("name", ["view_evidence"])
+def test_points_and_views_are_not_paired_in_a_shuffle(spark, name):
+    """Pairs of points and views met their pixel by a join, all of them shuffled; most find no measured depth there."""
+    text = entry.queries()[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in text and not any("Join" in line and "pcol" in line for line in text.splitlines())
+
+
+def test_large_recordings_are_looked_up_alike(spark):
+    """Recordings cut by cells, parts and sets of views give the rows of recordings looked up whole."""
+    tables = Tables(spark, SMALL)
+    points, views = space_joins.surface_of(tables), space_joins.posed_views(tables)
+    rows = lambda **most: sorted(
+        tuple(r) for r in vote.seen_points(points, views, tables.pixel_map, "target", space_joins.K, space_joins.HEIGHT, space_joins.WIDTH, **most)
+        .select("recording", "point", "frame", "camera_z", "measured", "prow", "pcol", "ox", "oy", "oz").collect()
+    )
+    whole = rows()
+    assert whole and rows(many_points=300) == whole and rows(many_points=300, many_pixels=4 * 48 * 64) == whole
+    assert rows(many_points=5000) == whole and rows(many_pixels=20 * 48 * 64) == whole
