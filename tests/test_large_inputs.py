@@ -62,7 +62,7 @@ def test_view_median_folds_sightings_once(spark):
     assert "MapInPandas" not in text and "MapInArrow" not in text and "PythonMap" not in text
 
 
-@pytest.mark.parametrize("name", ["view_evidence", "visibility_vote"])
+@pytest.mark.parametrize("name", ["view_evidence", "visibility_vote", "pixel_lookup"])
 def test_points_and_views_are_not_paired_in_a_shuffle(spark, name):
     """Pairs of points and views met their pixel by a join, all of them shuffled; most find no measured depth there."""
     text = entry.queries()[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
