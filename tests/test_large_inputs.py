@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
 from paths import SMALL
-from strideframe.operators import identity, vote  # noqa: E402
+from strideframe.operators import identity, linking, vote  # noqa: E402
 from strideframe.plans import space_joins  # noqa: E402
 from strideframe.plans.bindings import Tables  # noqa: E402
 
@@ -80,3 +80,17 @@ def test_large_recordings_are_looked_up_alike(spark):
     whole = rows()
     assert whole and rows(many_points=300) == whole and rows(many_points=300, many_pixels=4 * 48 * 64) == whole
     assert rows(many_points=5000) == whole and rows(many_pixels=20 * 48 * 64) == whole
+
+
+def test_frames_of_small_keys_are_linked_without_joins(spark, monkeypatch):
+    """Detections of a key pass by together; keys linked by joins give the same links and outcomes."""
+    rows = [(k, "ab"[n % 2], 10 * k + n, float((n * 37 + k * 11) % 90), float((n * 53 + k * 7) % 70), 50.0 + n % 5, n % 3 > 0) for k in range(30) for n in range(9)]
+    d = spark.createDataFrame(rows, "k int, label string, item long, u double, v double, diagonal double, linkable boolean")
+    previous = d.where("k % 4 > 0").select("k", "label", F.col("item").alias("i"), "u", "v", "diagonal")
+    current = d.select((F.col("k") - 1).alias("k"), "label", F.col("item").alias("j"), "u", "v", "linkable")
+    plain = lambda tables: [sorted(map(str, df.collect())) for df in tables]
+    names = lambda links, left: (links.select("k", "i", "j", "distance"), left.select("k", "i", "nearest_px", "outcome"))
+    joined = plain(names(*linking.link_frames(previous, current, ["k"], most=0)))
+    mixed = plain(names(*linking.link_frames(previous, current, ["k"], most=50)))
+    monkeypatch.setattr(linking, "greedy_pairs", lambda *a, **k: pytest.fail("joins over small keys"))
+    assert joined[0] and plain(names(*linking.link_frames(previous, current, ["k"]))) == joined == mixed
