@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import sqrt
 
 import numpy as np
@@ -257,50 +257,59 @@ class PolicyTracks:
 
     def __init__(self, condition: str):
         self.condition = condition
+        self.looks, self.combined = condition.startswith("appearance"), condition.startswith("combined")
+        self.latest = condition.endswith("last")
         self.tracks: dict[str, dict] = {}
 
-    def _estimate(self, track: dict) -> np.ndarray:
-        if self.condition.endswith("last"):
+    def _estimate(self, track: dict) -> tuple:
+        if self.latest:
             return track["last"]
         # views are only ever added
         if track.get("estimate", (0, None))[0] != len(track["views"]):
-            track["estimate"] = len(track["views"]), np.median(np.array([v[0] for v in track["views"]]), axis=0)
+            track["estimate"] = len(track["views"]), tuple(np.median(np.array([v[0] for v in track["views"]]), axis=0).tolist())
         return track["estimate"][1]
 
-    def _edge(self, row: dict, track: dict) -> float | None:
-        looks = self.condition.startswith("appearance")
-        combined = self.condition.startswith("combined")
-        place, vector = row["position"], row["vector"]
-        if not looks:
-            if place is None:
-                return None
-            far = _gap(place, self._estimate(track))
-            if far > MAX_DISTANCE_M or _gap(place, track["anchor"]) > MAX_DISTANCE_M:
-                return None
-            if not combined:
-                return far / MAX_DISTANCE_M
-        if vector is None or not track["gallery"]:
-            return None
-        own = _size(vector)
-        similarity = max(_cosine(vector, other, own, size) for other, size in track["gallery"])
-        if similarity < APPEARANCE_MIN:
-            return None
-        return (1 - similarity) / 2 if looks else 0.5 * far / MAX_DISTANCE_M + 0.25 * (1 - similarity)
+    def _edges(self, row: dict, known: list[tuple]) -> Iterator[tuple[str, float]]:
+        """(name, cost) of the tracks (name, estimate, anchor, gallery) that a row may belong to."""
+        place, vector = row["at"], row["vector"]
+        if not self.looks and place is None or (self.looks or self.combined) and vector is None:
+            return
+        alike, far = row["alike"], 0.0
+        for name, estimate, anchor, gallery in known:
+            if not self.looks:
+                far = _gap(place, estimate)
+                if far > MAX_DISTANCE_M or _gap(place, anchor) > MAX_DISTANCE_M:
+                    continue
+                if not self.combined:
+                    yield name, far / MAX_DISTANCE_M
+                    continue
+            if not gallery:
+                continue
+            similarity = -2.0
+            for other in gallery:
+                # the other conditions meet the same vectors
+                mine = alike.get(other["id"])
+                if mine is None:
+                    mine = alike[other["id"]] = _cosine(vector, other["vector"], row["size"], other["size"])
+                similarity = max(similarity, mine)
+            if similarity >= APPEARANCE_MIN:
+                yield name, (1 - similarity) / 2 if self.looks else 0.5 * far / MAX_DISTANCE_M + 0.25 * (1 - similarity)
 
     def _accept(self, track: dict, row: dict) -> None:
-        if row["position"] is None:
+        if row["at"] is None:
             return
         fresh = all(not _same_view(view[1], row["pose"]) for view in track["views"])
-        track["last"] = row["position"]
+        track["last"] = row["at"]
         if fresh:
-            track["views"].append((row["position"], row["pose"]))
+            track["views"].append((row["at"], row["pose"]))
             if row["vector"] is not None:
-                track["gallery"].append((row["vector"], _size(row["vector"])))
+                track["gallery"].append(row)
 
-    def frame(self, rows: list[dict]) -> list[tuple[str, str, str | None]]:
-        """(decision, reason, object id) per row of one frame, rows in observation order."""
+    def frame(self, rows: list[dict], suspects: set[int] | None = None) -> list[tuple[str, str, str | None]]:
+        """(decision, reason, object id) per row of one frame, rows in observation order; `suspects` are the same under every condition."""
         out: dict[int, tuple[str, str, str | None]] = {}
-        suspects = _duplicates(rows)
+        rows = [_prepared(row) for row in rows]
+        suspects = _duplicates(rows) if suspects is None else suspects
         for i in suspects:
             out[i] = ("unresolved", "same-class overlapping duplicate suspect", None)
         open_rows = [i for i in range(len(rows)) if i not in suspects]
@@ -311,13 +320,13 @@ class PolicyTracks:
                     continue
                 name = f"{self.condition}:{rows[i]['id']}"
                 out[i] = ("new", "first usable same-class frame", name)
-                self.tracks[name] = {"anchor": rows[i]["position"], "last": None, "views": [], "gallery": []}
+                self.tracks[name] = {"anchor": rows[i]["at"], "last": None, "views": [], "gallery": []}
                 self._accept(self.tracks[name], rows[i])
             return [out[i] for i in range(len(rows))]
+        known = [(n, None if self.looks else self._estimate(t), t["anchor"], t["gallery"]) for n, t in sorted(self.tracks.items())]
         options, tried = [], []
         for i in open_rows:
-            edges = [(n, self._edge(rows[i], t)) for n, t in sorted(self.tracks.items())]
-            options += [(len(tried), n, c) for n, c in edges if c is not None]
+            options += [(len(tried), n, c) for n, c in self._edges(rows[i], known)]
             tried.append(i)
         best, unclear = near_equal(options, AMBIGUITY_GAP + 1e-12)
         chosen = []
@@ -334,8 +343,17 @@ class PolicyTracks:
         return [out[i] for i in range(len(rows))]
 
 
-def _gap(a: np.ndarray, b: np.ndarray) -> float:
-    x, y, z = (a - b).tolist()
+def _prepared(row: dict) -> dict:
+    """A row with its place as plain numbers, the size of its vector and the likenesses met so far, made once."""
+    if "alike" not in row:
+        row["at"] = None if row["position"] is None else tuple(row["position"].tolist())
+        row["size"] = None if row["vector"] is None else _size(row["vector"])
+        row["alike"] = {}
+    return row
+
+
+def _gap(a: Sequence[float], b: Sequence[float]) -> float:
+    x, y, z = a[0] - b[0], a[1] - b[1], a[2] - b[2]
     return sqrt(x * x + y * y + z * z)
 
 
@@ -350,7 +368,7 @@ def _cosine(a: np.ndarray, b: np.ndarray, size_a: float, size_b: float) -> float
 
 def _same_view(a: np.ndarray, b: np.ndarray) -> bool:
     """Camera poses within 5 cm and 10 degrees of each other."""
-    if _gap(a[:, 3], b[:, 3]) > VIEW_M:
+    if _gap(a[:, 3].tolist(), b[:, 3].tolist()) > VIEW_M:
         return False
     turn = np.clip((np.trace(a[:, :3].T @ b[:, :3]) - 1) / 2, -1.0, 1.0)
     return float(np.degrees(np.arccos(turn))) <= VIEW_DEG
@@ -366,7 +384,7 @@ def _duplicates(rows: list[dict]) -> set[int]:
     for i, a in enumerate(rows):
         for j in range(i + 1, len(rows)):
             b = rows[j]
-            if a["position"] is None or b["position"] is None or _gap(a["position"], b["position"]) > 0.02:
+            if a["at"] is None or b["at"] is None or _gap(a["at"], b["at"]) > 0.02:
                 continue
             (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = a["box"], b["box"]
             shared = max(0.0, min(ax2, bx2) - max(ax1, bx1)) * max(0.0, min(ay2, by2) - max(ay1, by1))
@@ -402,8 +420,9 @@ def associate_policies(observations: DataFrame, keys: Sequence[str], category: s
         def flush():
             if not pending:
                 return []
-            rows = [record(v) for v in pending]
-            return [(*mark, t.condition, v[0], v[1], *d) for t in tracks for v, d in zip(pending, t.frame(rows))]
+            rows = [_prepared(record(v)) for v in pending]
+            suspects = _duplicates(rows)
+            return [(*mark, t.condition, v[0], v[1], *d) for t in tracks for v, d in zip(pending, t.frame(rows, suspects))]
 
         for batch in batches:
             done = []

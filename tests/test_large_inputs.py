@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,15 @@ def test_frames_of_small_keys_are_linked_without_joins(spark, monkeypatch):
     mixed = plain(names(*linking.link_frames(previous, current, ["k"], most=50)))
     monkeypatch.setattr(linking, "greedy_pairs", lambda *a, **k: pytest.fail("joins over small keys"))
     assert joined[0] and plain(names(*linking.link_frames(previous, current, ["k"]))) == joined == mixed
+
+
+def test_policies_share_what_does_not_depend_on_them(spark, monkeypatch):
+    """Duplicates of a frame and sizes of vectors were worked out once per condition, sizes once per track too."""
+    rng = np.random.default_rng(6)
+    rows = [{"id": n, "position": rng.normal(size=3), "box": (float(n), 0.0, n + 40.0, 40.0), "pose": np.eye(3, 4), "vector": rng.normal(size=4)} for n in range(6)]
+    sizes, plain = [], identity._size
+    monkeypatch.setattr(identity, "_size", lambda a: sizes.append(1) or plain(a))
+    frames = [[dict(r, position=r["position"] + 0.01 * f) for r in rows] for f in range(4)]
+    tracks = [identity.PolicyTracks(c) for c in identity.CONDITIONS]
+    decided = [[t.frame(frame) for t in tracks] for frame in frames]
+    assert len(sizes) == 24 and all(d[0] == "matched" for d in decided[-1][0]) and all(d[0] == "new" for d in decided[0][2])
