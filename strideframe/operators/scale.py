@@ -111,12 +111,16 @@ def grid_scale(
     those of `libm` where later steps compare depths that may lie just on an edge.
     """
     cell = g.cell_of(F.col("prow"), F.col("pcol"), height, width, CELLS_Y, CELLS_X)
-    logs = usable(pixels).withColumns({"_cell": cell, "_log": log(F.col("target") / F.col("learned"))})
-    frame = exact_quantiles(logs, FRAME, "_log", {"_frame": 0.5}, count="_pairs").where(F.col("_pairs") >= minimum)
+    # a frame's pixels, bounded by its image, meet once for the medians of the frame and of its cells
+    ratios = usable(pixels).select(*FRAME, cell.alias("_cell"), (F.col("target") / F.col("learned")).alias("_ratio")).repartition(*FRAME)
+    logs = ratios.withColumn("_log", log(F.col("_ratio")))
+    known = F.when(F.col("_log").isNotNull(), F.col("_cell"))  # keeps the cell where only the frame counts, so that both read one shuffle
+    middle = lambda keys, name, size: logs.groupBy(*keys).agg(F.count(known).alias(size), F.percentile("_log", F.lit(0.5)).alias(name))
+    frame = middle(FRAME, "_frame", "_pairs").where(F.col("_pairs") >= minimum)
     if fallback is not None:
         frame = frame.join(fallback.select(*FRAME, F.col("log_scale").alias("_given")), list(FRAME), "left")
         frame = frame.withColumn("_frame", F.coalesce("_given", "_frame")).drop("_given")
-    cells = exact_quantiles(logs, [*FRAME, "_cell"], "_log", {"_value": 0.5}, count="_n").where(F.col("_n") >= min_cell)
+    cells = middle([*FRAME, "_cell"], "_value", "_n").where(F.col("_n") >= min_cell)
     held = cells.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_value"))).alias("_held"))
     grid = frame.join(held, list(FRAME), "left").select(
         *FRAME,

@@ -50,7 +50,7 @@ MEASURES = "observed_area_m2 plane_area_m2 length_m width_m highest_m lowest_m"
 
 def sized_surface(t):
     """Fused voxels of every recording from learned depth sized per pixel, fuse range 0.1 to 4 m; sized once for the vote and what it keeps."""
-    sized = scale.grid_scale(t.spread(t.pixels), HEIGHT, WIDTH, minimum=50, min_cell=6, log=libm.log, exp=libm.exp)
+    sized = scale.grid_scale(t.pixels, HEIGHT, WIDTH, minimum=50, min_cell=6, log=libm.log, exp=libm.exp)
     sized = sized.withColumn("depth_m", F.col("learned") * F.col("scale"))
     near = sized.where((F.col("depth_m") >= 0.1) & (F.col("depth_m") < 4.0))
     views = t.views.select("recording", "frame", view_pose().alias("pose"))

@@ -13,8 +13,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
 from paths import SMALL
-from strideframe.operators import identity, linking, vote  # noqa: E402
-from strideframe.plans import space_joins  # noqa: E402
+from strideframe.operators import identity, linking, scale, vote  # noqa: E402
+from strideframe.plans import room, space_joins  # noqa: E402
 from strideframe.plans.bindings import Tables  # noqa: E402
 
 
@@ -107,3 +107,12 @@ def test_policies_share_what_does_not_depend_on_them(spark, monkeypatch):
     tracks = [identity.PolicyTracks(c) for c in identity.CONDITIONS]
     decided = [[t.frame(frame) for t in tracks] for frame in frames]
     assert len(sizes) == 24 and all(d[0] == "matched" for d in decided[-1][0]) and all(d[0] == "new" for d in decided[0][2])
+
+
+def test_grid_medians_take_one_shuffle(spark):
+    """Medians of frames and cells sketched, counted and ranked all pixels, four shuffles of them, and the room sized its surface twice."""
+    pixels = Tables(spark, SMALL).pixels
+    text = scale.grid_scale(pixels, 48, 64, minimum=50, min_cell=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in text and "Window" not in text
+    made = room.sized_surface(Tables(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in made and "percentile" not in made
